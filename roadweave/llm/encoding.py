@@ -9,12 +9,14 @@ ones to the library, many at a time.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Pieces remembered by one worker before the table starts again.
-MEMORY = 300_000
+#: Pieces remembered in each of a worker's two generations; when the young one is full, it
+#: becomes the old one, so that frequent pieces survive.
+MEMORY = 350_000
 #: Longer pieces are encoded but not remembered.
 LONG_PIECE = 64
 
@@ -29,6 +31,7 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> "PieceEncoder":
@@ -38,13 +41,15 @@ class PieceEncoder:
 
     def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
         coded = self.tokenizer.encode_batch_fast([x.decode("utf-8") for x in new], add_special_tokens=False)
-        return {x: np.array(c.ids, dtype="<u4").tobytes() for x, c in zip(new, coded)}
+        return {x: array("I", c.ids).tobytes() for x, c in zip(new, coded)}
 
-    def encode(self, texts: Iterable[str | None], group: int = 64) -> Iterator[np.ndarray]:
+    def encode(self, texts: Iterable[str | None], group: int = 256) -> Iterator[np.ndarray]:
         """Little-endian unsigned 32-bit ids of each text; null counts as empty."""
         waiting: list[list[bytes]] = []
         for text in texts:
-            waiting.append((text or "").encode("utf-8", "replace").split())
+            body = (text or "").encode("utf-8", "replace")
+            # The tokenizer lowers letters itself; only its special tokens know case.
+            waiting.append((body if b"<|" in body else body.lower()).split())
             if len(waiting) == group:
                 yield from self._flush(waiting)
                 waiting = []
@@ -52,18 +57,28 @@ class PieceEncoder:
             yield from self._flush(waiting)
 
     def _flush(self, docs: list[list[bytes]]) -> Iterator[np.ndarray]:
-        new = set().union(*docs).difference(self.known)
-        once: dict[bytes, bytes] = {}
+        known, old = self.known, self.old
+        new = set().union(*docs).difference(known)
+        ended = []
+        for piece in [p for p in new if p in old]:
+            known[piece] = old[piece]
+            new.discard(piece)
+        # A comma or full stop after a letter is always a token of its own.
+        for piece in [p for p in new if p[-1] in _STOPS and len(p) > 1 and p[-2] in _LETTERS]:
+            new.discard(piece)
+            ended.append(piece)
+            new.update((piece[:-1], piece[-1:]))
+        new = new.difference(known)
         if new:
-            fresh = self._learn(sorted(new))
-            for piece, ids in fresh.items():
-                (self.known if len(piece) <= LONG_PIECE else once)[piece] = ids
-        known = self.known
+            known.update(self._learn(sorted(new)))
+        for piece in ended:
+            known[piece] = known[piece[:-1]] + known[piece[-1:]]
         for pieces in docs:
-            if once:
-                joined = b"".join([known[p] if p in known else once[p] for p in pieces])
-            else:
-                joined = b"".join([known[p] for p in pieces])
-            yield np.frombuffer(joined, dtype="<u4")
+            yield np.frombuffer(b"".join(map(known.__getitem__, pieces)), dtype="<u4")
+        for piece in [p for p in (*new, *ended) if len(p) > LONG_PIECE]:
+            del known[piece]
         if len(known) > MEMORY:
-            known.clear()
+            self.old, self.known = known, {}
+
+
+_STOPS, _LETTERS = frozenset(b".,"), frozenset(b"abcdefghijklmnopqrstuvwxyz")

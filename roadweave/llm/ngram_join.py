@@ -147,13 +147,13 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             prints.append(_print_of(tokens))
             least.append(int(tokens[0].view(np.int64)) if len(tokens) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(least, pa.int64()), pa.array([False] * len(sizes))],
+            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(least, pa.int64()), pa.array([False] * len(sizes), pa.bool_())],
             names=["doc_id", "n", "print", "least", "summary"],
         )
     often.flush()
     k = len(often.tokens)
     yield pa.RecordBatch.from_arrays(
-        [pa.nulls(k, pa.int64()), pa.array(often.counts), pa.nulls(k, pa.binary()), pa.array(often.tokens.view(np.int64)), pa.array([True] * k)],
+        [pa.nulls(k, pa.int64()), pa.array(often.counts, pa.int64()), pa.nulls(k, pa.binary()), pa.array(often.tokens.view(np.int64)), pa.array([True] * k, pa.bool_())],
         names=["doc_id", "n", "print", "least", "summary"],
     )
 

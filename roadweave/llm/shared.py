@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,27 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+#: Paths that the running pipeline stage has made, while one runs; those of the stage before.
+_in_stage: list[str] | None = None
+_last_stage: list[str] = []
+
+
+@contextmanager
+def stage_tables(spark: SparkSession) -> Iterator[None]:
+    """Marks the intermediates made inside as a pipeline stage's; the next stage deletes them.
+
+    A stage's result has been written when the next stage begins, so nothing reads them then.
+    """
+    global _in_stage, _last_stage
+    for path in _last_stage:
+        drop_shared(spark, path)
+    _in_stage, _last_stage = [], []
+    try:
+        yield
+    finally:
+        _in_stage, _last_stage = None, _in_stage
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, deleted when the JVM ends."""
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
@@ -40,6 +63,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(at)
     fs.deleteOnExit(at)
+    if _in_stage is not None:
+        _in_stage.append(path)
     return path
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from roadweave.llm import chat_format, decontamination, licenses, mixing, ngram_join, quality_classifier, quality_rules, sharding, token_counts, token_files
+from roadweave.llm import chat_format, decontamination, licenses, mixing, ngram_join, oracles, quality_classifier, quality_rules, sharding, token_counts, token_files
 from roadweave.llm.shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge_documents(documents(spark, sf_dir), host="source", keep=["doc_id"])
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "shrunk_rate")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("shrunk_rate", 9).alias("shrunk_rate"))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +53,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.benchmark_overlaps(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    found = decontamination.benchmark_overlaps(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "matched", "window")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +82,4 @@ QUERIES: dict[str, Query] = {
     "op10_sharding": op10_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES

@@ -21,6 +21,8 @@ WINDOW, SUBSTITUTIONS = 13, 2
 LEAST_WORDS = 8
 #: Benchmark windows that are sent to every task at once; a larger benchmark is met in blocks.
 BROADCAST_ROWS = 300_000
+#: Bits of the first filter for each benchmark window, and its most 64-bit words.
+BITS_EACH, MOST_BIT_WORDS = 32, 1 << 14
 
 _REACH = WINDOW - 1
 
@@ -57,6 +59,35 @@ def benchmark_seeds(benchmark: DataFrame) -> DataFrame:
     return items.select("item_id", "n_item", F.explode(seeds).alias("s")).select("item_id", "n_item", "s.seed", "s.item_context")
 
 
+def _bit_table(seeds: DataFrame, words: int) -> Column:
+    """The set slots of all seeds as one array of 64-bit words, a scalar subquery; it only spares
+    rows that no seed can match, and is at most MOST_BIT_WORDS long."""
+    slot = F.pmod("seed", F.lit(words * 64).cast("long"))
+    bits = seeds.select(slot.alias("s")).groupBy(F.shiftright("s", 6).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63L as int)))").alias("b"))
+    every = seeds.sparkSession.range(words).select(F.col("id").cast("int").alias("w")).join(bits, "w", "left").select("w", F.coalesce("b", F.lit(0).cast("long")).alias("b"))
+    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("table")).scalar()
+
+
+def _candidates(docs: DataFrame, seeds: DataFrame, n_seeds: int) -> DataFrame:
+    """(doc_id, seed, context) of the windows whose bit is set."""
+    words = min(MOST_BIT_WORDS, 1 << max(4, (n_seeds * BITS_EACH // 64).bit_length()))
+    hashed = docs.select("doc_id", word_hashes(F.col("text")).alias("_h"), _bit_table(seeds, words).alias("_t"))
+
+    def of_mask(m: int) -> Column:
+        every = F.transform(_starts(F.size("_h"), m), lambda i: F.struct(i.alias("i"), _seed_hash(F.col("_h"), i, m).alias("seed")))
+
+        def is_set(x: Column) -> Column:
+            slot = F.pmod(x["seed"], F.lit(words * 64).cast("long"))
+            return F.getbit(F.get("_t", F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
+
+        return F.filter(every, is_set)
+
+    found = hashed.select("doc_id", "_h", F.concat(*map(of_mask, range(len(MASKS)))).alias("_c"))
+    around = F.transform("_c", lambda x: F.struct(x["seed"].alias("seed"), _context(F.col("_h"), x["i"]).alias("context")))
+    # The outer form infers no filter on the array, which would be worked out twice.
+    return found.select("doc_id", F.explode_outer(around).alias("c")).select("doc_id", F.col("c.seed").alias("_seed"), F.col("c.context").alias("context"))
+
+
 def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_hits, matched, window) for each document that holds part of a benchmark text.
 
@@ -67,27 +98,15 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     tables give no rows. Only columns doc_id, text and item_id, text are read.
     """
     seeds = benchmark_seeds(benchmark)
-    blocks = max(1, -(-seeds.count() // BROADCAST_ROWS))
-    hashed = docs.select("doc_id", word_hashes(F.col("text")).alias("_h"))
-
-    def of_mask(m: int) -> Column:
-        return F.transform(_starts(F.size("_h"), m), lambda i: _seed_hash(F.col("_h"), i, m))
-
-    # The words stay beside the windows' hashes by reference; only hits copy their surroundings.
-    # (The outer form infers no filter, which would hash every text once for each of its words.)
-    windows = hashed.select("doc_id", "_h", F.concat(*map(of_mask, range(len(MASKS)))).alias("_s")).select("doc_id", "_h", F.posexplode_outer("_s").alias("_p", "_seed"))
+    n_seeds = seeds.count()
+    blocks = max(1, -(-n_seeds // BROADCAST_ROWS))
     found = []
     for k in range(blocks):
         block = seeds if blocks == 1 else seeds.filter(F.pmod("seed", F.lit(blocks).cast("long")) == k)
-        found.append(windows.join(F.broadcast(block), F.col("_seed") == F.col("seed")))  # about BROADCAST_ROWS rows
-    met = reduce(DataFrame.unionByName, found)
-    # Hashes of the masks follow one another: take off what the masks before have.
-    place = F.col("_p")
-    for mask in MASKS[:-1]:
-        fits = F.greatest(F.lit(0), F.size("_h") - mask[-1])
-        place = F.when(place < fits, place).otherwise(place - fits)
+        tried = _candidates(docs, block, n_seeds // blocks + 1)
+        found.append(tried.join(F.broadcast(block), F.col("_seed") == F.col("seed")))  # about BROADCAST_ROWS rows
     # The row number keeps the filter below from being moved into the join and written out there.
-    hits = met.withColumn("_at", place).select("doc_id", "item_id", "n_item", "item_context", _context(F.col("_h"), F.col("_at")).alias("context"), F.monotonically_increasing_id().alias("_hit"))
+    hits = reduce(DataFrame.unionByName, found).select("doc_id", "item_id", "n_item", "item_context", "context", F.monotonically_increasing_id().alias("_hit"))
     agree = F.transform(F.zip_with("context", "item_context", lambda a, b: a == b), lambda same: F.coalesce(same, F.lit(False)).cast("int"))
     window = F.least(F.lit(WINDOW), F.col("n_item"))
     most = F.when(F.size("_agree") > 0, F.array_max(F.transform(F.sequence(F.lit(0), window - 1), lambda s: F.aggregate(F.slice("_agree", _REACH + 1 - s, window), F.lit(0), lambda t, x: t + x))))

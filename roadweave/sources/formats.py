@@ -186,7 +186,7 @@ def read_poly(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.text(path, wholetext=True).select(F.xxhash64("value").alias("area_id"), F.regexp_extract_all("value", F.lit(r"(?m)^(!?\S+)\s*\r?\n((?:\s+\S+\s+\S+\s*\r?\n)+)END"), F.lit(0)).alias("s"))
     faces = text.select("area_id", F.posexplode("s").alias("face_idx", "body"))
     numbers = F.filter(F.split("body", r"\r?\n"), lambda l: l.rlike(r"^\s+\S+\s+\S+\s*$"))
-    point = lambda l, k: F.round(F.get(F.split(F.trim(l), r"\s+"), k).cast("double") * 1e6).cast("int")
+    point = lambda l, k: F.round(F.regexp_extract(l, r"^\s+(\S+)\s+(\S+)", k + 1).cast("double") * 1e6).cast("int")
     ring = faces.select("area_id", "face_idx", F.col("body").startswith("!").alias("hole"), F.transform(numbers, lambda l: F.struct(point(l, 0).alias("x"), point(l, 1).alias("y"))).alias("ring"))
     closed = F.get("ring", 0) == F.element_at("ring", -1)
     opened = ring.withColumn("ring", F.when((F.size("ring") > 1) & closed, F.slice("ring", 1, F.size("ring") - 1)).otherwise(F.col("ring")))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """(start, edge_id, n, value) of tumbling windows over (ts, edge_id, value), batch or stream."""
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    marked = timed.withWatermark("ts", late) if events.isStreaming else timed
     sums = marked.groupBy(F.window("ts", window).alias("w"), "edge_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
     return sums.select(F.col("w.start").alias("start"), "edge_id", "n", "value")
 

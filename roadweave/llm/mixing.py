@@ -116,12 +116,15 @@ def schedule(supply: DataFrame, weights: DataFrame) -> DataFrame:
             )["order"]
         ),
     )
-    slots = folded.select("t", "marks", F.posexplode("order").alias("position", "_i"))
+    # One row, stored so that the fold runs once; from here on no row carries an array.
+    folded = stored(folded.select("t", "marks", "order"), "mix-fold")
+    blocks = F.flatten(F.transform("marks", lambda m, i: F.transform(m, lambda x, k: F.struct(i.alias("i"), k.alias("k"), x["release"].alias("release"), x["deadline"].alias("deadline")))))
+    windows = folded.select(F.explode_outer(blocks).alias("b")).select("b.*")
+    names = folded.select(F.posexplode_outer(F.transform("t", lambda s: s["source"])).alias("_n", "source"))
     turn = Window.partitionBy("_i").orderBy("position")  # at most MOST_BLOCKS + sources rows
-    named = slots.select("position", "_i", F.get("t", F.col("_i"))["source"].alias("source"), F.get("marks", F.col("_i")).alias("_m")).withColumn("block", F.row_number().over(turn) - 1)
-    return named.select(
-        "source", F.col("block").cast("long").alias("block"), F.get("_m", F.col("block"))["release"].alias("release"), F.get("_m", F.col("block"))["deadline"].alias("deadline"), F.col("position").cast("long").alias("position")
-    )
+    taken = folded.select(F.posexplode_outer("order").alias("position", "_i")).withColumn("_k", F.row_number().over(turn) - 1)
+    placed = taken.join(windows, (F.col("_i") == F.col("i")) & (F.col("_k") == F.col("k"))).join(names, F.col("_i") == F.col("_n"))
+    return placed.select("source", F.col("_k").cast("long").alias("block"), "release", "deadline", F.col("position").cast("long").alias("position"))
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, temperature: float = 1.4, block_bytes: int = BLOCK_BYTES, most_blocks: int = MOST_BLOCKS) -> DataFrame:

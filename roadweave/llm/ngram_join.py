@@ -1,7 +1,7 @@
 """N-gram Jaccard join (operator 2).
 
-Method: token-group matrix. Similar documents (same least shingle hash, then a checked
-similarity with a leader) are partitioned into groups, and each group stores the union of
+Method: token-group matrix. Similar documents (one key token, then a checked similarity
+with a leader) are partitioned into groups, and each group stores the union of
 its members' tokens. The part of the matrix that a partner must meet (the prefix tokens,
 see below) is joined token by token; it bounds the overlap of any two groups, and only
 group pairs whose bound admits a link are opened. Opening a group tests each visitor
@@ -31,9 +31,12 @@ from roadweave.llm.shared import stored
 
 SHINGLE = 5
 #: Members that a group's key lot has at most, about; visitors that one task of an opened group takes, about.
-LOT, VISITORS = 256, 2000
-#: Counters of the frequency summary in each task; tokens that the order puts last; least summed count for it.
-COUNTERS, FREQUENT, LEAST_COUNT = 1 << 16, 1 << 17, 12
+LOT, VISITORS = 2048, 2000
+#: Counters of the frequency summary in each task, and those it reports; tokens that the order
+#: puts last; least summed count for it.
+COUNTERS, REPORTED, FREQUENT, LEAST_COUNT = 1 << 20, 1 << 16, 1 << 17, 12
+#: Least hashes of a set by which lots look for a leader, and how many of them must agree.
+SKETCH, SKETCH_COMMON = 32, 12
 #: Bits of the filters that keep documents without partners from being moved.
 FILTER_BITS = 1 << 25
 #: Matrix rows that one task sorts, about.
@@ -106,6 +109,21 @@ def prefix(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return tokens[:length]
 
 
+def group_key(tokens: np.ndarray, frequent: np.ndarray) -> int:
+    """Least frequent token of a set, else its least token, as a signed long.
+
+    Near copies share most tokens, so few of them lack the one that the others have first;
+    those meet at the next. A token of their own would set each apart.
+    """
+    if len(frequent):
+        at = np.searchsorted(frequent, tokens)
+        at[at == len(frequent)] = 0
+        often = np.flatnonzero(frequent[at] == tokens)
+        if len(often):
+            return int(tokens[often[0]].view(np.int64))
+    return int(tokens[0].view(np.int64))
+
+
 def _texts(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
@@ -134,27 +152,34 @@ class _Frequencies:
         self.tokens, self.counts = every[total > 0], total[total > 0]
         self.waiting, self.held = [], 0
 
+    def report(self) -> None:
+        """Leaves the REPORTED greatest counts over 1."""
+        keep = np.flatnonzero(self.counts > 1)
+        if len(keep) > REPORTED:
+            keep = keep[np.argpartition(self.counts[keep], len(keep) - REPORTED)[len(keep) - REPORTED :]]
+        self.tokens, self.counts = self.tokens[keep], self.counts[keep]
+
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each document its set's size, fingerprint and least hash; at the end the frequent tokens."""
+    """For each document its set's size and fingerprint; at the end the frequent tokens."""
     often = _Frequencies()
     for batch in batches:
-        sizes, prints, least = [], [], []
+        sizes, prints = [], []
         for text in _texts(batch, "text"):
             tokens = shingle_set(text)
             often.add(tokens)
             sizes.append(len(tokens))
             prints.append(_print_of(tokens))
-            least.append(int(tokens[0].view(np.int64)) if len(tokens) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(least, pa.int64()), pa.array([False] * len(sizes), pa.bool_())],
-            names=["doc_id", "n", "print", "least", "summary"],
+            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.nulls(len(sizes), pa.int64()), pa.array([False] * len(sizes), pa.bool_())],
+            names=["doc_id", "n", "print", "token", "summary"],
         )
     often.flush()
+    often.report()
     k = len(often.tokens)
     yield pa.RecordBatch.from_arrays(
         [pa.nulls(k, pa.int64()), pa.array(often.counts, pa.int64()), pa.nulls(k, pa.binary()), pa.array(often.tokens.view(np.int64)), pa.array([True] * k, pa.bool_())],
-        names=["doc_id", "n", "print", "least", "summary"],
+        names=["doc_id", "n", "print", "token", "summary"],
     )
 
 
@@ -171,9 +196,8 @@ def key_filter(keys: DataFrame, column: str) -> np.ndarray:
         .agg(F.collect_list(F.struct("w", "b")).alias("held"))
     )
     table = np.zeros(FILTER_BITS // 64, np.int64)
-    for row in words.toLocalIterator():  # at most FILTER_BITS / 64 words
-        for w, b in row.held:
-            table[w] = b
+    for row in words.select(F.col("held.w").alias("w"), F.col("held.b").alias("b")).collect():  # at most FILTER_BITS / 64 words in all
+        table[row.w] = row.b
     return table
 
 
@@ -210,18 +234,23 @@ GROUPS = "grp long, members array<long>, least_n long, most_n long, prefix array
 
 
 def _lead(lot: list[tuple[int, np.ndarray]], frequent: np.ndarray) -> list:
-    """Groups of one lot: each document joins the first leader that it links to, or leads."""
+    """Groups of one lot: each document joins the first leader that it links to, or leads.
+
+    Leaders whose least hashes hardly agree are passed over; that may only leave two groups
+    where one would do, and their link is then found like any other.
+    """
     found: list[list] = []
     for key, tokens in lot:
-        first = prefix(tokens, frequent)
+        first, sketch = prefix(tokens, frequent), frozenset(tokens[:SKETCH].tolist())
+        enough = min(SKETCH_COMMON, len(sketch) * SKETCH_COMMON // SKETCH)
         for g in found:
-            if linked(g[5], tokens):
+            if len(sketch & g[6]) >= enough and linked(g[5], tokens):
                 g[1].append(key)
                 g[2], g[3] = min(g[2], len(tokens)), max(g[3], len(tokens))
                 g[4].append(first)
                 break
         else:
-            found.append([key, [key], len(tokens), len(tokens), [first], tokens])
+            found.append([key, [key], len(tokens), len(tokens), [first], tokens, sketch])
     return [(*g[:4], np.unique(np.concatenate(g[4]))) for g in found]
 
 
@@ -229,12 +258,27 @@ def _print_of(tokens: np.ndarray) -> bytes | None:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None
 
 
-def _make_groups(docs: DataFrame, survey: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """Partition of one document of each class (equal sets) into groups, with their prefix tokens."""
-    sets = survey.filter(~F.col("summary") & F.col("print").isNotNull() & F.col("doc_id").isNotNull())
+def _make_groups(slim: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """Partition of one document of each class (equal sets) into groups, with their prefix tokens.
+
+    ``slim`` has doc_id and text.
+    """
+    context = slim.sparkSession.sparkContext
+    often = context.broadcast(frequent)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for key, text in zip(batch.column("doc_id").to_pylist(), _texts(batch, "text")):
+                tokens = shingle_set(text)
+                if key is not None and len(tokens):
+                    found.append((key, _print_of(tokens), group_key(tokens, often.value)))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.int64()))], names=["doc_id", "print", "least"])
+
+    sets = stored(slim.mapInArrow(keys, "doc_id long, print binary, least long"), "ngram-keys")
     classes = sets.groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.min("least").alias("least"))
-    # Documents whose least hash has a clear bit share it with nobody and are groups of one;
-    # all others meet in lots of documents with one least hash. Both ask the same bits.
+    # Documents whose key has a clear bit share it with nobody and are groups of one;
+    # all others meet in lots of documents with one key. Both ask the same bits.
     shared = key_filter(sets.groupBy("least").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > 1), "least")
     crowd = classes.groupBy("least").agg(F.count(F.lit(1)).alias("crowd")).withColumnRenamed("least", "_at")
     lots = stored(
@@ -245,15 +289,14 @@ def _make_groups(docs: DataFrame, survey: DataFrame, frequent: np.ndarray) -> Da
         ),
         "ngram-lots",
     )
-    context = docs.sparkSession.sparkContext
-    bits, often = context.broadcast(shared), context.broadcast(frequent)
+    bits = context.broadcast(shared)
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             alone = []
             for key, text in zip(batch.column("doc_id").to_pylist(), _texts(batch, "text")):
                 tokens = shingle_set(text)
-                if key is not None and len(tokens) and not _bits(bits.value, tokens[:1].view(np.int64))[0]:
+                if key is not None and len(tokens) and not _bits(bits.value, np.array([group_key(tokens, often.value)]))[0]:
                     alone.append((key, [key], len(tokens), len(tokens), np.unique(prefix(tokens, often.value))))
             if alone:
                 yield _group_rows(alone)
@@ -274,7 +317,6 @@ def _make_groups(docs: DataFrame, survey: DataFrame, frequent: np.ndarray) -> Da
         if lot:
             yield _group_rows(_lead(lot, often.value))
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     crowded = _admitted(slim, "doc_id", key_filter(lots, "_rep")).join(lots, F.col("doc_id") == F.col("_rep"))
     met = crowded.repartition("_least", "_lot").sortWithinPartitions("_least", "_lot", "doc_id").mapInArrow(meet, GROUPS)
     return stored(slim.mapInArrow(single, GROUPS).unionByName(met), "ngram-groups")
@@ -405,13 +447,13 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     document that links by any of its texts. An empty table gives no rows.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    survey = stored(slim.mapInArrow(_survey, "doc_id long, n long, print binary, least long, summary boolean"), "ngram-survey")
-    often = survey.filter("summary").groupBy("least").agg(F.sum("n").alias("k")).filter(F.col("k") >= LEAST_COUNT).orderBy(F.col("k").desc(), "least").limit(FREQUENT)
-    frequent = np.sort(np.array([r.least for r in often.select("least").collect()], dtype=np.int64).view(np.uint64))  # at most FREQUENT
+    survey = stored(slim.mapInArrow(_survey, "doc_id long, n long, print binary, token long, summary boolean"), "ngram-survey")
+    often = survey.filter("summary").groupBy("token").agg(F.sum("n").alias("k")).filter(F.col("k") >= LEAST_COUNT).orderBy(F.col("k").desc(), "token").limit(FREQUENT)
+    frequent = np.sort(np.array([r.token for r in often.select("token").collect()], dtype=np.int64).view(np.uint64))  # at most FREQUENT
     rows = survey.filter("not summary")
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
-    groups = _make_groups(slim, survey, frequent)
+    groups = _make_groups(slim, frequent)
     members = groups.select("grp", F.explode("members").alias("doc_id"))
     pairs = _candidate_pairs(groups, total // 4)
     # Leaders first: what they connect need not be opened.

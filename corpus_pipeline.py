@@ -47,9 +47,13 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their shard and slot (operator 10), 16 shards of near equal bytes."""
+    """The documents with their shard and slot (operator 10), 16 shards of near equal bytes.
+
+    ``docs`` is the mixing stage's stored result, and the order of its rows is the mix. Shards
+    and slots keep it: shard after shard, slot after slot, they are the mix.
+    """
     with stage_tables(spark):
-        return sharding.shard_by_bytes(docs.select(*COLUMNS), shards=16)
+        return sharding.shard_by_bytes(docs, shards=16, carry=list(COLUMNS), order=sharding.stored_place())
 
 
 STAGES = [

@@ -1,7 +1,7 @@
 """Sharding (operator 10).
 
 Method: histogram sort. Rows are ordered by a hash of doc_id (then by a row number that
-splits repeated ids). The driver keeps an interval of keys for each wanted splitter and
+splits repeated ids), or by their place in the stored input. The driver keeps an interval of keys for each wanted splitter and
 asks the partitions, again and again, for the exact bytes and rows between candidate keys;
 each answer narrows the intervals until every splitter meets its tolerance. Only then do
 the rows move, in one exchange.
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadweave.llm.shared import stored
@@ -132,25 +132,40 @@ def splitters(rows: DataFrame, shards: int, tolerance: float, parts_each: int) -
     return [(min(k, TOP - 1), b, r) for k, b, r in ordered]
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 16, tolerance: float = 0.001, carry: list[str] | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
+def stored_place() -> tuple[Column, Column]:
+    """(file, row) of each row of a table that Spark wrote as Parquet; their order is the order it was written in.
+
+    File is the number of the task that wrote it, then the count of its files. Only a plan
+    straight over the stored table has them.
+    """
+    number = lambda pattern: F.regexp_extract("_metadata.file_name", pattern, 1).cast("long")
+    return number(r"^part-(\d+)-") * (1 << 20) + F.coalesce(number(r"-c(\d+)\."), F.lit(0)), F.col("_metadata.row_index")
+
+
+def shard_by_bytes(
+    docs: DataFrame, shards: int = 16, tolerance: float = 0.001, carry: list[str] | None = None, part_bytes: int = PART_BYTES, order: tuple[Column, Column] | None = None
+) -> DataFrame:
     """Deal rows into ``shards`` of near equal bytes: ``carry`` columns, size, text_crc32, law, shard, slot, grown_shard.
 
     Size is the UTF-8 bytes of the text plus 1 (null text: 1, crc of nothing, 0). Shards
     differ from the mean by ``tolerance`` of it or by about one document, whichever is more.
     Rows that repeat, even with equal doc_id, are told apart by a stored row number, so a
-    hot key is split like any other. Null doc_ids hash alike. Fewer rows than shards leave
+    hot key is split like any other. With ``order``, two longs from 0 that tell all rows apart
+    (see ``stored_place``), shards and slots follow it instead of the hash: shard by shard and
+    slot by slot, the rows come in that order. Null doc_ids hash alike. Fewer rows than shards leave
     shards empty; an empty table gives an empty result. Columns of the input named like the
     output are replaced.
     """
     made = {"size", "text_crc32", "law", "shard", "slot", "grown_shard", "_key", "_tie", "_part"}
     keep = [c for c in (carry if carry is not None else docs.columns) if c not in made]
+    key, tie = order or (F.xxhash64(F.lit("shard"), "doc_id"), F.monotonically_increasing_id())
     rows = stored(
         docs.select(
             *keep,
             (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"),
             F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-            F.xxhash64(F.lit("shard"), "doc_id").alias("_key"),
-            F.monotonically_increasing_id().alias("_tie"),
+            key.alias("_key"),
+            tie.alias("_tie"),
         ),
         "shard-rows",
     )

@@ -3,10 +3,12 @@
 from collections import Counter
 
 import duckdb
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from roadweave.llm import oracles
+from roadweave.llm import mixing, oracles, sharding
 from roadweave.llm.shared import stored
+from tests.llm import cases
 from tests.llm.cases import no_documents, odd_documents
 from tests.llm.test_other_ops import brute_join, brute_overlaps
 from tests.llm.test_python_ops import check_shards
@@ -45,3 +47,23 @@ def test_odd_and_empty(spark, tmp_path):
         make(spark).write.mode("overwrite").parquet(f"file://{tmp_path}/documents.parquet")
         rows = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
         assert len(rows) == len({r.doc_id for r in rows}) and (make is odd_documents or rows == [])
+
+
+def test_shards_keep_the_mix(spark):
+    """Two thirds of the rows are hot; by bytes to the power 1 / 1.4 it has 62 % until the others run dry."""
+    rows = [(i, f"{i:04d} " + "x" * 2_995, "en", "hot" if i % 3 else "rare", 3_000) for i in range(6_000)]
+    docs = stored(spark.createDataFrame(rows, cases.DOCS).repartition(5), "t")
+    mixed = corpus_pipeline.mixture(spark, docs, SF)
+    want = [r.doc_id for r in mixing.mix(docs).orderBy("position", "place").collect()]
+    got = sorted(corpus_pipeline.shards(spark, stored(mixed, "t"), SF).collect(), key=lambda r: (r.shard, r.slot))
+    assert [r.doc_id for r in got] == want
+    share = 2 ** (1 / 1.4) / (1 + 2 ** (1 / 1.4))
+    first = [r.source for r in got if r.shard < 4]  # less than two blocks of 87 documents from the target
+    assert abs(first.count("hot") - share * len(first)) < 2 * 88
+
+
+def test_shards_of_many_files(spark):
+    docs = stored(spark.range(0, 5_000, 1, 37).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 90).cast("int")).alias("text")), "t")
+    got = sharding.shard_by_bytes(docs, 16, order=sharding.stored_place(), part_bytes=4096).collect()
+    assert [r.doc_id for r in sorted(got, key=lambda r: (r.shard, r.slot))] == list(range(5_000))
+    check_shards(docs, got, 16)

@@ -36,11 +36,18 @@ def _opportunities(n: Network) -> DataFrame:
 
 
 def _populated_reach(n: Network) -> DataFrame:
-    """Distances from the 40 populated vertices of least id, the fixture's sources."""
+    """Distances from the 40 populated vertices of least id, the sources of the oracle SQL."""
     first = n.population().orderBy("vertex_id").limit(40).select(F.col("vertex_id").alias("source"))
     return search.one_to_all(n.edges(), first).select("source", "vertex_id", "distance")
 
 
+def _whole_populated_reach(n: Network) -> DataFrame:
+    """Distances from every populated vertex to itself and to all vertices with opportunities; no other vertex counts."""
+    reach = search.one_to_all(n.edges(), n.population().select(F.col("vertex_id").alias("source"))).select("source", "vertex_id", "distance")
+    sought = _opportunities(n).select(F.col("vertex_id").alias("_o"))
+    return reach.join(sought, F.col("vertex_id") == F.col("_o"), "left").filter("_o is not null or vertex_id = source").drop("_o")
+
+
 def _trips(n: Network, distances: DataFrame) -> DataFrame:
     return distances.join(n.od().select("od_id", F.col("origin").alias("source"), F.col("destination").alias("vertex_id")), ["source", "vertex_id"])
 
@@ -346,9 +353,15 @@ def d4_formula_probability(n: Network) -> DataFrame:
     return rows.withColumn("probability", F.round("probability", 9))
 
 
+@query
+def d4_formula_probability_all(n: Network) -> DataFrame:
+    rows = demand.formula_probabilities(_whole_populated_reach(n), _opportunities(n), 0.9)
+    return rows.withColumn("probability", F.round("probability", 9))
+
+
 @query
 def d4_formula_demand(n: Network) -> DataFrame:
-    return demand.formula_demand(demand.formula_probabilities(_populated_reach(n), _opportunities(n), 0.9), n.population(), 10_000)
+    return demand.formula_demand(demand.formula_probabilities(_whole_populated_reach(n), _opportunities(n), 0.9), n.population(), 10_000)
 
 
 @query
@@ -418,6 +431,11 @@ def d19_mean_distance(n: Network) -> DataFrame:
     return demand.mean_distance_per_rank(_populated_reach(n), _opportunities(n), n.population()).withColumn("expected_distance", F.round("expected_distance", 6))
 
 
+@query
+def d19_mean_distance_all(n: Network) -> DataFrame:
+    return demand.mean_distance_per_rank(_whole_populated_reach(n), _opportunities(n), n.population()).withColumn("expected_distance", F.round("expected_distance", 6))
+
+
 @query
 def j11_raster_radiation(n: Network) -> DataFrame:
     grid = n.population().join(n.vertices(), "vertex_id").select(F.col("x").alias("cell_x"), F.col("y").alias("cell_y"), "population")

@@ -1,5 +1,6 @@
 """Road operators: oracle comparison on the smallest tables, invariants, and micro fixtures."""
 
+import heapq
 import itertools
 import os
 
@@ -156,6 +157,40 @@ def test_formula_sums_to_one(net):
     assert p and all(r.p == pytest.approx(1, abs=1e-6) for r in p)
 
 
+def test_demand_from_all_inhabitants(net):
+    """Every populated vertex is a source: probabilities, trips and mean distances against brute force."""
+    n, edges, _ = net
+    people = {r.vertex_id: r.population for r in n.population().collect()}
+    opp = {r.vertex_id: r.n for r in n.pois().groupBy("vertex_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    out, share = {}, lambda m: (1 - 0.9**m) / m
+    for e in edges.collect():
+        out.setdefault(e.tail, []).append((e.head, e.travel_time))
+    total, want, by_rank = 1 + sum(opp.values()), {}, {}
+    for source in people:
+        heap, seen, between, rank = [(0, source)], set(), 0, 0
+        s = opp.get(source, 0) + 1
+        norm = 1 / (1 - ((1 - 0.9**total) / (1 - 0.9**s)) * (s / total))
+        while heap:
+            d, v = heapq.heappop(heap)
+            if v in seen:
+                continue
+            seen.add(v)
+            for _ in range(opp.get(v, 0)):
+                by_rank.setdefault(rank, []).append((people[source], d))
+                rank += 1
+            if v != source and v in opp:
+                want[source, v] = (share(s + between) - share(s + between + opp[v])) / share(s) * norm
+                between += opp[v]
+            for h, w in out[v]:
+                heapq.heappush(heap, (d + w, h))
+    got = {(r.source, r.vertex_id): r.probability for r in catalog.QUERIES["d4_formula_probability_all"](n.spark, SF).collect()}
+    assert len(people) > 40 and got == pytest.approx(want, abs=1e-8)
+    trips = catalog.QUERIES["d4_formula_demand"](n.spark, SF).collect()
+    assert abs(sum(r.trips for r in trips) - 10_000) < 1_000 and len({r.origin for r in trips}) > 40
+    ranks = [r.expected_distance for r in catalog.QUERIES["d19_mean_distance_all"](n.spark, SF).orderBy("rank").collect()]
+    assert ranks == pytest.approx([sum(p * d for p, d in x) / sum(p for p, _ in x) for _, x in sorted(by_rank.items())], abs=1e-5)
+
+
 def test_population_is_assigned_once(net):
     n, _, _ = net
     got = catalog.QUERIES["d2_population_hash"](n.spark, SF)

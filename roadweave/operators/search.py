@@ -1,8 +1,8 @@
 """Shortest paths: an Arrow kernel over a broadcast snapshot of the graph, and a join fixpoint.
 
 The snapshot holds the arrays of one graph; it is sent to every task only if its edge count
-is within SNAPSHOT_EDGES. A larger graph is searched by ``relax_to_fixpoint``, whose state
-stays in tables. Ties: the parent of a vertex is the least edge id that keeps its distance.
+is within SNAPSHOT_EDGES. ``one_to_all`` searches a larger graph by ``relax_to_fixpoint``, whose
+state stays in tables; the other searches refuse it. Ties: the parent of a vertex is the least edge id that keeps its distance.
 """
 
 from __future__ import annotations
@@ -148,7 +148,12 @@ def _spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def one_to_all(edges: DataFrame, sources: DataFrame, weight: str = "travel_time") -> DataFrame:
-    """(source, vertex_id, distance, parent_edge) of every vertex reached from each of ``sources`` (source)."""
+    """(source, vertex_id, distance, parent_edge) of every vertex reached from each of ``sources`` (source).
+
+    Graphs beyond SNAPSHOT_EDGES are searched in tables, with the same rows.
+    """
+    if edges.count() > SNAPSHOT_EDGES:
+        return _one_to_all_in_tables(edges, sources.select("source").distinct(), weight)
     sent = edges.sparkSession.sparkContext.broadcast(Snapshot.of(edges, weight))
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,6 +229,15 @@ def relax_to_fixpoint(edges: DataFrame, sources: DataFrame, weight: str = "trave
     return known
 
 
+def _one_to_all_in_tables(edges: DataFrame, sources: DataFrame, weight: str) -> DataFrame:
+    """Rows of ``one_to_all`` by the fixpoint; parents by one join of the settled ends of each edge."""
+    known = relax_to_fixpoint(edges, sources, weight)
+    e = edges.select("edge_id", "tail", "head", F.col(weight).cast("long").alias("w"))
+    ends = known.select("source", F.col("vertex_id").alias("tail"), F.col("distance").alias("d")).join(e, "tail").select("source", F.col("head").alias("vertex_id"), (F.col("d") + F.col("w")).alias("distance"), "edge_id")
+    parent = ends.join(known.filter("distance > 0"), ["source", "vertex_id", "distance"]).groupBy("source", "vertex_id").agg(F.min("edge_id").cast("long").alias("parent_edge"))
+    return known.join(parent, ["source", "vertex_id"], "left").select("source", "vertex_id", "distance", "parent_edge")
+
+
 def dag_one_to_all(edges: DataFrame, sources: DataFrame, weight: str = "travel_time") -> DataFrame:
     """Distances over edges whose head has the greater id; without cycles the fixpoint ends after the longest path."""
     return relax_to_fixpoint(edges.filter("head > tail"), sources, weight)

@@ -51,6 +51,39 @@ def test_backends_agree(net):
     assert len(kernel) == 600
 
 
+def test_fixpoint_on_the_whole_network(net, monkeypatch):
+    n, edges, _ = net
+    sources = n.spark.createDataFrame([(0,), (999,)], "source long")
+    kernel = {tuple(r) for r in search.one_to_all(edges, sources).collect()}
+    monkeypatch.setattr(search, "SNAPSHOT_EDGES", 100)
+    assert {tuple(r) for r in search.one_to_all(edges, sources).collect()} == kernel and len(kernel) == 201
+
+
+def test_whole_network_components(net):
+    n, edges, _ = net
+    out = {r.vertex_id: set() for r in n.vertices().collect()}
+    for e in edges.collect():
+        if (e.head > e.tail and e.tail % 5) or (e.head < e.tail and e.tail % 3):
+            out[e.tail].add(e.head)
+    reach = {}
+    for v in out:
+        seen, waiting = {v}, [v]
+        while waiting:
+            new = out[waiting.pop()] - seen
+            seen |= new
+            waiting += new
+        reach[v] = seen
+    want = {v: min(u for u in reach[v] if v in reach[u]) for v in out}
+    assert {r.vertex_id: r.component for r in catalog.QUERIES["g10_scc_all"](n.spark, SF).collect()} == want
+
+
+def test_fixpoint_query_reaches_every_vertex(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(search, "relax_to_fixpoint", lambda edges, sources, *_: seen.append(edges) or edges)
+    catalog.QUERIES["sp1_fixpoint"](spark, "/root/testdata/sf0.01")
+    assert seen[0].agg(F.max("head")).first()[0] == 1999
+
+
 def test_flow_conservation(net):
     _, edges, od = net
     flows, dist = assignment.all_or_nothing(edges, od)

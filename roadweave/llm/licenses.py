@@ -67,8 +67,8 @@ def label_of(identifier: str) -> str:
     return {"0bsd": "bsd", "x11": "mit", "expat": "mit"}.get(name, name)
 
 
-def to_postfix(expression: str) -> list[str]:
-    """Postfix order of the longest well-formed prefix of a license expression.
+def to_postfix(expression: str, start: int = 0, end: int | None = None) -> list[str]:
+    """Postfix order of the longest well-formed prefix of a license expression, read from ``start`` to ``end``.
 
     Reading stops where no expression can go on (two identifiers in a row, a closing
     bracket too many). Open brackets and operators without a right side are dropped.
@@ -76,7 +76,8 @@ def to_postfix(expression: str) -> list[str]:
     out: list[str] = []
     stack: list[str] = []
     wants_operand = True
-    for token in _TOKEN.findall(expression):
+    for match in _TOKEN.finditer(expression, start, len(expression) if end is None else end):
+        token = match.group()
         word = token.lower()
         if word in PRECEDENCE:
             if wants_operand:
@@ -162,9 +163,12 @@ class LicenseScanner:
         expressions = []
         low = (text or "").lower()
         if "license" in low:
+            line_end = -1
             for end, _ in self.tags.iter(low):
-                rest = low[end + 1 : end + 400].split("\n", 1)[0]
-                postfix = to_postfix(rest)
+                if line_end <= end:
+                    line_end = low.find("\n", end + 1)
+                    line_end = len(low) if line_end < 0 else line_end
+                postfix = to_postfix(low, end + 1, line_end)
                 named, freedom = evaluate(postfix)
                 labels |= named
                 if freedom is not None:
@@ -191,7 +195,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, expressions.
 
     ``score`` is the freedom of the strictest license found, 0 where none is. An expression
-    is read to the end of its line, at most 400 characters after its tag. Null and empty
+    is read to the end of its line, however long. Null and empty
     texts have no words and no labels ('' and 0); repeated rows repeat; an empty table gives
     no rows. Other columns of the input are not read.
     """

@@ -136,6 +136,14 @@ def test_labels_of_method(spark):
     assert got == {1: ("cc-by-nc", 0.1, []), 2: ("gpl,mit", 1.0, ["mit gpl-3.0-only or"]), 3: ("", 0.0, [])}
 
 
+def test_expression_to_the_end_of_its_line():
+    names = [f"lib{i}-license" for i in range(300)]
+    line = "SPDX-License-Identifier: (" + " AND ".join(names) + " OR MIT) AND GPL-3.0-only"
+    *_, labels, score, expressions = licenses.LicenseScanner().scan(f"{line}\nAND AGPL-3.0-only\nlicense-expression: MIT")
+    assert set(labels.split(",")) == {*names, "mit", "gpl"} and score == licenses.FREEDOM["gpl"]
+    assert expressions == [" ".join([names[0], *(f"{x} and" for x in names[1:]), "mit or gpl-3.0-only and"]), "mit"]
+
+
 def check_shards(docs, rows, shards):
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == Counter(
         (r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in docs.collect()

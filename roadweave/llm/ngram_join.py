@@ -12,7 +12,8 @@ c tokens among the first n - ceil(3n/4) + 1 of each, and c >= ceil(3(a+b)/7) -
 ceil(3 max(a,b)/4) + 1 (all common tokens beyond the shorter of both prefixes lie in the
 rest of one set). The order puts frequent tokens last, so that passages many documents
 share do not make candidates; frequencies only choose the order, never the result.
-Links between documents already known to be connected are not looked for.
+For components, links between documents already known to be connected are not looked for;
+``ngram_links`` opens every qualifying pair of groups, and each group for itself.
 """
 
 from __future__ import annotations
@@ -384,12 +385,47 @@ def _summed(waiting: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(both[at, 0]), pa.array(both[at, 1]), pa.array(counts[i : i + 50_000])], names=["a", "b", "c"])
 
 
-def _open(docs: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame:
+LINKS = "print_a binary, print_b binary, n_common long"
+
+
+def _link_rows(found: set[tuple[bytes, bytes, int]]) -> pa.RecordBatch:
+    a, b, n = zip(*found)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(n, pa.int64())], names=["print_a", "print_b", "n_common"])
+
+
+def _visit_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All links (LINKS) of each visitor with the members of its host group, by the fingerprints of their sets."""
+    here, home, union, found = None, [], None, set()
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("home", "task", "visitor")]
+        tokens = batch.column("tokens")
+        for k, (grp, task, visitor) in enumerate(zip(*columns)):
+            if (grp, task) != here:
+                here, home, union = (grp, task), [], None
+            own = tokens[k].values.to_numpy(zero_copy_only=False).view(np.uint64)
+            name = _print_of(own)
+            if visitor is None:
+                home.append((name, own))
+                continue
+            if union is None:
+                union = np.unique(np.concatenate([m for _, m in home]))
+            if 4 * common(own, union) < 3 * len(own):
+                continue
+            found.update((min(name, other), max(name, other), common(own, m)) for other, m in home if other != name and linked(own, m))
+            if len(found) > 50_000:
+                yield _link_rows(found)
+                found = set()
+    if found:
+        yield _link_rows(found)
+
+
+def _open(docs: DataFrame, pairs: DataFrame, members: DataFrame, each: bool = False) -> DataFrame:
     """Links (a, b) among group ``pairs``, found by opening a for the members of b.
 
     ``members`` has grp and doc_id. Each task of an opened group gets its members first, then
     up to about VISITORS visitors; a visitor is tested against the union of the members'
-    tokens, and against members only if at least 3/4 of it lies in the union.
+    tokens, and against members only if at least 3/4 of it lies in the union. With ``each``
+    all links of the visitors (LINKS) instead of one for a visitor's group.
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -434,18 +470,12 @@ def _open(docs: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame:
     wanted = asked.select(F.col("doc_id").alias("_w")).distinct()
     held = _admitted(slim, "doc_id", key_filter(asked, "doc_id")).join(wanted, F.col("doc_id") == F.col("_w"), "left_semi").mapInArrow(sets, "doc_id long, tokens array<long>")
     moved = asked.join(held, "doc_id").repartition("home", "task").sortWithinPartitions("home", "task", F.col("visitor").asc_nulls_first())
-    return stored(moved.mapInArrow(visit, "a long, b long").distinct(), "ngram-links")
+    opened = moved.mapInArrow(_visit_each, LINKS) if each else moved.mapInArrow(visit, "a long, b long")
+    return stored(opened.distinct(), "ngram-links")
 
 
-def ngram_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row.
-
-    A document's set holds its distinct 5-word shingles over A-Z-lowered words (of fewer
-    words, the whole sequence); two documents link at Jaccard similarity 3/4 or more, and
-    component_id is the least doc_id that links reach. Null and blank texts have no set and
-    are components of their own; null doc_ids get null. Rows with equal doc_id are one
-    document that links by any of its texts. An empty table gives no rows.
-    """
+def _matrix(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """slim documents, their survey rows, groups, the groups' members and the candidate pairs of groups."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     survey = stored(slim.mapInArrow(_survey, "doc_id long, n long, print binary, token long, summary boolean"), "ngram-survey")
     often = survey.filter("summary").groupBy("token").agg(F.sum("n").alias("k")).filter(F.col("k") >= LEAST_COUNT).orderBy(F.col("k").desc(), "token").limit(FREQUENT)
@@ -455,7 +485,51 @@ def ngram_components(docs: DataFrame) -> DataFrame:
 
     groups = _make_groups(slim, frequent)
     members = groups.select("grp", F.explode("members").alias("doc_id"))
-    pairs = _candidate_pairs(groups, total // 4)
+    return slim, rows, groups, members, _candidate_pairs(groups, total // 4)
+
+
+def ngram_links(docs: DataFrame) -> DataFrame:
+    """Every link, between classes of equal sets: class_a, class_b, doc_a, doc_b, docs_a, docs_b, n_a, n_b, n_common.
+
+    Sets and links are those of ``ngram_components``. doc_ is the least doc_id of a class, docs_
+    its number of documents, n_ its set's size; a row of two classes stands for docs_a * docs_b
+    links. A class of several documents has a row with itself, for the links among them.
+    Classes are named by their set's fingerprint, as in ``ngram_classes``.
+    """
+    slim, rows, groups, members, pairs = _matrix(docs)
+    inside = groups.filter(F.size("members") > 1).select(F.col("grp").alias("a"), F.col("grp").alias("b"))
+    found = _open(slim, pairs.unionByName(inside), members, each=True)
+    classes = stored(
+        rows.filter(F.col("print").isNotNull() & F.col("doc_id").isNotNull())
+        .groupBy("print")
+        .agg(F.min("doc_id").alias("doc"), F.countDistinct("doc_id").alias("docs"), F.first("n").alias("n")),
+        "ngram-classes",
+    )
+    equal = classes.filter("docs > 1").select(F.col("print").alias("print_a"), F.col("print").alias("print_b"), F.col("n").alias("n_common"))
+    of = lambda x: classes.select(F.col("print").alias(f"print_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("doc", "docs", "n")))
+    sized = found.unionByName(equal).join(of("a"), "print_a").join(of("b"), "print_b")
+    return sized.select(
+        F.lower(F.hex("print_a")).alias("class_a"), F.lower(F.hex("print_b")).alias("class_b"), "doc_a", "doc_b", "docs_a", "docs_b", "n_a", "n_b", "n_common"
+    )
+
+
+def ngram_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, class) of every row with a doc_id and a set: which documents a class of ``ngram_links`` holds."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    survey = slim.mapInArrow(_survey, "doc_id long, n long, print binary, token long, summary boolean")
+    return survey.filter(F.col("print").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.lower(F.hex("print")).alias("class"))
+
+
+def ngram_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row.
+
+    A document's set holds its distinct 5-word shingles over A-Z-lowered words (of fewer
+    words, the whole sequence); two documents link at Jaccard similarity 3/4 or more, and
+    component_id is the least doc_id that links reach. Null and blank texts have no set and
+    are components of their own; null doc_ids get null. Rows with equal doc_id are one
+    document that links by any of its texts. An empty table gives no rows.
+    """
+    slim, rows, groups, members, pairs = _matrix(docs)
     # Leaders first: what they connect need not be opened.
     leaders = groups.select("grp", F.col("grp").alias("doc_id"))
     # A document with two texts may be in two groups, which it connects.

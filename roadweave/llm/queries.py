@@ -33,6 +33,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(documents(spark, sf_dir))
 
 
+def op2_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_links(documents(spark, sf_dir))
+
+
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir))
 
@@ -72,6 +76,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_ngram_join": op2_ngram_join,
+    "op2_ngram_links": op2_ngram_links,
     "op3_license_scans": op3_license_scans,
     "op4_token_counts": op4_token_counts,
     "op5_chat_format": op5_chat_format,

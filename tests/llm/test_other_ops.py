@@ -108,6 +108,28 @@ def test_ngram_join(spark, monkeypatch, make, lot, often):
     assert Counter(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == brute_join(docs.collect())
 
 
+@pytest.mark.parametrize("make, lot", [(odd_documents, 256), (near_copies, 3), (near_copies, 2048)])
+def test_ngram_links(spark, monkeypatch, make, lot):
+    """Every pair of linked documents, expanded from the pairs of classes."""
+    monkeypatch.setattr(ngram_join, "LOT", lot)
+    docs = make(spark)
+    rows = [r for r in docs.collect() if r.doc_id is not None]
+    want = {}
+    for (x, a), (y, b) in itertools.combinations(zip(rows, brute_sets(rows)), 2):
+        if x.doc_id != y.doc_id and a and b and 100 * len(a & b) >= 75 * len(a | b):
+            want[frozenset((x.doc_id, y.doc_id))] = (frozenset((len(a), len(b))), len(a & b))
+    held = defaultdict(set)
+    for r in ngram_join.ngram_classes(docs).collect():
+        held[r["class"]].add(r.doc_id)
+    got, seen = {}, set()
+    for r in ngram_join.ngram_links(docs).collect():
+        assert (r.class_a, r.class_b) not in seen and r.class_a <= r.class_b
+        seen.add((r.class_a, r.class_b))
+        assert (r.doc_a, r.docs_a, r.doc_b, r.docs_b) == tuple(f(held[c]) for c in (r.class_a, r.class_b) for f in (min, len))
+        got |= {frozenset((a, b)): (frozenset((r.n_a, r.n_b)), r.n_common) for a in held[r.class_a] for b in held[r.class_b] if a != b}
+    assert got == want and want
+
+
 def test_keep_one_each(spark):
     docs = near_copies(spark).unionByName(odd_documents(spark))
     kept = ngram_join.keep_one_each(docs)

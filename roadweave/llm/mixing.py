@@ -9,6 +9,10 @@ goes on with the weights of the others, so every document is placed exactly once
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +20,7 @@ from roadweave.llm.shared import stored
 
 #: Bytes of a block; blocks grow with the corpus so that there are at most MOST_BLOCKS and one a source.
 BLOCK_BYTES, MOST_BLOCKS = 256 << 10, 16_384
-#: Sources that a schedule may name; they are a list that someone configures.
+#: Sources whose schedule is one fold in Spark; that of more is made on the driver.
 MOST_SOURCES = 1_000
 #: Rows that one task numbers at a time.
 LOT_ROWS = 200_000
@@ -127,6 +131,58 @@ def schedule(supply: DataFrame, weights: DataFrame) -> DataFrame:
     return placed.select("source", F.col("_k").cast("long").alias("block"), "release", "deadline", F.col("position").cast("long").alias("position"))
 
 
+def windows_of(blocks: np.ndarray, weight: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(source index, block, release, deadline) of every block, as in ``schedule``.
+
+    The ideal's slots by virtual time are piecewise linear, with corners where a source starts
+    or runs dry, so they are summed once over the corners and looked up for every block.
+    """
+    corners = np.concatenate([start, start + blocks / weight])
+    order = np.argsort(corners, kind="stable")
+    corners, slope = corners[order], np.cumsum(np.concatenate([weight, -weight])[order], dtype=np.longdouble)  # small weights are left of large sums
+    filled = np.concatenate([[0.0], np.cumsum(slope[:-1] * np.diff(corners))])
+
+    def given(v: np.ndarray) -> np.ndarray:
+        at = np.maximum(np.searchsorted(corners, v, side="right") - 1, 0)
+        return filled[at] + slope[at] * (v - corners[at])
+
+    i = np.repeat(np.arange(len(blocks)), blocks)
+    k = np.arange(len(i)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    release = np.floor(given(start[i] + k / weight[i]) + 1e-7).astype(np.int64)
+    deadline = np.ceil(given(start[i] + (k + 1) / weight[i]) - 1e-7).astype(np.int64)
+    return i, k, release, deadline
+
+
+def earliest_deadlines(source: np.ndarray, release: np.ndarray, deadline: np.ndarray) -> np.ndarray:
+    """Position of every block: in each slot the released one that is due first, of several that of the first source.
+
+    A heap holds the released blocks, at most about one a source.
+    """
+    order, position = np.lexsort((source, deadline, release)), np.empty(len(source), np.int64)
+    heap: list[tuple[int, int, int]] = []
+    n, opened, due, owner = 0, release[order].tolist(), deadline[order].tolist(), source[order].tolist()
+    for slot in range(len(order)):
+        while n < len(order) and (opened[n] <= slot or not heap):
+            heapq.heappush(heap, (due[n], owner[n], n))
+            n += 1
+        position[order[heapq.heappop(heap)[2]]] = slot
+    return position
+
+
+def schedule_many(supply: DataFrame, weights: DataFrame) -> DataFrame:
+    """``schedule`` for any number of sources, with a heap on the driver: one row a source goes there, one a block comes back."""
+    spark = supply.sparkSession
+    table = supply.join(weights.select(F.col("source").alias("_s"), "weight"), F.col("source") == F.col("_s"), "left").select("source", "blocks", F.col("weight").cast("double").alias("weight"))
+    got = table.filter("blocks > 0").toPandas()
+    got = got.iloc[np.argsort(np.array([s.encode() for s in got["source"]], dtype=object), kind="stable")]
+    blocks, weight = got["blocks"].to_numpy(np.int64), got["weight"].to_numpy(np.float64)
+    late = ~(weight > 0)
+    start = np.where(late, (blocks[~late] / weight[~late]).max(initial=0.0), 0.0)
+    i, k, release, deadline = windows_of(blocks, np.where(late, blocks, weight), start)
+    made = pd.DataFrame({"source": got["source"].to_numpy()[i], "block": k, "release": release, "deadline": deadline, "position": earliest_deadlines(i, release, deadline)})
+    return spark.createDataFrame(made, "source string, block long, release int, deadline int, position long")
+
+
 def mix(docs: DataFrame, weights: DataFrame | None = None, temperature: float = 1.4, block_bytes: int = BLOCK_BYTES, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """``docs`` with source_block, release, deadline, position (of the block) and place (in the block).
 
@@ -134,18 +190,17 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, temperature: float =
     power 1 / temperature. Every row is placed once: none is dropped or repeated. Null sources
     are one source ''. Null texts have one byte, null doc_ids come first; repeated rows are
     placed one after the other; an empty table gives no rows; columns of the input named like
-    the new ones are replaced. More than MOST_SOURCES sources raise ValueError.
+    the new ones are replaced. Any number of sources is mixed.
     """
     made = ("source_block", "release", "deadline", "position", "place")
     keep = [c for c in docs.columns if c not in made]
     dealt = deal_blocks(docs.select(*keep), block_bytes, most_blocks)
     dealt = stored(dealt, "mix-blocks")
     sizes = stored(dealt.groupBy("_source").agg(F.sum("_size").alias("bytes"), (F.max("_block") + 1).alias("blocks")).withColumnRenamed("_source", "source"), "mix-sources")
-    if sizes.count() > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources to mix; group them first")
+    many = sizes.count() > MOST_SOURCES
     targets = tempered_weights(sizes, temperature) if weights is None else weights
-    plan = stored(schedule(sizes.select("source", "blocks"), targets), "mix-schedule")
+    plan = stored((schedule_many if many else schedule)(sizes.select("source", "blocks"), targets), "mix-schedule")
     due = plan.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "release", "deadline", "position")
-    # At most MOST_BLOCKS rows and one a source, so it may go to every task.
-    placed = dealt.join(F.broadcast(due), (F.col("_source") == F.col("_s")) & (F.col("_block") == F.col("_b")))
+    # At most MOST_BLOCKS rows and one a source: with few sources it may go to every task.
+    placed = dealt.join(due if many else F.broadcast(due), (F.col("_source") == F.col("_s")) & (F.col("_block") == F.col("_b")))
     return placed.select(*keep, F.col("_block").alias("source_block"), "release", "deadline", "position", F.col("_order").alias("place"))

@@ -264,6 +264,25 @@ def test_mixing_given_weights(spark):
     assert mixing.mix(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("supply, weights", [
+    ({"a": 100, "b": 3, "c": 40, "d": 1}, {"a": 0.4, "b": 0.05, "c": 0.5}),
+    ({f"s{i}": 5 + 11 * i for i in range(12)}, {f"s{i}": (i + 1) ** 0.5 for i in range(12)}),
+])
+def test_schedules_agree(spark, supply, weights):
+    table = spark.createDataFrame(list(supply.items()), "source string, blocks long")
+    targets = spark.createDataFrame(list(weights.items()), "source string, weight double")
+    assert Counter(map(tuple, mixing.schedule_many(table, targets).collect())) == Counter(map(tuple, mixing.schedule(table, targets).collect()))
+
+
+def test_mixing_many_sources(spark):
+    docs = spark.range(9_000).select(F.col("id").alias("doc_id"), F.lit("x" * 9).alias("text"), F.concat(F.lit("s"), F.least(F.pmod("id", F.lit(3_000)), F.lit(1_500)).cast("string")).alias("source"))
+    rows = mixing.mix(docs, block_bytes=20).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(9_000)) and len({r.source for r in rows}) == 1_501
+    plan = list({(r.source, r.source_block): r for r in rows}.values())
+    assert sorted(r.position for r in plan) == list(range(len(plan)))
+    assert all(r.release <= r.position < r.deadline for r in rows)
+
+
 def test_masks_find_any_two_substitutions():
     span = range(decontamination.WINDOW)
     for lost in itertools.combinations(span, decontamination.SUBSTITUTIONS):

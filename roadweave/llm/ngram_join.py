@@ -1,132 +1,48 @@
 """N-gram Jaccard join (operator 2).
 
-Method: token-group matrix. Similar documents (one key token, then a checked similarity
-with a leader) are partitioned into groups, and each group stores the union of
-its members' tokens. The part of the matrix that a partner must meet (the prefix tokens,
-see below) is joined token by token; it bounds the overlap of any two groups, and only
-group pairs whose bound admits a link are opened. Opening a group tests each visitor
-against the group's whole token union first, and against members only if that qualifies.
+Method: token-group matrix. Classes of equal sets are partitioned into groups of similar
+documents: a group has one key, the least of its members' frequent tokens (else of all
+tokens). The matrix joins the prefix tokens of every class (see below) with the groups whose
+token union holds them; the sum over tokens bounds the overlap of a class with a whole group,
+and only groups whose bound admits a link are opened. An opened group keeps its members'
+tokens as one sorted union with the members of each token; a visitor is first tested against
+that union, then counted against all members at once.
+
+Every pair is tried in one place: classes visit groups with lesser keys, and their own group,
+whose members lie in lots of bounded size, their own and lesser lots.
 
 Exactness. Let J = 3/4. With tokens in any fixed global order, two linked sets a, b share
 c tokens among the first n - ceil(3n/4) + 1 of each, and c >= ceil(3(a+b)/7) -
 ceil(3 max(a,b)/4) + 1 (all common tokens beyond the shorter of both prefixes lie in the
 rest of one set). The order puts frequent tokens last, so that passages many documents
 share do not make candidates; frequencies only choose the order, never the result.
-For components, links between documents already known to be connected are not looked for;
-``ngram_links`` opens every qualifying pair of groups, and each group for itself.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadweave.llm.components import connected_components
 from roadweave.llm.shared import stored
+from roadweave.llm.shingles import print_of, shingle_sets
 
-SHINGLE = 5
-#: Members that a group's key lot has at most, about; visitors that one task of an opened group takes, about.
-LOT, VISITORS = 2048, 2000
+#: Members and their tokens that a lot of a group has at most, about; visitors that one task of an opened lot takes, about.
+LOT, LOT_TOKENS, VISITORS = 2048, 2_000_000, 512
 #: Counters of the frequency summary in each task, and those it reports; tokens that the order
 #: puts last; least summed count for it.
 COUNTERS, REPORTED, FREQUENT, LEAST_COUNT = 1 << 20, 1 << 16, 1 << 17, 12
-#: Least hashes of a set by which lots look for a leader, and how many of them must agree.
-SKETCH, SKETCH_COMMON = 32, 12
-#: Bits of the filters that keep documents without partners from being moved.
+#: Bits of the map that keeps texts outside all opened groups from being moved; with more keys than a quarter of it, no map is made.
 FILTER_BITS = 1 << 25
 #: Matrix rows that one task sorts, about.
 MATRIX_ROWS = 1_000_000
-
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], dtype=np.uint64)
-_WORDS: dict[bytes, int] = {}
-_WORDS_HELD = 300_000
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-def shingle_set(text: bytes | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's 5-word shingles; of fewer words, one of them all."""
-    import xxhash
-
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(_WORDS) > _WORDS_HELD:
-        _WORDS.clear()
-    known = _WORDS
-    for w in set(words).difference(known):
-        known[w] = xxhash.xxh64_intdigest(w)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    if len(h) < SHINGLE:
-        return _mixed(np.array([(h * _MIX[: len(h)]).sum(dtype=np.uint64)]) + np.uint64(len(h)))
-    n = len(h) - SHINGLE + 1
-    total = h[:n] * _MIX[0]
-    for k in range(1, SHINGLE):
-        total = total + h[k : k + n] * _MIX[k]
-    return np.unique(_mixed(total))
-
-
-def common(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two sorted sets."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(a):
-        return 0
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int(np.count_nonzero(b[at] == a))
-
-
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    if not len(a) or not len(b) or 4 * min(len(a), len(b)) < 3 * max(len(a), len(b)):
-        return False
-    both = common(a, b)
-    return 100 * both >= 75 * (len(a) + len(b) - both)
-
-
-def prefix(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """First n - ceil(3n/4) + 1 tokens in the order (frequent, hash)."""
-    n = len(tokens)
-    if not n:
-        return tokens
-    length = n - (3 * n + 3) // 4 + 1
-    if len(frequent):
-        at = np.searchsorted(frequent, tokens)
-        at[at == len(frequent)] = 0
-        often = frequent[at] == tokens
-        tokens = np.concatenate([tokens[~often], tokens[often]])
-    return tokens[:length]
-
-
-def group_key(tokens: np.ndarray, frequent: np.ndarray) -> int:
-    """Least frequent token of a set, else its least token, as a signed long.
-
-    Near copies share most tokens, so few of them lack the one that the others have first;
-    those meet at the next. A token of their own would set each apart.
-    """
-    if len(frequent):
-        at = np.searchsorted(frequent, tokens)
-        at[at == len(frequent)] = 0
-        often = np.flatnonzero(frequent[at] == tokens)
-        if len(often):
-            return int(tokens[often[0]].view(np.int64))
-    return int(tokens[0].view(np.int64))
-
-
-def _texts(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
-    return batch.column(column).cast(pa.binary()).to_pylist()
+#: Fingerprints that a task remembers, so that copies which it reads make rows only once.
+SEEN = 1 << 20
 
 
 class _Frequencies:
@@ -165,14 +81,13 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each document its set's size and fingerprint; at the end the frequent tokens."""
     often = _Frequencies()
     for batch in batches:
-        sizes, prints = [], []
-        for text in _texts(batch, "text"):
-            tokens = shingle_set(text)
+        sizes, prints = [np.zeros(0, np.int64)], []
+        for _, tokens, bounds in shingle_sets(batch.column("text")):
             often.add(tokens)
-            sizes.append(len(tokens))
-            prints.append(_print_of(tokens))
+            sizes.append(np.diff(bounds))
+            prints += [print_of(tokens[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.nulls(len(sizes), pa.int64()), pa.array([False] * len(sizes), pa.bool_())],
+            [batch.column("doc_id"), pa.array(np.concatenate(sizes)), pa.array(prints, pa.binary()), pa.nulls(len(prints), pa.int64()), pa.array([False] * len(prints), pa.bool_())],
             names=["doc_id", "n", "print", "token", "summary"],
         )
     often.flush()
@@ -184,329 +99,412 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def key_filter(keys: DataFrame, column: str) -> np.ndarray:
-    """Bit map over the low bits of long keys, FILTER_BITS long at any size of input.
-
-    A clear bit proves that the key is absent; a set bit proves nothing.
-    """
-    words = (
-        keys.select(F.col(column).bitwiseAND(F.lit(FILTER_BITS - 1)).alias("s"))
-        .groupBy(F.shiftright("s", 6).alias("w"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(s & 63L as int)))").alias("b"))
-        .groupBy(F.shiftright("w", 12).alias("page"))
-        .agg(F.collect_list(F.struct("w", "b")).alias("held"))
-    )
-    table = np.zeros(FILTER_BITS // 64, np.int64)
-    for row in words.select(F.col("held.w").alias("w"), F.col("held.b").alias("b")).collect():  # at most FILTER_BITS / 64 words in all
-        table[row.w] = row.b
-    return table
+class Order:
+    """The order of tokens: rare ones by hash, then ``frequent`` ones by their rank."""
 
+    def __init__(self, frequent: np.ndarray, rank: np.ndarray) -> None:
+        self.frequent, self.rank = frequent, rank
 
-def _bits(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slots = keys & (FILTER_BITS - 1)
-    return (table[slots >> 6] >> (slots & 63)) & 1 == 1
+    def places(self, tokens: np.ndarray) -> np.ndarray:
+        """Place of each token among the frequent ones, -1 for rare ones."""
+        if not len(self.frequent):
+            return np.full(len(tokens), -1)
+        at = np.searchsorted(self.frequent, tokens)
+        at[at == len(self.frequent)] = 0
+        return np.where(self.frequent[at] == tokens, at, -1)
 
+    def prefix(self, tokens: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rare and frequent tokens among the first n - ceil(3n/4) + 1 of a set that is not empty."""
+        length = len(tokens) - (3 * len(tokens) + 3) // 4 + 1
+        rare = tokens[places < 0][:length]
+        if len(rare) == length:
+            return rare, tokens[:0]
+        at = places[places >= 0]
+        return rare, self.frequent[at[np.argsort(self.rank[at])][: length - len(rare)]]
 
-def _admitted(df: DataFrame, column: str, table: np.ndarray) -> DataFrame:
-    """Rows of ``df`` whose key's bit is set; the map goes to every task (FILTER_BITS / 8 bytes)."""
-    sent = df.sparkSession.sparkContext.broadcast(table)
+    def key(self, tokens: np.ndarray, places: np.ndarray) -> int:
+        """Least frequent token by hash, else the least token: near copies mostly share it."""
+        often = np.flatnonzero(places >= 0)
+        return int(tokens[often[0] if len(often) else 0])
 
-    @F.pandas_udf("boolean")
-    def passes(keys: pd.Series) -> pd.Series:
-        return pd.Series(_bits(sent.value, keys.to_numpy()))
 
-    return df.filter(F.col(column).isNotNull() & passes(F.coalesce(F.col(column), F.lit(0)).cast("long")))
-
-
-def _group_rows(leaders: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([g[0] for g in leaders], pa.int64()),
-            pa.array([g[1] for g in leaders], pa.list_(pa.int64())),
-            pa.array([g[2] for g in leaders], pa.int64()),
-            pa.array([g[3] for g in leaders], pa.int64()),
-            pa.array([g[4].view(np.int64) for g in leaders], pa.list_(pa.int64())),
-        ],
-        names=["grp", "members", "least_n", "most_n", "prefix"],
-    )
+def _order(survey: DataFrame) -> Order:
+    often = survey.filter("summary").groupBy("token").agg(F.sum("n").alias("k")).filter(F.col("k") >= LEAST_COUNT).orderBy(F.col("k").desc(), "token").limit(FREQUENT)
+    found = often.collect()  # at most FREQUENT
+    tokens = np.array([r.token for r in found], dtype=np.int64).view(np.uint64)
+    by_hash = np.argsort(tokens)
+    return Order(tokens[by_hash], (len(tokens) - 1 - np.arange(len(tokens)))[by_hash])
 
 
-GROUPS = "grp long, members array<long>, least_n long, most_n long, prefix array<long>"
+def _group() -> Column:
+    """The group of an owner is its upper half (groups whose keys agree there are one)."""
+    return F.shiftrightunsigned("owner", 32)
 
 
-def _lead(lot: list[tuple[int, np.ndarray]], frequent: np.ndarray) -> list:
-    """Groups of one lot: each document joins the first leader that it links to, or leads.
+def _prefixes(slim: DataFrame, order: Order) -> DataFrame:
+    """Classes (owner, print, rare, often) with their prefix tokens, once for each task that meets one.
 
-    Leaders whose least hashes hardly agree are passed over; that may only leave two groups
-    where one would do, and their link is then found like any other.
+    An owner is a long: the upper half of its group's key, then of its fingerprint.
     """
-    found: list[list] = []
-    for key, tokens in lot:
-        first, sketch = prefix(tokens, frequent), frozenset(tokens[:SKETCH].tolist())
-        enough = min(SKETCH_COMMON, len(sketch) * SKETCH_COMMON // SKETCH)
-        for g in found:
-            if len(sketch & g[6]) >= enough and linked(g[5], tokens):
-                g[1].append(key)
-                g[2], g[3] = min(g[2], len(tokens)), max(g[3], len(tokens))
-                g[4].append(first)
-                break
-        else:
-            found.append([key, [key], len(tokens), len(tokens), [first], tokens, sketch])
-    return [(*g[:4], np.unique(np.concatenate(g[4]))) for g in found]
-
+    sent = slim.sparkSession.sparkContext.broadcast(order)
 
-def _print_of(tokens: np.ndarray) -> bytes | None:
-    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, seen = sent.value, set()
+        for batch in batches:
+            for _, tokens, bounds in shingle_sets(batch.column("text")):
+                every, owners, prints, rare, often = order.places(tokens), [], [], [], []
+                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                    own = tokens[a:b]
+                    name = print_of(own)
+                    if name is None or name in seen:
+                        continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(name)
+                    first = order.prefix(own, every[a:b])
+                    owners.append((order.key(own, every[a:b]) >> 32) << 32 | int.from_bytes(name[:4], "big"))
+                    prints.append(name)
+                    rare.append(first[0])
+                    often.append(first[1])
+                if owners:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.array(owners, np.uint64).view(np.int64)), pa.array(prints, pa.binary()), _lists(rare), _lists(often)], names=["owner", "print", "rare", "often"]
+                    )
+
+    return stored(slim.select("text").mapInArrow(cut, "owner long, print binary, rare array<long>, often array<long>"), "ngram-prefixes")
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    bounds = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(arrays).view(np.int64)))
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The matrix of rare tokens: (owner, home, c) for each class and each group, not above its own, whose union holds c of its prefix tokens.
+
+    Rows with home its own group count other members' tokens only, and come with 0 for a
+    class that others visit.
+    """
+    held = [(b.column("owner").to_numpy().view(np.uint64), b.column("token").to_numpy()) for b in batches]
+    if not held:
+        return
+    owners, tokens = (np.concatenate(x) for x in zip(*held))
+    held.clear()
+    order = np.argsort(tokens, kind="stable")
+    owners, tokens = owners[order], tokens[order]
+    with_another = np.zeros(len(tokens), bool)
+    same = tokens[1:] == tokens[:-1]
+    with_another[1:] |= same
+    with_another[:-1] |= same
+    owners, tokens = owners[with_another], tokens[with_another]
+    order = np.lexsort((owners, tokens))
+    owners, tokens = owners[order], tokens[order]
+    once = np.ones(len(tokens), bool)
+    once[1:] = (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1])
+    owners, tokens = owners[once], tokens[once]
+    if not len(tokens):
+        return
+    groups = owners >> np.uint64(32)
+    new_token = np.r_[True, tokens[1:] != tokens[:-1]]
+    new_entry = new_token | np.r_[True, groups[1:] != groups[:-1]]
+    run, entry = np.cumsum(new_token) - 1, np.cumsum(new_entry) - 1
+    first_entry = entry[np.flatnonzero(new_token)][run]
+    entry_group, in_entry, in_token = groups[new_entry].view(np.int64), np.bincount(entry), np.bincount(run)
+    below = entry - first_entry
+    ends = np.cumsum(below)
+    begin = 0
+    while begin < len(tokens):  # lesser groups, about a million rows at a time
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + 1_000_000)))
+        some = below[begin:end]
+        at = np.repeat(np.arange(begin, min(end, len(tokens))), some)
+        step = np.arange(len(at)) - np.repeat(np.cumsum(some) - some, some)
+        yield from _summed(owners[at].view(np.int64), entry_group[first_entry[at] + step], np.ones(len(at), np.int64))
+        begin = end
+    shared = in_token[run] > 1
+    yield from _summed(owners[shared].view(np.int64), groups[shared].view(np.int64), (in_entry[entry[shared]] > 1).astype(np.int64))
+
+
+def _summed(owners: np.ndarray, homes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if not len(owners):
+        return
+    order = np.lexsort((homes, owners))
+    owners, homes, counts = owners[order], homes[order], counts[order]
+    first = np.flatnonzero(np.r_[True, (owners[1:] != owners[:-1]) | (homes[1:] != homes[:-1])])
+    counts = np.add.reduceat(counts, first)
+    for i in range(0, len(first), 50_000):
+        at = first[i : i + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(owners[at]), pa.array(homes[at]), pa.array(counts[i : i + 50_000])], names=["owner", "home", "c"])
 
 
-def _make_groups(slim: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """Partition of one document of each class (equal sets) into groups, with their prefix tokens.
+def _meet_often(prefixes: DataFrame) -> DataFrame:
+    """``_meet`` for the frequent tokens, of which one may stand in a third of all rows.
 
-    ``slim`` has doc_id and text.
+    Classes join the groups of each token, not each other; the engine splits a hot token's
+    rows in that join, as they all meet the same few groups.
     """
-    context = slim.sparkSession.sparkContext
-    often = context.broadcast(frequent)
+    rows = prefixes.select("owner", F.explode("often").alias("token")).distinct()
+    entries = rows.groupBy(F.col("token").alias("_token"), _group().alias("home")).agg(F.count(F.lit(1)).alias("_members"))
+    shared = entries.groupBy(F.col("_token").alias("_shared")).agg(F.sum("_members").alias("_all")).filter("_all > 1").select("_shared")
+    entries = entries.join(shared, F.col("_token") == F.col("_shared"), "left_semi")
+    met = rows.join(entries, (F.col("token") == F.col("_token")) & (F.col("home") <= _group()))
+    return met.select("owner", "home", F.when((F.col("home") == _group()) & (F.col("_members") == 1), 0).otherwise(1).cast("long").alias("c"))
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for key, text in zip(batch.column("doc_id").to_pylist(), _texts(batch, "text")):
-                tokens = shingle_set(text)
-                if key is not None and len(tokens):
-                    found.append((key, _print_of(tokens), group_key(tokens, often.value)))
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.int64()))], names=["doc_id", "print", "least"])
-
-    sets = stored(slim.mapInArrow(keys, "doc_id long, print binary, least long"), "ngram-keys")
-    classes = sets.groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.min("least").alias("least"))
-    # Documents whose key has a clear bit share it with nobody and are groups of one;
-    # all others meet in lots of documents with one key. Both ask the same bits.
-    shared = key_filter(sets.groupBy("least").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > 1), "least")
-    crowd = classes.groupBy("least").agg(F.count(F.lit(1)).alias("crowd")).withColumnRenamed("least", "_at")
-    lots = stored(
-        _admitted(classes, "least", shared)
-        .join(crowd, F.col("least") == F.col("_at"))
-        .select(
-            F.col("doc_id").alias("_rep"), F.col("print").alias("_print"), F.col("least").alias("_least"), F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("crowd") / LOT)).cast("int").alias("_lot")
-        ),
-        "ngram-lots",
-    )
-    bits = context.broadcast(shared)
 
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            alone = []
-            for key, text in zip(batch.column("doc_id").to_pylist(), _texts(batch, "text")):
-                tokens = shingle_set(text)
-                if key is not None and len(tokens) and not _bits(bits.value, np.array([group_key(tokens, often.value)]))[0]:
-                    alone.append((key, [key], len(tokens), len(tokens), np.unique(prefix(tokens, often.value))))
-            if alone:
-                yield _group_rows(alone)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, lot, seen = None, [], set()
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("_least", "_lot", "doc_id", "_print")]
-            for at, number, key, own, text in zip(*columns, _texts(batch, "text")):
-                if (at, number) != here:
-                    if lot:
-                        yield _group_rows(_lead(lot, often.value))
-                    here, lot, seen = (at, number), [], set()
-                tokens = shingle_set(text)
-                if own not in seen and _print_of(tokens) == own:  # not another text of the same doc_id
-                    seen.add(own)
-                    lot.append((key, tokens))
-        if lot:
-            yield _group_rows(_lead(lot, often.value))
-
-    crowded = _admitted(slim, "doc_id", key_filter(lots, "_rep")).join(lots, F.col("doc_id") == F.col("_rep"))
-    met = crowded.repartition("_least", "_lot").sortWithinPartitions("_least", "_lot", "doc_id").mapInArrow(meet, GROUPS)
-    return stored(slim.mapInArrow(single, GROUPS).unionByName(met), "ngram-groups")
-
-
-def _needed(least_a, most_a, least_b, most_b):
-    """A lower bound of the c that a link between members of two groups needs, as a Column.
+def _needed(least_a: Column, most_a: Column, least_b: Column, most_b: Column) -> Column:
+    """A lower bound of the c that a link between members of two groups needs.
 
     Without rounding, c >= 3(a+b)/7 - 3b/4 + 1/4 for sizes a <= b, which is least for the
     smallest a and the largest b that it can link to.
     """
 
-    def least_c(small, large):
+    def least_c(small: Column, large: Column) -> Column:
         larger = F.least(large, F.floor(small * 4 / 3))
         return F.when(larger >= small, F.ceil(3 * small / 7 - 9 * larger / 28 + 0.25 - 1e-6))
 
     return F.greatest(F.lit(1), F.coalesce(F.least(least_c(least_a, most_b), least_c(least_b, most_a)), F.lit(1)))
 
 
-def _candidate_pairs(groups: DataFrame, rows: int) -> DataFrame:
-    """Pairs of groups whose prefix tokens in common admit a link: a < b."""
+def _visits(slim: DataFrame, survey: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hosts (home, lot, owner, print, rep, docs) and visits (home, lot, own, owner, print, rep, docs).
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column("token").to_numpy(), b.column("grp").to_numpy()) for b in batches]
-        if not held:
-            return
-        tokens, owners = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((owners, tokens))
-        tokens, owners = tokens[order], owners[order]
-        # In the sorted rows of a token, each row meets the row `step` places on, for all steps.
-        live, step, waiting, n_waiting = np.arange(len(tokens)), 1, [], 0
-        while True:
-            live = live[live + step < len(tokens)]
-            live = live[tokens[live] == tokens[live + step]]
-            if not len(live):
-                break
-            waiting.append(np.stack([owners[live], owners[live + step]], axis=1))
-            n_waiting += len(live)
-            step += 1
-            if n_waiting > 1_000_000:
-                yield from _summed(waiting)
-                waiting, n_waiting = [], 0
-        yield from _summed(waiting)
-
-    matrix = groups.select("grp", F.explode("prefix").alias("token"))
-    met = matrix.repartition(max(1, -(-rows // MATRIX_ROWS)), "token").mapInArrow(pairs, "a long, b long, c long")
-    counted = met.groupBy("a", "b").agg(F.sum("c").alias("c"))
-    sizes = groups.select("grp", "least_n", "most_n")
-    of = lambda x: sizes.select(F.col("grp").alias(x), F.col("least_n").alias(f"least_{x}"), F.col("most_n").alias(f"most_{x}"))
-    sized = counted.join(of("a"), "a").join(of("b"), "b")
-    reach = (4 * F.col("most_a") >= 3 * F.col("least_b")) & (4 * F.col("most_b") >= 3 * F.col("least_a"))
-    enough = F.col("c") >= _needed(F.col("least_a"), F.col("most_a"), F.col("least_b"), F.col("most_b"))
-    return stored(sized.filter(reach & enough).select("a", "b"), "ngram-pairs")
-
-
-def _summed(waiting: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    if not waiting:
-        return
-    both = np.concatenate(waiting)
-    both = both[np.lexsort((both[:, 1], both[:, 0]))]
-    first = np.flatnonzero(np.r_[True, (both[1:] != both[:-1]).any(axis=1)])
-    counts = np.diff(np.r_[first, len(both)])
-    for i in range(0, len(first), 50_000):
-        at = first[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(both[at, 0]), pa.array(both[at, 1]), pa.array(counts[i : i + 50_000])], names=["a", "b", "c"])
+    A visit is one class before one lot of an opened group; ``own`` marks its own lot. Only
+    members that share a prefix token with a possible visitor are hosts.
+    """
+    order = _order(survey)
+    prefixes = _prefixes(slim, order)
+    total = survey.filter("not summary").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rare = prefixes.select("owner", F.explode("rare").alias("token")).repartition(max(1, -(-(total // 4) // MATRIX_ROWS)), "token").mapInArrow(_meet, "owner long, home long, c long")
+    met = rare.unionByName(_meet_often(prefixes)).groupBy("owner", "home").agg(F.sum("c").alias("c"))
+    named = prefixes.select("owner", F.col("print").alias("_print")).distinct().join(classes, F.col("_print") == F.col("print"))
+    sized = stored(met.join(named.drop("_print").withColumnRenamed("owner", "_owner"), F.col("owner") == F.col("_owner")).drop("_owner"), "ngram-met")
+    lot_of = lambda lots: F.pmod(F.xxhash64("owner"), lots).cast("int")
+    members = sized.filter(F.col("home") == _group())
+    lots = F.greatest(F.ceil(F.count(F.lit(1)) / LOT), F.ceil(F.sum("n") / LOT_TOKENS)).cast("long")
+    groups = members.groupBy(F.col("home").alias("_home")).agg(F.min("n").alias("_least"), F.max("n").alias("_most"), lots.alias("_lots"))
+    at_home = sized.filter("c > 0").join(groups, F.col("home") == F.col("_home"))
+    reach = (4 * F.col("_most") >= 3 * F.col("n")) & (4 * F.col("n") >= 3 * F.col("_least"))
+    paid = stored(at_home.filter(reach & (F.col("c") >= _needed(F.col("n"), F.col("n"), F.col("_least"), F.col("_most")))), "ngram-visits")
+    wanted = ("owner", "print", "rep", "docs")
+    mine = paid.withColumn("_own", F.col("home") == _group()).withColumn("_last", F.when(F.col("_own"), lot_of(F.col("_lots"))).otherwise(F.col("_lots") - 1).cast("int"))
+    visits = mine.withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("_last")))).select("home", "lot", (F.col("_own") & (F.col("lot") == F.col("_last"))).alias("own"), *wanted)
+    opened = groups.join(paid.select(F.col("home").alias("_open")).distinct(), F.col("_home") == F.col("_open"), "left_semi")
+    hosts = members.join(opened, F.col("home") == F.col("_home")).select("home", lot_of(F.col("_lots")).alias("lot"), *wanted)
+    return stored(hosts, "ngram-hosts"), visits
 
 
-LINKS = "print_a binary, print_b binary, n_common long"
+def key_filter(keys: DataFrame, column: str) -> np.ndarray:
+    """Bit map over the low bits of long keys, FILTER_BITS long at any size of input.
 
+    A clear bit proves that the key is absent; a set bit proves nothing.
+    """
+    words = (
+        keys.select(F.col(column).bitwiseAND(F.lit(FILTER_BITS - 1)).alias("s"))
+        .groupBy(F.shiftright("s", 6).alias("w"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(s & 63L as int)))").alias("b"))
+        .groupBy(F.shiftright("w", 12).alias("page"))
+        .agg(F.collect_list(F.struct("w", "b")).alias("held"))
+    )
+    table = np.zeros(FILTER_BITS // 64, np.int64)
+    for row in words.select(F.col("held.w").alias("w"), F.col("held.b").alias("b")).collect():  # at most FILTER_BITS / 64 words in all
+        table[row.w] = row.b
+    return table
 
-def _link_rows(found: set[tuple[bytes, bytes, int]]) -> pa.RecordBatch:
-    a, b, n = zip(*found)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(n, pa.int64())], names=["print_a", "print_b", "n_common"])
 
+def _admitted(df: DataFrame, column: str, table: np.ndarray) -> DataFrame:
+    """Rows of ``df`` whose key's bit is set; the map goes to every task (FILTER_BITS / 8 bytes)."""
+    sent = df.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def passes(keys: pd.Series) -> pd.Series:
+        slots = keys.to_numpy() & (FILTER_BITS - 1)
+        return pd.Series((sent.value[slots >> 6] >> (slots & 63)) & 1 == 1)
 
-def _visit_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All links (LINKS) of each visitor with the members of its host group, by the fingerprints of their sets."""
-    here, home, union, found = None, [], None, set()
+    return df.filter(F.col(column).isNotNull() & passes(F.coalesce(F.col(column), F.lit(0)).cast("long")))
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, print, tokens) of each document that has a set."""
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("home", "task", "visitor")]
-        tokens = batch.column("tokens")
-        for k, (grp, task, visitor) in enumerate(zip(*columns)):
-            if (grp, task) != here:
-                here, home, union = (grp, task), [], None
-            own = tokens[k].values.to_numpy(zero_copy_only=False).view(np.uint64)
-            name = _print_of(own)
-            if visitor is None:
-                home.append((name, own))
-                continue
-            if union is None:
-                union = np.unique(np.concatenate([m for _, m in home]))
-            if 4 * common(own, union) < 3 * len(own):
-                continue
-            found.update((min(name, other), max(name, other), common(own, m)) for other, m in home if other != name and linked(own, m))
-            if len(found) > 50_000:
-                yield _link_rows(found)
-                found = set()
-    if found:
-        yield _link_rows(found)
+        for i in range(0, batch.num_rows, 500):
+            part = batch.slice(i, 500)
+            for first, tokens, bounds in shingle_sets(part.column("text")):
+                prints = pa.array([print_of(tokens[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(tokens.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(first, len(prints)), prints, lists], names=["doc_id", "print", "tokens"]).filter(prints.is_valid())
+
+
+class Lot:
+    """Members of one lot of a group: their token union, and the members of each token."""
+
+    def __init__(self, members: list[tuple]) -> None:
+        self.prints = [m[0] for m in members]
+        self.place = {p: i for i, p in enumerate(self.prints)}
+        self.docs = np.array([m[1] for m in members], np.int64)
+        self.sizes = np.array([len(m[2]) for m in members], np.int64)
+        tokens, owner = np.concatenate([m[2] for m in members]), np.repeat(np.arange(len(members), dtype=np.int32), self.sizes)
+        order = np.argsort(tokens, kind="stable")
+        tokens, self.owner = tokens[order], owner[order]
+        first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+        self.union, self.bounds = tokens[first], np.r_[first, len(tokens)]
+        self.label = np.arange(len(members))
+        self.links = np.zeros(len(members), np.int64)
+
+    def linked(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Members that a set links to, and the tokens in common with each."""
+        at = np.searchsorted(self.union, tokens)
+        at[at == len(self.union)] = 0
+        at = at[self.union[at] == tokens]
+        if 4 * len(at) < 3 * len(tokens):  # a link needs three quarters of the set
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        begin, length = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
+        ends = np.cumsum(length)
+        shared = np.bincount(self.owner[np.arange(ends[-1]) + np.repeat(begin - (ends - length), length)], minlength=len(self.sizes))
+        found = np.flatnonzero(7 * shared >= 3 * (len(tokens) + self.sizes))
+        return found, shared[found]
+
+    def join(self, found: np.ndarray, member: int | None) -> list[int]:
+        """Connects the members that one set links to; returns one of each part that was not connected."""
+        parts, first = np.unique(self.label[found], return_index=True)
+        if member is not None:
+            other = parts != self.label[member]
+            parts, first = np.r_[parts[other], self.label[member]], first[other]
+        if len(parts) > 1:
+            self.label[np.isin(self.label, parts)] = parts.min()
+        return found[first].tolist()
+
 
+LINKS = "print_a binary, print_b binary, n_common long"
+FOUND = "a binary, b binary, links long"
 
-def _open(docs: DataFrame, pairs: DataFrame, members: DataFrame, each: bool = False) -> DataFrame:
-    """Links (a, b) among group ``pairs``, found by opening a for the members of b.
 
-    ``members`` has grp and doc_id. Each task of an opened group gets its members first, then
-    up to about VISITORS visitors; a visitor is tested against the union of the members'
-    tokens, and against members only if at least 3/4 of it lies in the union. With ``each``
-    all links of the visitors (LINKS) instead of one for a visitor's group.
-    """
+def _visit(batches: Iterator[pa.RecordBatch], each: bool) -> Iterator[pa.RecordBatch]:
+    """Opens lots: rows of one (home, lot, part), hosts first.
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                part = batch.slice(i, 200)
-                tokens = [shingle_set(x).view(np.int64) for x in _texts(part, "text")]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(tokens, pa.list_(pa.int64()))], names=["doc_id", "tokens"])
+    Gives FOUND: pairs of classes that connect all that the links connect, and for each class
+    the documents it links to here; with ``each`` all links (LINKS) instead.
+    """
+    out: tuple[list, list, list] = ([], [], [])
+    here, members, lot, waiting = None, [], None, []
+
+    def flush() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.binary(), pa.binary(), pa.int64()))], names=[x.split()[0] for x in (LINKS if each else FOUND).split(", ")])
+        for x in out:
+            x.clear()
+        return made
+
+    def put(a: bytes, b: bytes | None, n: int | None) -> None:
+        out[0].append(a)
+        out[1].append(b)
+        out[2].append(n)
+
+    def call(name: bytes, docs: int, tokens: np.ndarray) -> None:
+        member = lot.place.get(name)
+        found, shared = lot.linked(tokens)
+        if member is not None:
+            other = found != member
+            found, shared = found[other], shared[other]
+        if not len(found):
+            return
+        if each:
+            for k, n in zip(found.tolist(), shared.tolist()):
+                if member is None or name < lot.prints[k]:
+                    put(min(name, lot.prints[k]), max(name, lot.prints[k]), n)
+            return
+        put(name, None, int(lot.docs[found].sum()))
+        if member is None:  # a member of this lot makes the same visit itself
+            lot.links[found] += docs
+        for k in lot.join(found, member):
+            put(name, lot.prints[k], None)
+
+    def close() -> None:
+        nonlocal lot
+        if members and lot is None:
+            lot = Lot(members)
+        for x in waiting:
+            call(*x)
+        waiting.clear()
+        if lot is not None and not each:
+            for k in np.flatnonzero(lot.links).tolist():
+                put(lot.prints[k], None, int(lot.links[k]))
 
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, home, union = None, [], None
-        for batch in batches:
-            found = set()
-            columns = [batch.column(c).to_pylist() for c in ("home", "task", "visitor")]
-            tokens = batch.column("tokens")
-            for k, (grp, task, visitor) in enumerate(zip(*columns)):
-                if (grp, task) != here:
-                    here, home, union = (grp, task), [], None
-                own = tokens[k].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                if visitor is None:
-                    home.append(own)
-                    continue
-                if (grp, visitor) in found:
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("home", "lot", "part", "print", "docs", "host", "visit")]
+        lists = batch.column("tokens")
+        values, bounds = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+        for k, (home, number, part, name, docs, host, visit) in enumerate(zip(*columns)):
+            if (home, number, part) != here:
+                if here is not None:
+                    close()
+                here, members, lot, waiting, seen = (home, number, part), [], None, [], set()
+            if name in seen:  # another row of the same document
+                continue
+            seen.add(name)
+            tokens = values[bounds[k] : bounds[k + 1]]
+            if host:
+                tokens = tokens.copy()
+                members.append((name, docs, tokens))
+                if visit:
+                    waiting.append((name, docs, tokens))
+                continue
+            if lot is None:
+                if not members:
                     continue
-                if union is None:
-                    union = home[0] if len(home) == 1 else np.unique(np.concatenate(home))
-                if 4 * common(own, union) >= 3 * len(own) and any(linked(own, m) for m in home):
-                    found.add((grp, visitor))
-            if found:
-                a, b = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    of_b = members.select(F.col("grp").alias("b"), "doc_id")
-    visits = pairs.join(of_b, "b").select(F.col("a").alias("home"), F.col("b").alias("visitor"), "doc_id")
-    tasks = visits.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / VISITORS).alias("tasks"))
-    placed = visits.join(tasks, "home").select("home", F.pmod(F.xxhash64("doc_id"), "tasks").cast("int").alias("task"), "visitor", "doc_id")
-    hosts = members.join(tasks, F.col("grp") == F.col("home")).select(
-        "home", F.explode(F.sequence(F.lit(0), (F.col("tasks") - 1).cast("int"))).alias("task"), F.lit(None).cast("long").alias("visitor"), "doc_id"
-    )
-    asked = stored(placed.unionByName(hosts), "ngram-visits")
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    wanted = asked.select(F.col("doc_id").alias("_w")).distinct()
-    held = _admitted(slim, "doc_id", key_filter(asked, "doc_id")).join(wanted, F.col("doc_id") == F.col("_w"), "left_semi").mapInArrow(sets, "doc_id long, tokens array<long>")
-    moved = asked.join(held, "doc_id").repartition("home", "task").sortWithinPartitions("home", "task", F.col("visitor").asc_nulls_first())
-    opened = moved.mapInArrow(_visit_each, LINKS) if each else moved.mapInArrow(visit, "a long, b long")
-    return stored(opened.distinct(), "ngram-links")
-
-
-def _matrix(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """slim documents, their survey rows, groups, the groups' members and the candidate pairs of groups."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+                lot = Lot(members)
+            call(name, docs, tokens)
+            if len(out[0]) > 50_000:
+                yield flush()
+        if len(out[0]) > 50_000:
+            yield flush()
+    if here is not None:
+        close()
+    yield flush()
+
+
+def _open(slim: DataFrame, hosts: DataFrame, visits: DataFrame, each: bool = False) -> DataFrame:
+    """What ``_visit`` finds when the lots of ``hosts`` are opened for ``visits``."""
+    parts = visits.groupBy(F.col("home").alias("_home"), F.col("lot").alias("_lot")).agg(F.ceil(F.count(F.lit(1)) / VISITORS).alias("_parts"))
+    here = (F.col("home") == F.col("_home")) & (F.col("lot") == F.col("_lot"))
+    name = ("home", "lot", "part", "print", "rep", "docs")
+    asking = visits.join(parts, here).withColumn("part", F.pmod(F.xxhash64("owner", F.lit(1)), "_parts").cast("int")).select(*name, F.lit(False).alias("host"), F.lit(True).alias("visit"))
+    placed = hosts.join(parts, here).withColumn("part", F.explode(F.sequence(F.lit(0), (F.col("_parts") - 1).cast("int")))).select(*name, F.lit(True).alias("host"), F.lit(False).alias("visit"))
+    asked = stored(placed.unionByName(asking).groupBy(*name).agg(F.max("host").alias("host"), F.max("visit").alias("visit")), "ngram-asked")
+    ids = stored(asked.select(F.col("rep").alias("_wanted")).distinct(), "ngram-wanted")
+    n, nameless = ids.agg(F.count("_wanted"), F.count_if(F.col("_wanted").isNull())).first()
+    known = _admitted(slim, "doc_id", key_filter(ids.filter(F.col("_wanted").isNotNull()), "_wanted")) if n <= FILTER_BITS // 4 else slim
+    kept = known.join(ids, F.col("doc_id") == F.col("_wanted"), "left_semi")
+    if nameless:
+        kept = kept.unionByName(slim.filter(F.col("doc_id").isNull()))
+    sets = kept.mapInArrow(_sets, "doc_id long, print binary, tokens array<long>").withColumnRenamed("print", "_print")
+    moved = asked.join(sets, (F.col("print") == F.col("_print")) & F.col("rep").eqNullSafe(F.col("doc_id"))).select("home", "lot", "part", "print", "docs", "host", "visit", "tokens")
+    grouped = moved.repartition("home", "lot", "part").sortWithinPartitions("home", "lot", "part", F.col("host").desc())
+    found = grouped.mapInArrow(lambda batches: _visit(batches, each), LINKS if each else FOUND)
+    return stored(found, "ngram-found")
+
+
+def _classes(slim: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The survey, and the classes of equal sets (print, rep, docs, n); rep is the least doc_id, null if none has one."""
     survey = stored(slim.mapInArrow(_survey, "doc_id long, n long, print binary, token long, summary boolean"), "ngram-survey")
-    often = survey.filter("summary").groupBy("token").agg(F.sum("n").alias("k")).filter(F.col("k") >= LEAST_COUNT).orderBy(F.col("k").desc(), "token").limit(FREQUENT)
-    frequent = np.sort(np.array([r.token for r in often.select("token").collect()], dtype=np.int64).view(np.uint64))  # at most FREQUENT
-    rows = survey.filter("not summary")
-    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    with_set = survey.filter("not summary").filter(F.col("print").isNotNull())
+    return survey, stored(with_set.groupBy("print").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("docs"), F.first("n").alias("n")), "ngram-classes")
+
 
-    groups = _make_groups(slim, frequent)
-    members = groups.select("grp", F.explode("members").alias("doc_id"))
-    return slim, rows, groups, members, _candidate_pairs(groups, total // 4)
+def _slim(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
 def ngram_links(docs: DataFrame) -> DataFrame:
     """Every link, between classes of equal sets: class_a, class_b, doc_a, doc_b, docs_a, docs_b, n_a, n_b, n_common.
 
     Sets and links are those of ``ngram_components``. doc_ is the least doc_id of a class, docs_
-    its number of documents, n_ its set's size; a row of two classes stands for docs_a * docs_b
-    links. A class of several documents has a row with itself, for the links among them.
+    its number of rows, n_ its set's size; a row of two classes stands for docs_a * docs_b
+    links. A class of several rows has a row with itself, for the links among them.
     Classes are named by their set's fingerprint, as in ``ngram_classes``.
     """
-    slim, rows, groups, members, pairs = _matrix(docs)
-    inside = groups.filter(F.size("members") > 1).select(F.col("grp").alias("a"), F.col("grp").alias("b"))
-    found = _open(slim, pairs.unionByName(inside), members, each=True)
-    classes = stored(
-        rows.filter(F.col("print").isNotNull() & F.col("doc_id").isNotNull())
-        .groupBy("print")
-        .agg(F.min("doc_id").alias("doc"), F.countDistinct("doc_id").alias("docs"), F.first("n").alias("n")),
-        "ngram-classes",
-    )
+    slim = _slim(docs)
+    survey, classes = _classes(slim)
+    found = _open(slim, *_visits(slim, survey, classes), each=True)
     equal = classes.filter("docs > 1").select(F.col("print").alias("print_a"), F.col("print").alias("print_b"), F.col("n").alias("n_common"))
-    of = lambda x: classes.select(F.col("print").alias(f"print_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("doc", "docs", "n")))
+    of = lambda x: classes.select(F.col("print").alias(f"print_{x}"), F.col("rep").alias(f"doc_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("docs", "n")))
     sized = found.unionByName(equal).join(of("a"), "print_a").join(of("b"), "print_b")
     return sized.select(
         F.lower(F.hex("print_a")).alias("class_a"), F.lower(F.hex("print_b")).alias("class_b"), "doc_a", "doc_b", "docs_a", "docs_b", "n_a", "n_b", "n_common"
@@ -514,70 +512,101 @@ def ngram_links(docs: DataFrame) -> DataFrame:
 
 
 def ngram_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class) of every row with a doc_id and a set: which documents a class of ``ngram_links`` holds."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    survey = slim.mapInArrow(_survey, "doc_id long, n long, print binary, token long, summary boolean")
-    return survey.filter(F.col("print").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.lower(F.hex("print")).alias("class"))
+    """(doc_id, class) of every row with a set: which documents a class of ``ngram_links`` holds."""
+    survey = _slim(docs).mapInArrow(_survey, "doc_id long, n long, print binary, token long, summary boolean")
+    return survey.filter("not summary").filter(F.col("print").isNotNull()).select("doc_id", F.lower(F.hex("print")).alias("class"))
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    return found.filter(F.col("b").isNotNull()).select("a", "b")
+
+
+def _connect(slim: DataFrame, hosts: DataFrame, visits: DataFrame) -> DataFrame:
+    """Components (node, component) of classes, without visits between what is already connected.
+
+    First every lot is opened for its own members; then for one member of each component that
+    has other visits to make; then for the rest whose component still differs.
+    """
+    visits = stored(visits, "ngram-all-visits")
+    pairs = _pairs(_open(slim, hosts, visits.filter("own")))
+    reached, left = connected_components(pairs), visits.filter("not own")
+
+    def apart(left: DataFrame) -> DataFrame:
+        """Visits to lots that are not of the visitor's component alone."""
+        label = reached.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+        named = lambda df: df.join(label, F.col("print") == F.col("_node"), "left").withColumn("_at", F.coalesce("_component", "print")).drop("_node", "_component")
+        whole = named(hosts).groupBy(F.col("home").alias("_home"), F.col("lot").alias("_lot")).agg(F.min("_at").alias("_from"), F.max("_at").alias("_to"))
+        asked = named(left).join(whole, (F.col("home") == F.col("_home")) & (F.col("lot") == F.col("_lot")))
+        return stored(asked.filter((F.col("_from") != F.col("_at")) | (F.col("_to") != F.col("_at"))).select(*left.columns, "_at"), "ngram-left")
+
+    left = apart(left)
+    if left.limit(1).count():
+        turn = Window.partitionBy("home", "lot", "_at").orderBy("print")
+        ranked = stored(left.withColumn("_turn", F.row_number().over(turn)), "ngram-left")
+        pairs = stored(pairs.unionByName(_pairs(_open(slim, hosts, ranked.filter("_turn = 1").select(*visits.columns)))), "ngram-pairs")
+        reached = connected_components(pairs)
+        left = apart(ranked.filter("_turn > 1").select(*visits.columns))
+        if left.limit(1).count():
+            reached = connected_components(pairs.unionByName(_pairs(_open(slim, hosts, left.select(*visits.columns)))))
+    return reached
+
+
+def _placed(survey: DataFrame, classes: DataFrame, reached: DataFrame, links: DataFrame | None) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id, print, component, n_links (if ``links`` are given)."""
+    nodes = classes.join(reached.withColumnRenamed("node", "_node"), F.col("print") == F.col("_node"), "left").select("print", "rep", "docs", F.coalesce("component", "print").alias("component"))
+    least = nodes.groupBy("component").agg(F.min("rep").alias("component_id"))
+    nodes = nodes.join(least, "component")
+    if links is not None:
+        counted = links.filter(F.col("links").isNotNull()).groupBy(F.col("a").alias("_a")).agg(F.sum("links").alias("_links"))
+        nodes = nodes.join(counted, F.col("print") == F.col("_a"), "left").withColumn("n_links", F.col("docs") - 1 + F.coalesce("_links", F.lit(0)))
+    made = [F.col("component_id"), F.col("component"), *([F.col("n_links")] if links is not None else [])]
+    rows = survey.filter("not summary")
+    held = rows.filter(F.col("print").isNotNull()).join(nodes.select(F.col("print").alias("_print"), *made), F.col("print") == F.col("_print")).drop("_print")
+    bare = rows.filter(F.col("print").isNull()).withColumns({"component_id": F.col("doc_id"), "component": F.lit(None).cast("binary"), **({"n_links": F.lit(0).cast("long")} if links is not None else {})})
+    return held.unionByName(bare).drop("token", "summary").withColumnRenamed("n", "n_shingles")
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row.
+    """(doc_id, n_shingles, component_id, n_links) of every row.
 
     A document's set holds its distinct 5-word shingles over A-Z-lowered words (of fewer
-    words, the whole sequence); two documents link at Jaccard similarity 3/4 or more, and
-    component_id is the least doc_id that links reach. Null and blank texts have no set and
-    are components of their own; null doc_ids get null. Rows with equal doc_id are one
-    document that links by any of its texts. An empty table gives no rows.
+    words, the whole sequence); two rows link at Jaccard similarity 3/4 or more. component_id
+    is the least doc_id that links reach (null if they reach rows without doc_id only), n_links
+    the number of other rows that a row links to. Null and blank texts have no set and link
+    with nothing. Rows are documents of their own, also those with equal or null doc_id. Texts
+    of any length are read whole, piece by piece; an empty table gives no rows. Other columns
+    are not read.
     """
-    slim, rows, groups, members, pairs = _matrix(docs)
-    # Leaders first: what they connect need not be opened.
-    leaders = groups.select("grp", F.col("grp").alias("doc_id"))
-    # A document with two texts may be in two groups, which it connects.
-    twice = members.groupBy("doc_id").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).filter(F.col("a") < F.col("b")).select("a", "b")
-    links = stored(_open(slim, pairs, leaders).unionByName(twice), "ngram-leader-links")
-    reached = connected_components(links)
-    several = groups.filter(F.size("members") > 1).select(F.col("grp").alias("_several"))
-    label = lambda side: reached.select(F.col("node").alias(f"_n{side}"), F.col("component").alias(f"_c{side}"))
-    open_ = (
-        pairs.join(label("a"), F.col("a") == F.col("_na"), "left")
-        .join(label("b"), F.col("b") == F.col("_nb"), "left")
-        .filter(~F.coalesce(F.col("_ca") == F.col("_cb"), F.lit(False)))
-        .select("a", "b")
-    )
-    touched = open_.join(several, F.col("a") == F.col("_several"), "left_semi").unionByName(open_.join(several, F.col("b") == F.col("_several"), "left_semi")).distinct()
-    touched = stored(touched, "ngram-open-pairs")
-    if touched.limit(1).count():
-        links = stored(links.unionByName(_open(slim, touched, members)), "ngram-all-links")
-        reached = connected_components(links)
-
-    least = members.join(reached, F.col("grp") == F.col("node"), "left").select("doc_id", F.coalesce("component", "grp").alias("c"))
-    # Groups are named by a leader, not by their least member.
-    named = least.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    of_rep = least.join(named, "c").groupBy("doc_id").agg(F.min("component_id").alias("component_id")).select(F.col("doc_id").alias("_rep"), "component_id")
-    sets = rows.filter(F.col("print").isNotNull() & F.col("doc_id").isNotNull())
-    reps = sets.groupBy("print").agg(F.min("doc_id").alias("_own")).join(of_rep, F.col("_own") == F.col("_rep")).select(F.col("print").alias("_p"), "component_id")
-    placed = sets.join(reps, F.col("print") == F.col("_p")).select("doc_id", "n", "component_id")
-    by_doc = placed.groupBy("doc_id").agg(F.min("component_id").alias("component_id")).withColumnRenamed("doc_id", "_d") if _repeats(sets) else None
-    if by_doc is not None:
-        placed = placed.drop("component_id").join(by_doc, F.col("doc_id") == F.col("_d")).select("doc_id", "n", "component_id")
-    rest = rows.filter(F.col("print").isNull() | F.col("doc_id").isNull()).select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return placed.unionByName(rest).withColumnRenamed("n", "n_shingles")
-
-
-def _repeats(sets: DataFrame) -> bool:
-    """Whether some doc_id comes twice."""
-    return sets.groupBy("doc_id").count().filter(F.col("count") > 1).limit(1).count() > 0
+    slim = _slim(docs)
+    survey, classes = _classes(slim)
+    found = _open(slim, *_visits(slim, survey, classes))
+    return _placed(survey, classes, connected_components(_pairs(found)), found).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: the one with the least doc_id.
+    """``docs`` with one row of each component of linked rows: that with the least doc_id (null last), of several the first by text.
 
-    Rows with null doc_id stay. Of rows that repeat a doc_id one stays, the first by text.
+    Rows without a set (null or blank text) are components of their own and stay. Rows with
+    equal doc_id are told apart by their texts; rows alike in both are one.
     """
-    found = stored(ngram_components(docs), "ngram-components")
-    keep = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, F.col("doc_id") == F.col("_keep"), "left_semi")
-    if _repeats(found.filter(F.col("doc_id").isNotNull())):
-        turn = Window.partitionBy("doc_id").orderBy("text")
-        kept = kept.withColumn("_turn", F.row_number().over(turn)).filter(F.col("_turn") == 1).drop("_turn")
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    slim = _slim(docs)
+    survey, classes = _classes(slim)
+    placed = _placed(survey, classes, _connect(slim, *_visits(slim, survey, classes)), None)
+    linked = placed.filter(F.col("print").isNotNull())
+    first = stored(
+        linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "print")).alias("k")).select(F.col("k.doc_id").alias("_doc"), F.col("k.print").alias("_print")),
+        "ngram-kept",
+    )
+    if not survey.filter("not summary").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter((F.col("k") > 1) | F.col("doc_id").isNull()).limit(1).count():
+        bare = placed.filter(F.col("print").isNull()).select(F.col("doc_id").alias("_doc"))
+        return docs.join(first.select("_doc").unionByName(bare), F.col("doc_id") == F.col("_doc"), "left_semi")
+
+    @F.pandas_udf("binary")
+    def fingerprint(texts: pd.Series) -> pd.Series:
+        found = shingle_sets(pa.Array.from_pandas(texts, type=pa.string()))
+        return pd.Series([print_of(t[a:b]) for _, t, bounds in found for a, b in zip(bounds[:-1], bounds[1:])], dtype=object)
+
+    named = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), "text", fingerprint("text").alias("_own"))
+    chosen = named.join(first, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_print")))
+    once = chosen.groupBy("_id", "_own").agg(F.min_by("_row", "text").alias("_row"))
+    return once.select("_row.*").unionByName(named.filter(F.col("_own").isNull()).select("_row.*"))

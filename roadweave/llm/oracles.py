@@ -32,7 +32,8 @@ lk AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
 se AS (SELECT a, b FROM lk UNION SELECT b, a FROM lk),
 cc(id, c) USING KEY (id) AS (SELECT doc_id, doc_id FROM documents UNION
   SELECT m.id, min(m.c) FROM (SELECT se.b AS id, cc.c FROM cc JOIN se ON se.a = cc.id JOIN recurring.cc r ON r.id = se.b WHERE cc.c < r.c) m GROUP BY 1)
-SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, cc.c AS component_id FROM w LEFT JOIN n USING (doc_id) JOIN cc ON cc.id = w.doc_id"""
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, cc.c AS component_id, coalesce(k.k, 0) AS n_links FROM w LEFT JOIN n USING (doc_id) JOIN cc ON cc.id = w.doc_id
+LEFT JOIN (SELECT a AS doc_id, count(*) AS k FROM se GROUP BY 1) k USING (doc_id)"""
 
 OP5 = r"""
 WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

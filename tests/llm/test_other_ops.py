@@ -69,18 +69,31 @@ def brute_components(ids, links):
     return {i: root(i) for i in ids}
 
 
-def brute_join(rows):
-    sets, links = brute_sets(rows), []
+def brute_links(rows):
+    """Pairs of rows (by place) at similarity 3/4 or more, and all sets."""
+    sets = brute_sets(rows)
     at = defaultdict(list)
     for k, s in enumerate(sets):
         for t in s:
             at[t].append(k)
     shared = Counter(p for ks in at.values() for p in itertools.combinations(ks, 2))
-    for (a, b), n in shared.items():
-        if rows[a].doc_id is not None and rows[b].doc_id is not None and 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
-            links.append((rows[a].doc_id, rows[b].doc_id))
-    found = brute_components([r.doc_id for r in rows if r.doc_id is not None], links)
-    return Counter((r.doc_id, len(s), found.get(r.doc_id)) for r, s in zip(rows, sets))
+    return [(a, b) for (a, b), n in shared.items() if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n)], sets
+
+
+def brute_rows(rows):
+    """(doc_id, n_shingles, component_id, n_links) of each row, and each row's component by place."""
+    links, sets = brute_links(rows)
+    part = brute_components(range(len(rows)), links)
+    least = {}
+    for k, r in enumerate(rows):
+        if r.doc_id is not None:
+            least[part[k]] = min(least.get(part[k], r.doc_id), r.doc_id)
+    n_links = Counter(k for pair in links for k in pair)
+    return [(r.doc_id, len(sets[k]), least.get(part[k]), n_links[k]) for k, r in enumerate(rows)], part
+
+
+def brute_join(rows):
+    return Counter(x[:3] for x in brute_rows(rows)[0])
 
 
 def near_copies(spark):
@@ -102,47 +115,69 @@ def near_copies(spark):
 @pytest.mark.parametrize("make, lot, often", [(odd_documents, 256, 12), (sf, 256, 12), (near_copies, 256, 12), (near_copies, 3, 2), (no_documents, 256, 12)])
 def test_ngram_join(spark, monkeypatch, make, lot, often):
     monkeypatch.setattr(ngram_join, "LOT", lot)
+    monkeypatch.setattr(ngram_join, "VISITORS", lot)
     monkeypatch.setattr(ngram_join, "LEAST_COUNT", often)
     docs = make(spark)
     got = ngram_join.ngram_components(docs)
-    assert Counter(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == brute_join(docs.collect())
+    assert Counter(map(tuple, got.select("doc_id", "n_shingles", "component_id", "n_links").collect())) == Counter(brute_rows(docs.collect())[0])
 
 
 @pytest.mark.parametrize("make, lot", [(odd_documents, 256), (near_copies, 3), (near_copies, 2048)])
 def test_ngram_links(spark, monkeypatch, make, lot):
-    """Every pair of linked documents, expanded from the pairs of classes."""
+    """Every pair of linked rows, expanded from the pairs of classes."""
     monkeypatch.setattr(ngram_join, "LOT", lot)
+    monkeypatch.setattr(ngram_join, "LEAST_COUNT", 2 if lot == 3 else 12)
     docs = make(spark)
-    rows = [r for r in docs.collect() if r.doc_id is not None]
-    want = {}
-    for (x, a), (y, b) in itertools.combinations(zip(rows, brute_sets(rows)), 2):
-        if x.doc_id != y.doc_id and a and b and 100 * len(a & b) >= 75 * len(a | b):
-            want[frozenset((x.doc_id, y.doc_id))] = (frozenset((len(a), len(b))), len(a & b))
-    held = defaultdict(set)
+    rows = docs.collect()
+    links, sets = brute_links(rows)
+    want = Counter((frozenset((rows[a].doc_id, rows[b].doc_id)), frozenset((len(sets[a]), len(sets[b]))), len(sets[a] & sets[b])) for a, b in links)
+    held = defaultdict(list)
     for r in ngram_join.ngram_classes(docs).collect():
-        held[r["class"]].add(r.doc_id)
-    got, seen = {}, set()
+        held[r["class"]].append(r.doc_id)
+    got, seen = Counter(), set()
     for r in ngram_join.ngram_links(docs).collect():
         assert (r.class_a, r.class_b) not in seen and r.class_a <= r.class_b
         seen.add((r.class_a, r.class_b))
-        assert (r.doc_a, r.docs_a, r.doc_b, r.docs_b) == tuple(f(held[c]) for c in (r.class_a, r.class_b) for f in (min, len))
-        got |= {frozenset((a, b)): (frozenset((r.n_a, r.n_b)), r.n_common) for a in held[r.class_a] for b in held[r.class_b] if a != b}
+        least = [min((x for x in held[c] if x is not None), default=None) for c in (r.class_a, r.class_b)]
+        assert (r.doc_a, r.docs_a, r.doc_b, r.docs_b) == (least[0], len(held[r.class_a]), least[1], len(held[r.class_b]))
+        pairs = itertools.combinations(held[r.class_a], 2) if r.class_a == r.class_b else itertools.product(held[r.class_a], held[r.class_b])
+        got.update((frozenset(p), frozenset((r.n_a, r.n_b)), r.n_common) for p in pairs)
     assert got == want and want
 
 
-def test_keep_one_each(spark):
-    docs = near_copies(spark).unionByName(odd_documents(spark))
+@pytest.mark.parametrize("make, lot, often", [(near_copies, 256, 12), (near_copies, 3, 2), (odd_documents, 256, 12), (sf, 2048, 12), (no_documents, 256, 12)])
+def test_keep_one_each(spark, monkeypatch, make, lot, often):
+    monkeypatch.setattr(ngram_join, "LOT", lot)
+    monkeypatch.setattr(ngram_join, "LEAST_COUNT", often)
+    docs = make(spark) if make is sf or make is no_documents else make(spark).unionByName(odd_documents(spark))
     kept = ngram_join.keep_one_each(docs)
     assert kept.columns == docs.columns
-    components_ = {c for _, _, c in brute_join(docs.collect())}
-    assert Counter(r.doc_id for r in kept.collect()) == Counter(components_)
+    rows = docs.collect()
+    found, part = brute_rows(rows)
+    assert Counter(r.doc_id for r in kept.collect()) == Counter({c: found[c][2] for c in set(part.values())}.values())
 
 
 def test_same_id_two_texts(spark):
-    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
-    docs = spark.createDataFrame([(5, a), (5, b), (7, b + " c"), (3, a + " c"), (9, "z")], "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(docs).collect()}
-    assert got == {3: 3, 5: 3, 7: 3, 9: 9}
+    """Rows with one doc_id and different texts are told apart, and so are rows without doc_id."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    docs = spark.createDataFrame([(5, a), (5, b), (7, b + " c"), (3, a + " c"), (9, "z"), (None, c), (None, c + " d"), (None, a), (None, None)], "doc_id long, text string")
+    got = Counter(map(tuple, ngram_join.ngram_components(docs).collect()))
+    assert got == Counter([(5, 26, 3, 2), (5, 26, 5, 1), (7, 27, 5, 1), (3, 27, 3, 2), (9, 1, 9, 0), (None, 26, None, 1), (None, 27, None, 1), (None, 26, 3, 2), (None, 0, None, 0)])
+    kept = Counter((r.doc_id, (r.text or "")[:1]) for r in ngram_join.keep_one_each(docs).collect())
+    assert kept == Counter([(5, "b"), (3, "a"), (9, "z"), (None, "c"), (None, "")])
+
+
+def test_prefixes_of_random_sets_share_enough():
+    """The bound that the join rests on, for sets around the threshold and any order of tokens."""
+    random = np.random.default_rng(1)
+    order = ngram_join.Order(np.arange(40, 80, dtype=np.uint64), random.permutation(40))
+    for _ in range(3000):
+        base = random.permutation(100)[: random.integers(1, 60)]
+        a, b = (np.sort(base[random.random(len(base)) < 0.93]).astype(np.uint64) for _ in range(2))
+        if len(a) and len(b) and 7 * len(np.intersect1d(a, b)) >= 3 * (len(a) + len(b)):
+            (ra, fa), (rb, fb) = (order.prefix(x, order.places(x)) for x in (a, b))
+            c = len(np.intersect1d(np.r_[ra, fa], np.r_[rb, fb]))
+            assert c >= max(1, -(-3 * (len(a) + len(b)) // 7) - -(-3 * max(len(a), len(b)) // 4) + 1)
 
 
 def test_components(spark):

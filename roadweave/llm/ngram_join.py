@@ -2,7 +2,7 @@
 
 Method: token-group matrix. Classes of equal sets are partitioned into groups of similar
 documents: a group has one key, the least of its members' frequent tokens (else of all
-tokens). The matrix joins the prefix tokens of every class (see below) with the groups whose
+tokens), and sizes within a factor of 4/3. The matrix joins the prefix tokens of every class (see below) with the groups whose
 token union holds them; the sum over tokens bounds the overlap of a class with a whole group,
 and only groups whose bound admits a link are opened. An opened group keeps its members'
 tokens as one sorted union with the members of each token; a visitor is first tested against
@@ -20,6 +20,7 @@ share do not make candidates; frequencies only choose the order, never the resul
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -141,10 +142,24 @@ def _group() -> Column:
     return F.shiftrightunsigned("owner", 32)
 
 
+#: Bits of a group that hold its size class, the logarithm of the size to the base 4/3.
+SIZE_BITS = 6
+
+
+def group_of(key: int, n: int) -> int:
+    """Number of the group of a set with n tokens, of 32 bits; sets that link are in the same size class or the next."""
+    size = min(int(math.log(n) / math.log(4 / 3) + 1e-9), (1 << SIZE_BITS) - 1)
+    return key >> 32 + SIZE_BITS << SIZE_BITS | size
+
+
+def _size_class(group: np.ndarray | Column) -> np.ndarray | Column:
+    return group % (1 << SIZE_BITS)
+
+
 def _prefixes(slim: DataFrame, order: Order) -> DataFrame:
     """Classes (owner, print, rare, often) with their prefix tokens, once for each task that meets one.
 
-    An owner is a long: the upper half of its group's key, then of its fingerprint.
+    An owner is a long: the number of its group, then 32 bits of its fingerprint.
     """
     sent = slim.sparkSession.sparkContext.broadcast(order)
 
@@ -162,7 +177,7 @@ def _prefixes(slim: DataFrame, order: Order) -> DataFrame:
                         seen.clear()
                     seen.add(name)
                     first = order.prefix(own, every[a:b])
-                    owners.append((order.key(own, every[a:b]) >> 32) << 32 | int.from_bytes(name[:4], "big"))
+                    owners.append(group_of(order.key(own, every[a:b]), len(own)) << 32 | int.from_bytes(name[:4], "big"))
                     prints.append(name)
                     rare.append(first[0])
                     often.append(first[1])
@@ -218,7 +233,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = below[begin:end]
         at = np.repeat(np.arange(begin, min(end, len(tokens))), some)
         step = np.arange(len(at)) - np.repeat(np.cumsum(some) - some, some)
-        yield from _summed(owners[at].view(np.int64), entry_group[first_entry[at] + step], np.ones(len(at), np.int64))
+        home = entry_group[first_entry[at] + step]
+        near = np.abs(_size_class(home) - _size_class(groups[at].view(np.int64))) <= 1
+        yield from _summed(owners[at[near]].view(np.int64), home[near], np.ones(int(near.sum()), np.int64))
         begin = end
     shared = in_token[run] > 1
     yield from _summed(owners[shared].view(np.int64), groups[shared].view(np.int64), (in_entry[entry[shared]] > 1).astype(np.int64))
@@ -246,7 +263,8 @@ def _meet_often(prefixes: DataFrame) -> DataFrame:
     entries = rows.groupBy(F.col("token").alias("_token"), _group().alias("home")).agg(F.count(F.lit(1)).alias("_members"))
     shared = entries.groupBy(F.col("_token").alias("_shared")).agg(F.sum("_members").alias("_all")).filter("_all > 1").select("_shared")
     entries = entries.join(shared, F.col("_token") == F.col("_shared"), "left_semi")
-    met = rows.join(entries, (F.col("token") == F.col("_token")) & (F.col("home") <= _group()))
+    near = F.abs(_size_class(F.col("home")) - _size_class(_group())) <= 1
+    met = rows.join(entries, (F.col("token") == F.col("_token")) & (F.col("home") <= _group()) & near)
     return met.select("owner", "home", F.when((F.col("home") == _group()) & (F.col("_members") == 1), 0).otherwise(1).cast("long").alias("c"))
 
 

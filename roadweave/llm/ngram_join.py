@@ -9,7 +9,8 @@ tokens as one sorted union with the members of each token; a visitor is first te
 that union, then counted against all members at once.
 
 Every pair is tried in one place: classes visit groups with lesser keys, and their own group,
-whose members lie in lots of bounded size, their own and lesser lots.
+whose members lie in lots of bounded size, their own and lesser lots. A lot is opened twice:
+with prefixes, which leaves the members and visitors that may link, then with their texts.
 
 Exactness. Let J = 3/4. With tokens in any fixed global order, two linked sets a, b share
 c tokens among the first n - ceil(3n/4) + 1 of each, and c >= ceil(3(a+b)/7) -
@@ -282,8 +283,8 @@ def _needed(least_a: Column, most_a: Column, least_b: Column, most_b: Column) ->
     return F.greatest(F.lit(1), F.coalesce(F.least(least_c(least_a, most_b), least_c(least_b, most_a)), F.lit(1)))
 
 
-def _visits(slim: DataFrame, survey: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Hosts (home, lot, owner, print, rep, docs) and visits (home, lot, own, owner, print, rep, docs).
+def _visits(slim: DataFrame, survey: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Prefixes, hosts (home, lot, owner, print, rep, docs, n) and visits (the same, and own).
 
     A visit is one class before one lot of an opened group; ``own`` marks its own lot. Only
     members that share a prefix token with a possible visitor are hosts.
@@ -302,12 +303,12 @@ def _visits(slim: DataFrame, survey: DataFrame, classes: DataFrame) -> tuple[Dat
     at_home = sized.filter("c > 0").join(groups, F.col("home") == F.col("_home"))
     reach = (4 * F.col("_most") >= 3 * F.col("n")) & (4 * F.col("n") >= 3 * F.col("_least"))
     paid = stored(at_home.filter(reach & (F.col("c") >= _needed(F.col("n"), F.col("n"), F.col("_least"), F.col("_most")))), "ngram-visits")
-    wanted = ("owner", "print", "rep", "docs")
+    wanted = ("owner", "print", "rep", "docs", "n")
     mine = paid.withColumn("_own", F.col("home") == _group()).withColumn("_last", F.when(F.col("_own"), lot_of(F.col("_lots"))).otherwise(F.col("_lots") - 1).cast("int"))
     visits = mine.withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("_last")))).select("home", "lot", (F.col("_own") & (F.col("lot") == F.col("_last"))).alias("own"), *wanted)
     opened = groups.join(paid.select(F.col("home").alias("_open")).distinct(), F.col("_home") == F.col("_open"), "left_semi")
     hosts = members.join(opened, F.col("home") == F.col("_home")).select("home", lot_of(F.col("_lots")).alias("lot"), *wanted)
-    return stored(hosts, "ngram-hosts"), visits
+    return prefixes, stored(hosts, "ngram-hosts"), visits
 
 
 def key_filter(keys: DataFrame, column: str) -> np.ndarray:
@@ -340,45 +341,34 @@ def _admitted(df: DataFrame, column: str, table: np.ndarray) -> DataFrame:
     return df.filter(F.col(column).isNotNull() & passes(F.coalesce(F.col(column), F.lit(0)).cast("long")))
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, print, tokens) of each document that has a set."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, 500):
-            part = batch.slice(i, 500)
-            for first, tokens, bounds in shingle_sets(part.column("text")):
-                prints = pa.array([print_of(tokens[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
-                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(tokens.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(first, len(prints)), prints, lists], names=["doc_id", "print", "tokens"]).filter(prints.is_valid())
-
-
 class Lot:
-    """Members of one lot of a group: their token union, and the members of each token."""
+    """Members of one lot of a group: their token union, and the members of each token.
+
+    A member is (print, docs, n, tokens, visit); tokens are its set or its prefix.
+    """
 
     def __init__(self, members: list[tuple]) -> None:
         self.prints = [m[0] for m in members]
         self.place = {p: i for i, p in enumerate(self.prints)}
-        self.docs = np.array([m[1] for m in members], np.int64)
-        self.sizes = np.array([len(m[2]) for m in members], np.int64)
-        tokens, owner = np.concatenate([m[2] for m in members]), np.repeat(np.arange(len(members), dtype=np.int32), self.sizes)
+        self.docs, self.sizes = (np.array([m[k] for m in members], np.int64) for k in (1, 2))
+        tokens, owner = np.concatenate([m[3] for m in members]), np.repeat(np.arange(len(members), dtype=np.int32), [len(m[3]) for m in members])
         order = np.argsort(tokens, kind="stable")
         tokens, self.owner = tokens[order], owner[order]
         first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
         self.union, self.bounds = tokens[first], np.r_[first, len(tokens)]
         self.label = np.arange(len(members))
-        self.links = np.zeros(len(members), np.int64)
+        self.links, self.met = np.zeros(len(members), np.int64), np.zeros(len(members), bool)
 
-    def linked(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Members that a set links to, and the tokens in common with each."""
+    def shared(self, tokens: np.ndarray, least: int) -> np.ndarray | None:
+        """Tokens in common with each member; none if fewer than ``least`` are in the union."""
         at = np.searchsorted(self.union, tokens)
         at[at == len(self.union)] = 0
         at = at[self.union[at] == tokens]
-        if 4 * len(at) < 3 * len(tokens):  # a link needs three quarters of the set
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(at) < max(1, least):
+            return None
         begin, length = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
         ends = np.cumsum(length)
-        shared = np.bincount(self.owner[np.arange(ends[-1]) + np.repeat(begin - (ends - length), length)], minlength=len(self.sizes))
-        found = np.flatnonzero(7 * shared >= 3 * (len(tokens) + self.sizes))
-        return found, shared[found]
+        return np.bincount(self.owner[np.arange(ends[-1]) + np.repeat(begin - (ends - length), length)], minlength=len(self.sizes))
 
     def join(self, found: np.ndarray, member: int | None) -> list[int]:
         """Connects the members that one set links to; returns one of each part that was not connected."""
@@ -391,18 +381,85 @@ class Lot:
         return found[first].tolist()
 
 
+UNIT = ("home", "lot", "part")
+CLASS = ("owner", "print", "rep", "docs", "n")
+ASKED = "home long, lot int, part int, owner long, print binary, rep long, docs long, n long, host boolean, visit boolean"
 LINKS = "print_a binary, print_b binary, n_common long"
 FOUND = "a binary, b binary, links long"
 
 
+def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Opens lots with the prefixes of their members: rows (ASKED) of one unit, hosts first.
+
+    Leaves visitors that share enough prefix tokens with some host for a link of their two
+    sizes, and those hosts.
+    """
+    names = [x.split()[0] for x in ASKED.split(", ")]
+    here, rows, members, lot, waiting, out = None, [], [], None, [], []
+
+    def call(row: list, tokens: np.ndarray) -> bool:
+        n = row[7]
+        c = lot.shared(tokens, 1)
+        if c is None:
+            return False
+        small, large = np.minimum(n, lot.sizes), np.maximum(n, lot.sizes)
+        need = np.maximum(1, -(-3 * (n + lot.sizes) // 7) - (3 * large + 3) // 4 + 1)
+        found = (c >= need) & (4 * small >= 3 * large)
+        if row[4] in lot.place:
+            found[lot.place[row[4]]] = False
+        lot.met |= found
+        return bool(found.any())
+
+    def close() -> None:
+        nonlocal lot
+        if not members:
+            return
+        lot = lot or Lot(members)
+        visiting = {row[4] for row, tokens in waiting if call(row, tokens)}
+        for row, met in zip(rows, lot.met):
+            if met or row[4] in visiting:
+                out.append([*row[:8], True, row[4] in visiting])
+
+    def flush() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()))], names=names)
+        out.clear()
+        return made
+
+    for batch in batches:
+        lists = batch.column("tokens")
+        values, bounds = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+        for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in names))):
+            if row[:3] != here:
+                close()
+                here, rows, members, lot, waiting, seen = row[:3], [], [], None, [], set()
+            if row[4] in seen:  # the class as another task met it
+                continue
+            seen.add(row[4])
+            tokens = values[bounds[k] : bounds[k + 1]]
+            if row[8]:
+                rows.append(row)
+                members.append((row[4], row[6], row[7], tokens))
+                if row[9]:
+                    waiting.append((row, tokens))
+                continue
+            if lot is None and members:
+                lot = Lot(members)
+            if lot is not None and call(row, tokens):
+                out.append([*row[:8], False, True])
+        if len(out) > 20_000:
+            yield flush()
+    close()
+    yield flush()
+
+
 def _visit(batches: Iterator[pa.RecordBatch], each: bool) -> Iterator[pa.RecordBatch]:
-    """Opens lots: rows of one (home, lot, part), hosts first.
+    """Opens lots with the whole sets of their members: rows of one unit with their texts, hosts first.
 
     Gives FOUND: pairs of classes that connect all that the links connect, and for each class
     the documents it links to here; with ``each`` all links (LINKS) instead.
     """
     out: tuple[list, list, list] = ([], [], [])
-    here, members, lot, waiting = None, [], None, []
+    here, members, lot, waiting, seen = None, [], None, [], set()
 
     def flush() -> pa.RecordBatch:
         made = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.binary(), pa.binary(), pa.int64()))], names=[x.split()[0] for x in (LINKS if each else FOUND).split(", ")])
@@ -416,15 +473,15 @@ def _visit(batches: Iterator[pa.RecordBatch], each: bool) -> Iterator[pa.RecordB
         out[2].append(n)
 
     def call(name: bytes, docs: int, tokens: np.ndarray) -> None:
-        member = lot.place.get(name)
-        found, shared = lot.linked(tokens)
-        if member is not None:
-            other = found != member
-            found, shared = found[other], shared[other]
+        shared = lot.shared(tokens, -(-3 * len(tokens) // 4))  # a link needs three quarters of the set
+        if shared is None:
+            return
+        found, member = np.flatnonzero(7 * shared >= 3 * (len(tokens) + lot.sizes)), lot.place.get(name)
+        found = found[found != member] if member is not None else found
         if not len(found):
             return
         if each:
-            for k, n in zip(found.tolist(), shared.tolist()):
+            for k, n in zip(found.tolist(), shared[found].tolist()):
                 if member is None or name < lot.prints[k]:
                     put(min(name, lot.prints[k]), max(name, lot.prints[k]), n)
             return
@@ -440,65 +497,73 @@ def _visit(batches: Iterator[pa.RecordBatch], each: bool) -> Iterator[pa.RecordB
             lot = Lot(members)
         for x in waiting:
             call(*x)
-        waiting.clear()
         if lot is not None and not each:
             for k in np.flatnonzero(lot.links).tolist():
                 put(lot.prints[k], None, int(lot.links[k]))
 
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("home", "lot", "part", "print", "docs", "host", "visit")]
-        lists = batch.column("tokens")
-        values, bounds = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
-        for k, (home, number, part, name, docs, host, visit) in enumerate(zip(*columns)):
-            if (home, number, part) != here:
-                if here is not None:
+        columns = list(zip(*(batch.column(c).to_pylist() for c in (*UNIT, "print", "docs", "host", "visit"))))
+        for first, tokens_, bounds in shingle_sets(batch.column("text")):
+            for k, (*unit, name, docs, host, visit) in enumerate(columns[first : first + len(bounds) - 1]):
+                if unit != here:
                     close()
-                here, members, lot, waiting, seen = (home, number, part), [], None, [], set()
-            if name in seen:  # another row of the same document
-                continue
-            seen.add(name)
-            tokens = values[bounds[k] : bounds[k + 1]]
-            if host:
-                tokens = tokens.copy()
-                members.append((name, docs, tokens))
-                if visit:
-                    waiting.append((name, docs, tokens))
-                continue
-            if lot is None:
-                if not members:
+                    here, members, lot, waiting, seen = unit, [], None, [], set()
+                tokens = tokens_[bounds[k] : bounds[k + 1]]
+                if name in seen or print_of(tokens) != name:  # another row, or another text, of the same doc_id
                     continue
-                lot = Lot(members)
-            call(name, docs, tokens)
+                seen.add(name)
+                if host:
+                    members.append((name, docs, len(tokens), tokens))
+                    if visit:
+                        waiting.append((name, docs, tokens))
+                    continue
+                if lot is None:
+                    if not members:
+                        continue
+                    lot = Lot(members)
+                call(name, docs, tokens)
             if len(out[0]) > 50_000:
                 yield flush()
-        if len(out[0]) > 50_000:
-            yield flush()
-    if here is not None:
-        close()
+    close()
     yield flush()
 
 
-def _open(slim: DataFrame, hosts: DataFrame, visits: DataFrame, each: bool = False) -> DataFrame:
+def _open(slim: DataFrame, prefixes: DataFrame, hosts: DataFrame, visits: DataFrame, each: bool = False) -> DataFrame:
     """What ``_visit`` finds when the lots of ``hosts`` are opened for ``visits``."""
     parts = visits.groupBy(F.col("home").alias("_home"), F.col("lot").alias("_lot")).agg(F.ceil(F.count(F.lit(1)) / VISITORS).alias("_parts"))
     here = (F.col("home") == F.col("_home")) & (F.col("lot") == F.col("_lot"))
-    name = ("home", "lot", "part", "print", "rep", "docs")
+    name = (*UNIT, *CLASS)
     asking = visits.join(parts, here).withColumn("part", F.pmod(F.xxhash64("owner", F.lit(1)), "_parts").cast("int")).select(*name, F.lit(False).alias("host"), F.lit(True).alias("visit"))
     placed = hosts.join(parts, here).withColumn("part", F.explode(F.sequence(F.lit(0), (F.col("_parts") - 1).cast("int")))).select(*name, F.lit(True).alias("host"), F.lit(False).alias("visit"))
-    asked = stored(placed.unionByName(asking).groupBy(*name).agg(F.max("host").alias("host"), F.max("visit").alias("visit")), "ngram-asked")
-    ids = stored(asked.select(F.col("rep").alias("_wanted")).distinct(), "ngram-wanted")
-    n, nameless = ids.agg(F.count("_wanted"), F.count_if(F.col("_wanted").isNull())).first()
-    known = _admitted(slim, "doc_id", key_filter(ids.filter(F.col("_wanted").isNotNull()), "_wanted")) if n <= FILTER_BITS // 4 else slim
-    kept = known.join(ids, F.col("doc_id") == F.col("_wanted"), "left_semi")
-    if nameless:
-        kept = kept.unionByName(slim.filter(F.col("doc_id").isNull()))
-    sets = kept.mapInArrow(_sets, "doc_id long, print binary, tokens array<long>").withColumnRenamed("print", "_print")
-    moved = asked.join(sets, (F.col("print") == F.col("_print")) & F.col("rep").eqNullSafe(F.col("doc_id"))).select("home", "lot", "part", "print", "docs", "host", "visit", "tokens")
-    grouped = moved.repartition("home", "lot", "part").sortWithinPartitions("home", "lot", "part", F.col("host").desc())
-    found = grouped.mapInArrow(lambda batches: _visit(batches, each), LINKS if each else FOUND)
+    asked = placed.unionByName(asking).groupBy(*name).agg(F.max("host").alias("host"), F.max("visit").alias("visit"))
+    known = prefixes.select(F.col("owner").alias("_owner"), F.col("print").alias("_print"), F.concat("rare", "often").alias("tokens"))
+    in_units = lambda df: df.repartition(*UNIT).sortWithinPartitions(*UNIT, F.col("host").desc())
+    near = in_units(asked.join(known, (F.col("owner") == F.col("_owner")) & (F.col("print") == F.col("_print"))).drop("_owner", "_print"))
+    asked = stored(near.mapInArrow(_narrow, ASKED), "ngram-asked")
+
+    ids = stored(asked.filter(F.col("rep").isNotNull()).select(F.col("rep").alias("_wanted")).distinct(), "ngram-wanted")
+    n = ids.count()
+    kept = _admitted(slim, "doc_id", key_filter(ids, "_wanted")) if n <= FILTER_BITS // 4 else slim
+    moved = asked.join(kept.withColumnRenamed("doc_id", "_id"), F.col("rep") == F.col("_id")).select(*UNIT, "print", "docs", "host", "visit", "text")
+    nameless = asked.filter(F.col("rep").isNull())
+    if nameless.limit(1).count():
+        unnamed = slim.filter(F.col("doc_id").isNull()).select("text", _fingerprint()("text").alias("_print"))
+        moved = moved.unionByName(nameless.join(unnamed, F.col("print") == F.col("_print")).select(*UNIT, "print", "docs", "host", "visit", "text"))
+    found = in_units(moved).mapInArrow(lambda batches: _visit(batches, each), LINKS if each else FOUND)
     return stored(found, "ngram-found")
 
 
+def _fingerprint():
+    """The fingerprint of a text's set, null for none, as a function on columns."""
+
+    @F.pandas_udf("binary")
+    def fingerprint(texts: pd.Series) -> pd.Series:
+        found = shingle_sets(pa.Array.from_pandas(texts, type=pa.string()))
+        return pd.Series([print_of(t[a:b]) for _, t, bounds in found for a, b in zip(bounds[:-1], bounds[1:])], dtype=object)
+
+    return fingerprint
+
+
 def _classes(slim: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The survey, and the classes of equal sets (print, rep, docs, n); rep is the least doc_id, null if none has one."""
     survey = stored(slim.mapInArrow(_survey, "doc_id long, n long, print binary, token long, summary boolean"), "ngram-survey")
@@ -539,14 +604,14 @@ def _pairs(found: DataFrame) -> DataFrame:
     return found.filter(F.col("b").isNotNull()).select("a", "b")
 
 
-def _connect(slim: DataFrame, hosts: DataFrame, visits: DataFrame) -> DataFrame:
+def _connect(slim: DataFrame, prefixes: DataFrame, hosts: DataFrame, visits: DataFrame) -> DataFrame:
     """Components (node, component) of classes, without visits between what is already connected.
 
     First every lot is opened for its own members; then for one member of each component that
     has other visits to make; then for the rest whose component still differs.
     """
     visits = stored(visits, "ngram-all-visits")
-    pairs = _pairs(_open(slim, hosts, visits.filter("own")))
+    pairs = _pairs(_open(slim, prefixes, hosts, visits.filter("own")))
     reached, left = connected_components(pairs), visits.filter("not own")
 
     def apart(left: DataFrame) -> DataFrame:
@@ -561,11 +626,11 @@ def _connect(slim: DataFrame, hosts: DataFrame, visits: DataFrame) -> DataFrame:
     if left.limit(1).count():
         turn = Window.partitionBy("home", "lot", "_at").orderBy("print")
         ranked = stored(left.withColumn("_turn", F.row_number().over(turn)), "ngram-left")
-        pairs = stored(pairs.unionByName(_pairs(_open(slim, hosts, ranked.filter("_turn = 1").select(*visits.columns)))), "ngram-pairs")
+        pairs = stored(pairs.unionByName(_pairs(_open(slim, prefixes, hosts, ranked.filter("_turn = 1").select(*visits.columns)))), "ngram-pairs")
         reached = connected_components(pairs)
         left = apart(ranked.filter("_turn > 1").select(*visits.columns))
         if left.limit(1).count():
-            reached = connected_components(pairs.unionByName(_pairs(_open(slim, hosts, left.select(*visits.columns)))))
+            reached = connected_components(pairs.unionByName(_pairs(_open(slim, prefixes, hosts, left.select(*visits.columns)))))
     return reached
 
 
@@ -619,12 +684,7 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
         bare = placed.filter(F.col("print").isNull()).select(F.col("doc_id").alias("_doc"))
         return docs.join(first.select("_doc").unionByName(bare), F.col("doc_id") == F.col("_doc"), "left_semi")
 
-    @F.pandas_udf("binary")
-    def fingerprint(texts: pd.Series) -> pd.Series:
-        found = shingle_sets(pa.Array.from_pandas(texts, type=pa.string()))
-        return pd.Series([print_of(t[a:b]) for _, t, bounds in found for a, b in zip(bounds[:-1], bounds[1:])], dtype=object)
-
-    named = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), "text", fingerprint("text").alias("_own"))
+    named = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), "text", _fingerprint()("text").alias("_own"))
     chosen = named.join(first, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_print")))
     once = chosen.groupBy("_id", "_own").agg(F.min_by("_row", "text").alias("_row"))
     return once.select("_row.*").unionByName(named.filter(F.col("_own").isNull()).select("_row.*"))

@@ -1,16 +1,17 @@
 """N-gram Jaccard join (operator 2).
 
 Method: token-group matrix. Classes of equal sets are partitioned into groups of similar
-documents: a group has one key, the least of its members' frequent tokens (else of all
-tokens), and sizes within a factor of 4/3. The matrix joins the prefix tokens of every class (see below) with the groups whose
-token union holds them; the sum over tokens bounds the overlap of a class with a whole group,
-and only groups whose bound admits a link are opened. An opened group keeps its members'
+documents: of its prefix tokens (see below) that another class has too, a class takes the
+least as its key, and a group has one key and sizes within a factor of 4/3. The matrix joins
+these tokens of every class with the groups whose token union holds them; the sum over tokens
+bounds the overlap of a class with a whole group, and only groups whose bound admits a link
+are opened. An opened group keeps its members'
 tokens as one sorted union with the members of each token; a visitor is first tested against
 that union, then counted against all members at once.
 
 Every pair is tried in one place: classes visit groups with lesser keys, and their own group,
 whose members lie in lots of bounded size, their own and lesser lots. A lot is opened twice:
-with prefixes, which leaves the members and visitors that may link, then with their texts.
+with prefix tokens, which leaves the members and visitors that may link, then with their texts.
 
 Exactness. Let J = 3/4. With tokens in any fixed global order, two linked sets a, b share
 c tokens among the first n - ceil(3n/4) + 1 of each, and c >= ceil(3(a+b)/7) -
@@ -124,11 +125,6 @@ class Order:
         at = places[places >= 0]
         return rare, self.frequent[at[np.argsort(self.rank[at])][: length - len(rare)]]
 
-    def key(self, tokens: np.ndarray, places: np.ndarray) -> int:
-        """Least frequent token by hash, else the least token: near copies mostly share it."""
-        often = np.flatnonzero(places >= 0)
-        return int(tokens[often[0] if len(often) else 0])
-
 
 def _order(survey: DataFrame) -> Order:
     often = survey.filter("summary").groupBy("token").agg(F.sum("n").alias("k")).filter(F.col("k") >= LEAST_COUNT).orderBy(F.col("k").desc(), "token").limit(FREQUENT)
@@ -138,29 +134,19 @@ def _order(survey: DataFrame) -> Order:
     return Order(tokens[by_hash], (len(tokens) - 1 - np.arange(len(tokens)))[by_hash])
 
 
-def _group() -> Column:
-    """The group of an owner is its upper half (groups whose keys agree there are one)."""
-    return F.shiftrightunsigned("owner", 32)
-
-
 #: Bits of a group that hold its size class, the logarithm of the size to the base 4/3.
 SIZE_BITS = 6
 
 
-def group_of(key: int, n: int) -> int:
-    """Number of the group of a set with n tokens, of 32 bits; sets that link are in the same size class or the next."""
-    size = min(int(math.log(n) / math.log(4 / 3) + 1e-9), (1 << SIZE_BITS) - 1)
-    return key >> 32 + SIZE_BITS << SIZE_BITS | size
-
-
-def _size_class(group: np.ndarray | Column) -> np.ndarray | Column:
-    return group % (1 << SIZE_BITS)
+def _size_class(n: Column) -> Column:
+    """Sets that link are in the same size class or the next."""
+    return F.least(F.floor(F.log(n) / math.log(4 / 3) + 1e-9), F.lit((1 << SIZE_BITS) - 1)).cast("long")
 
 
 def _prefixes(slim: DataFrame, order: Order) -> DataFrame:
     """Classes (owner, print, rare, often) with their prefix tokens, once for each task that meets one.
 
-    An owner is a long: the number of its group, then 32 bits of its fingerprint.
+    An owner is the first half of a fingerprint.
     """
     sent = slim.sparkSession.sparkContext.broadcast(order)
 
@@ -168,24 +154,21 @@ def _prefixes(slim: DataFrame, order: Order) -> DataFrame:
         order, seen = sent.value, set()
         for batch in batches:
             for _, tokens, bounds in shingle_sets(batch.column("text")):
-                every, owners, prints, rare, often = order.places(tokens), [], [], [], []
+                places, prints, rare, often = order.places(tokens), [], [], []
                 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                    own = tokens[a:b]
-                    name = print_of(own)
+                    name = print_of(tokens[a:b])
                     if name is None or name in seen:
                         continue
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(name)
-                    first = order.prefix(own, every[a:b])
-                    owners.append(group_of(order.key(own, every[a:b]), len(own)) << 32 | int.from_bytes(name[:4], "big"))
+                    first = order.prefix(tokens[a:b], places[a:b])
                     prints.append(name)
                     rare.append(first[0])
                     often.append(first[1])
-                if owners:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.array(owners, np.uint64).view(np.int64)), pa.array(prints, pa.binary()), _lists(rare), _lists(often)], names=["owner", "print", "rare", "often"]
-                    )
+                if prints:
+                    owners = np.array([x[:8] for x in prints], "S8").view(">i8").astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(owners), pa.array(prints, pa.binary()), _lists(rare), _lists(often)], names=["owner", "print", "rare", "often"])
 
     return stored(slim.select("text").mapInArrow(cut, "owner long, print binary, rare array<long>, often array<long>"), "ngram-prefixes")
 
@@ -196,77 +179,59 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The matrix of rare tokens: (owner, home, c) for each class and each group, not above its own, whose union holds c of its prefix tokens.
-
-    Rows with home its own group count other members' tokens only, and come with 0 for a
-    class that others visit.
-    """
-    held = [(b.column("owner").to_numpy().view(np.uint64), b.column("token").to_numpy()) for b in batches]
+    """Rows (owner, token) of the tokens that several owners have, each once."""
+    held = [(b.column("owner").to_numpy(), b.column("token").to_numpy()) for b in batches]
     if not held:
         return
     owners, tokens = (np.concatenate(x) for x in zip(*held))
     held.clear()
-    order = np.argsort(tokens, kind="stable")
-    owners, tokens = owners[order], tokens[order]
-    with_another = np.zeros(len(tokens), bool)
-    same = tokens[1:] == tokens[:-1]
-    with_another[1:] |= same
-    with_another[:-1] |= same
-    owners, tokens = owners[with_another], tokens[with_another]
-    order = np.lexsort((owners, tokens))
-    owners, tokens = owners[order], tokens[order]
-    once = np.ones(len(tokens), bool)
-    once[1:] = (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1])
-    owners, tokens = owners[once], tokens[once]
-    if not len(tokens):
-        return
-    groups = owners >> np.uint64(32)
-    new_token = np.r_[True, tokens[1:] != tokens[:-1]]
-    new_entry = new_token | np.r_[True, groups[1:] != groups[:-1]]
-    run, entry = np.cumsum(new_token) - 1, np.cumsum(new_entry) - 1
-    first_entry = entry[np.flatnonzero(new_token)][run]
-    entry_group, in_entry, in_token = groups[new_entry].view(np.int64), np.bincount(entry), np.bincount(run)
-    below = entry - first_entry
-    ends = np.cumsum(below)
-    begin = 0
-    while begin < len(tokens):  # lesser groups, about a million rows at a time
-        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + 1_000_000)))
-        some = below[begin:end]
-        at = np.repeat(np.arange(begin, min(end, len(tokens))), some)
-        step = np.arange(len(at)) - np.repeat(np.cumsum(some) - some, some)
-        home = entry_group[first_entry[at] + step]
-        near = np.abs(_size_class(home) - _size_class(groups[at].view(np.int64))) <= 1
-        yield from _summed(owners[at[near]].view(np.int64), home[near], np.ones(int(near.sum()), np.int64))
-        begin = end
-    shared = in_token[run] > 1
-    yield from _summed(owners[shared].view(np.int64), groups[shared].view(np.int64), (in_entry[entry[shared]] > 1).astype(np.int64))
-
-
-def _summed(owners: np.ndarray, homes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    if not len(owners):
-        return
-    order = np.lexsort((homes, owners))
-    owners, homes, counts = owners[order], homes[order], counts[order]
-    first = np.flatnonzero(np.r_[True, (owners[1:] != owners[:-1]) | (homes[1:] != homes[:-1])])
-    counts = np.add.reduceat(counts, first)
-    for i in range(0, len(first), 50_000):
-        at = first[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(owners[at]), pa.array(homes[at]), pa.array(counts[i : i + 50_000])], names=["owner", "home", "c"])
-
-
-def _meet_often(prefixes: DataFrame) -> DataFrame:
-    """``_meet`` for the frequent tokens, of which one may stand in a third of all rows.
-
-    Classes join the groups of each token, not each other; the engine splits a hot token's
-    rows in that join, as they all meet the same few groups.
+    for _ in range(2):  # copies that several tasks have met are one owner
+        order = np.argsort(tokens, kind="stable")
+        owners, tokens = owners[order], tokens[order]
+        shared = np.zeros(len(tokens), bool)
+        same = tokens[1:] == tokens[:-1]
+        shared[1:] |= same
+        shared[:-1] |= same
+        owners, tokens = owners[shared], tokens[shared]
+        order = np.lexsort((owners, tokens))
+        owners, tokens = owners[order], tokens[order]
+        once = np.ones(len(tokens), bool)
+        once[1:] = (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1])
+        owners, tokens = owners[once], tokens[once]
+    for i in range(0, len(tokens), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(owners[i : i + 50_000]), pa.array(tokens[i : i + 50_000])], names=["owner", "token"])
+
+
+def _touched(prefixes: DataFrame, classes: DataFrame, rows: int) -> DataFrame:
+    """Classes (owner, print, rep, docs, n, tokens, group) that share prefix tokens with others, and those tokens.
+
+    Rare tokens meet in tasks by token. Of frequent ones, one may stand in a third of all
+    rows: these are counted with map-side sums and joined, which the engine can split.
+    """
+    rare = prefixes.select("owner", F.explode("rare").alias("token")).repartition(max(1, -(-rows // MATRIX_ROWS)), "token").mapInArrow(_meet, "owner long, token long")
+    often = prefixes.select("owner", F.explode("often").alias("token")).distinct()
+    several = often.groupBy(F.col("token").alias("_token")).agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("_token")
+    shared = rare.unionByName(often.join(several, F.col("token") == F.col("_token"), "left_semi"))
+    held = shared.groupBy(F.col("owner").alias("_owner")).agg(F.collect_list("token").alias("tokens"))
+    names = prefixes.select("owner", F.col("print").alias("_print")).distinct()
+    whole = held.join(names, F.col("_owner") == F.col("owner")).join(classes, F.col("_print") == F.col("print")).drop("_owner", "_print")
+    key = F.array_min("tokens")
+    return stored(whole.withColumn("group", key - F.pmod(key, F.lit(1 << SIZE_BITS)) + _size_class(F.col("n"))), "ngram-touched")
+
+
+def _matrix(touched: DataFrame) -> DataFrame:
+    """(owner, home, c) for each class and each group, not above its own, whose union holds c of its tokens.
+
+    Only groups of a size class that the class may link to come. A class's own group counts
+    the tokens that other members have, and 0 makes a member that others may visit. Classes
+    join the groups of each token, not each other; the rows of a hot token meet the same few.
     """
-    rows = prefixes.select("owner", F.explode("often").alias("token")).distinct()
-    entries = rows.groupBy(F.col("token").alias("_token"), _group().alias("home")).agg(F.count(F.lit(1)).alias("_members"))
-    shared = entries.groupBy(F.col("_token").alias("_shared")).agg(F.sum("_members").alias("_all")).filter("_all > 1").select("_shared")
-    entries = entries.join(shared, F.col("_token") == F.col("_shared"), "left_semi")
-    near = F.abs(_size_class(F.col("home")) - _size_class(_group())) <= 1
-    met = rows.join(entries, (F.col("token") == F.col("_token")) & (F.col("home") <= _group()) & near)
-    return met.select("owner", "home", F.when((F.col("home") == _group()) & (F.col("_members") == 1), 0).otherwise(1).cast("long").alias("c"))
+    rows = touched.select("owner", "group", F.explode("tokens").alias("token"))
+    entries = rows.groupBy(F.col("token").alias("_token"), F.col("group").alias("home")).agg(F.count(F.lit(1)).alias("_members"))
+    near = F.abs(F.pmod("home", F.lit(1 << SIZE_BITS)) - F.pmod("group", F.lit(1 << SIZE_BITS))) <= 1
+    met = rows.join(entries, (F.col("token") == F.col("_token")) & (F.col("home") <= F.col("group")) & near)
+    alone = (F.col("home") == F.col("group")) & (F.col("_members") == 1)
+    return met.groupBy("owner", "home").agg(F.sum(F.when(alone, 0).otherwise(1)).alias("c"))
 
 
 def _needed(least_a: Column, most_a: Column, least_b: Column, most_b: Column) -> Column:
@@ -284,31 +249,25 @@ def _needed(least_a: Column, most_a: Column, least_b: Column, most_b: Column) ->
 
 
 def _visits(slim: DataFrame, survey: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Prefixes, hosts (home, lot, owner, print, rep, docs, n) and visits (the same, and own).
+    """Touched classes, hosts (home, lot, owner, print, rep, docs, n) and visits (the same, and own).
 
-    A visit is one class before one lot of an opened group; ``own`` marks its own lot. Only
-    members that share a prefix token with a possible visitor are hosts.
+    A visit is one class before one lot of an opened group; ``own`` marks its own lot.
     """
-    order = _order(survey)
-    prefixes = _prefixes(slim, order)
-    total = survey.filter("not summary").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    rare = prefixes.select("owner", F.explode("rare").alias("token")).repartition(max(1, -(-(total // 4) // MATRIX_ROWS)), "token").mapInArrow(_meet, "owner long, home long, c long")
-    met = rare.unionByName(_meet_often(prefixes)).groupBy("owner", "home").agg(F.sum("c").alias("c"))
-    named = prefixes.select("owner", F.col("print").alias("_print")).distinct().join(classes, F.col("_print") == F.col("print"))
-    sized = stored(met.join(named.drop("_print").withColumnRenamed("owner", "_owner"), F.col("owner") == F.col("_owner")).drop("_owner"), "ngram-met")
-    lot_of = lambda lots: F.pmod(F.xxhash64("owner"), lots).cast("int")
-    members = sized.filter(F.col("home") == _group())
+    rows = survey.filter("not summary").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // 4
+    touched = _touched(_prefixes(slim, _order(survey)), classes, rows)
+    own = touched.select(*CLASS, "group")
     lots = F.greatest(F.ceil(F.count(F.lit(1)) / LOT), F.ceil(F.sum("n") / LOT_TOKENS)).cast("long")
-    groups = members.groupBy(F.col("home").alias("_home")).agg(F.min("n").alias("_least"), F.max("n").alias("_most"), lots.alias("_lots"))
-    at_home = sized.filter("c > 0").join(groups, F.col("home") == F.col("_home"))
+    groups = own.groupBy(F.col("group").alias("_home")).agg(F.min("n").alias("_least"), F.max("n").alias("_most"), lots.alias("_lots"))
+    met = _matrix(touched).filter("c > 0").withColumnRenamed("owner", "_owner").join(own, F.col("_owner") == F.col("owner")).drop("_owner")
     reach = (4 * F.col("_most") >= 3 * F.col("n")) & (4 * F.col("n") >= 3 * F.col("_least"))
-    paid = stored(at_home.filter(reach & (F.col("c") >= _needed(F.col("n"), F.col("n"), F.col("_least"), F.col("_most")))), "ngram-visits")
-    wanted = ("owner", "print", "rep", "docs", "n")
-    mine = paid.withColumn("_own", F.col("home") == _group()).withColumn("_last", F.when(F.col("_own"), lot_of(F.col("_lots"))).otherwise(F.col("_lots") - 1).cast("int"))
-    visits = mine.withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("_last")))).select("home", "lot", (F.col("_own") & (F.col("lot") == F.col("_last"))).alias("own"), *wanted)
+    enough = F.col("c") >= _needed(F.col("n"), F.col("n"), F.col("_least"), F.col("_most"))
+    paid = stored(met.join(groups, F.col("home") == F.col("_home")).filter(reach & enough), "ngram-visits")
+    lot_of = F.pmod(F.xxhash64("owner"), F.col("_lots")).cast("int")
+    mine = paid.withColumn("_own", F.col("home") == F.col("group")).withColumn("_last", F.when(F.col("_own"), lot_of).otherwise(F.col("_lots") - 1).cast("int"))
+    visits = mine.withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("_last")))).select("home", "lot", (F.col("_own") & (F.col("lot") == F.col("_last"))).alias("own"), *CLASS)
     opened = groups.join(paid.select(F.col("home").alias("_open")).distinct(), F.col("_home") == F.col("_open"), "left_semi")
-    hosts = members.join(opened, F.col("home") == F.col("_home")).select("home", lot_of(F.col("_lots")).alias("lot"), *wanted)
-    return prefixes, stored(hosts, "ngram-hosts"), visits
+    hosts = own.join(opened, F.col("group") == F.col("_home")).select(F.col("group").alias("home"), lot_of.alias("lot"), *CLASS)
+    return touched, stored(hosts, "ngram-hosts"), visits
 
 
 def key_filter(keys: DataFrame, column: str) -> np.ndarray:
@@ -389,7 +348,7 @@ FOUND = "a binary, b binary, links long"
 
 
 def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Opens lots with the prefixes of their members: rows (ASKED) of one unit, hosts first.
+    """Opens lots with the shared prefix tokens of their members: rows (ASKED) of one unit, hosts first.
 
     Leaves visitors that share enough prefix tokens with some host for a link of their two
     sizes, and those hosts.
@@ -431,10 +390,7 @@ def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in names))):
             if row[:3] != here:
                 close()
-                here, rows, members, lot, waiting, seen = row[:3], [], [], None, [], set()
-            if row[4] in seen:  # the class as another task met it
-                continue
-            seen.add(row[4])
+                here, rows, members, lot, waiting = row[:3], [], [], None, []
             tokens = values[bounds[k] : bounds[k + 1]]
             if row[8]:
                 rows.append(row)
@@ -528,7 +484,7 @@ def _visit(batches: Iterator[pa.RecordBatch], each: bool) -> Iterator[pa.RecordB
     yield flush()
 
 
-def _open(slim: DataFrame, prefixes: DataFrame, hosts: DataFrame, visits: DataFrame, each: bool = False) -> DataFrame:
+def _open(slim: DataFrame, touched: DataFrame, hosts: DataFrame, visits: DataFrame, each: bool = False) -> DataFrame:
     """What ``_visit`` finds when the lots of ``hosts`` are opened for ``visits``."""
     parts = visits.groupBy(F.col("home").alias("_home"), F.col("lot").alias("_lot")).agg(F.ceil(F.count(F.lit(1)) / VISITORS).alias("_parts"))
     here = (F.col("home") == F.col("_home")) & (F.col("lot") == F.col("_lot"))
@@ -536,7 +492,7 @@ def _open(slim: DataFrame, prefixes: DataFrame, hosts: DataFrame, visits: DataFr
     asking = visits.join(parts, here).withColumn("part", F.pmod(F.xxhash64("owner", F.lit(1)), "_parts").cast("int")).select(*name, F.lit(False).alias("host"), F.lit(True).alias("visit"))
     placed = hosts.join(parts, here).withColumn("part", F.explode(F.sequence(F.lit(0), (F.col("_parts") - 1).cast("int")))).select(*name, F.lit(True).alias("host"), F.lit(False).alias("visit"))
     asked = placed.unionByName(asking).groupBy(*name).agg(F.max("host").alias("host"), F.max("visit").alias("visit"))
-    known = prefixes.select(F.col("owner").alias("_owner"), F.col("print").alias("_print"), F.concat("rare", "often").alias("tokens"))
+    known = touched.select(F.col("owner").alias("_owner"), F.col("print").alias("_print"), "tokens")
     in_units = lambda df: df.repartition(*UNIT).sortWithinPartitions(*UNIT, F.col("host").desc())
     near = in_units(asked.join(known, (F.col("owner") == F.col("_owner")) & (F.col("print") == F.col("_print"))).drop("_owner", "_print"))
     asked = stored(near.mapInArrow(_narrow, ASKED), "ngram-asked")
@@ -604,14 +560,14 @@ def _pairs(found: DataFrame) -> DataFrame:
     return found.filter(F.col("b").isNotNull()).select("a", "b")
 
 
-def _connect(slim: DataFrame, prefixes: DataFrame, hosts: DataFrame, visits: DataFrame) -> DataFrame:
+def _connect(slim: DataFrame, touched: DataFrame, hosts: DataFrame, visits: DataFrame) -> DataFrame:
     """Components (node, component) of classes, without visits between what is already connected.
 
     First every lot is opened for its own members; then for one member of each component that
     has other visits to make; then for the rest whose component still differs.
     """
     visits = stored(visits, "ngram-all-visits")
-    pairs = _pairs(_open(slim, prefixes, hosts, visits.filter("own")))
+    pairs = _pairs(_open(slim, touched, hosts, visits.filter("own")))
     reached, left = connected_components(pairs), visits.filter("not own")
 
     def apart(left: DataFrame) -> DataFrame:
@@ -626,11 +582,11 @@ def _connect(slim: DataFrame, prefixes: DataFrame, hosts: DataFrame, visits: Dat
     if left.limit(1).count():
         turn = Window.partitionBy("home", "lot", "_at").orderBy("print")
         ranked = stored(left.withColumn("_turn", F.row_number().over(turn)), "ngram-left")
-        pairs = stored(pairs.unionByName(_pairs(_open(slim, prefixes, hosts, ranked.filter("_turn = 1").select(*visits.columns)))), "ngram-pairs")
+        pairs = stored(pairs.unionByName(_pairs(_open(slim, touched, hosts, ranked.filter("_turn = 1").select(*visits.columns)))), "ngram-pairs")
         reached = connected_components(pairs)
         left = apart(ranked.filter("_turn > 1").select(*visits.columns))
         if left.limit(1).count():
-            reached = connected_components(pairs.unionByName(_pairs(_open(slim, prefixes, hosts, left.select(*visits.columns)))))
+            reached = connected_components(pairs.unionByName(_pairs(_open(slim, touched, hosts, left.select(*visits.columns)))))
     return reached
 
 

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 MASKS = ((0, 1, 3, 5, 8, 9), (0, 3, 4, 5, 6, 7))
 #: Words of a window that is compared, and of them so many may differ.
 WINDOW, SUBSTITUTIONS = 13, 2
-#: Benchmark texts with fewer words are too short to tell from chance, and are not sought.
-LEAST_WORDS = 8
+#: Texts under WINDOW words are sought whole: from FREE_WORDS words on with one word substituted,
+#: which leaves the first or the last ANCHOR words as they are; shorter ones word for word.
+FREE_WORDS, ANCHOR = 8, 4
 #: Benchmark windows that are sent to every task at once; a larger benchmark is met in blocks.
 BROADCAST_ROWS = 300_000
 #: Bits of the first filter for each benchmark window, and its most 64-bit words.
@@ -33,13 +34,13 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seed_hash(hashes: Column, at: Column, mask: int) -> Column:
-    return F.xxhash64(F.lit(mask), *(F.get(hashes, at + k) for k in MASKS[mask]))
+def _seed_hash(hashes: Column, at: Column, mask: tuple[int, ...]) -> Column:
+    return F.xxhash64(F.lit(repr(mask)), *(F.get(hashes, at + k) for k in mask))
 
 
-def _starts(n: Column, mask: int) -> Column:
+def _starts(n: Column, mask: tuple[int, ...]) -> Column:
     """Places where the mask fits into n words."""
-    last = n - (MASKS[mask][-1] + 1)
+    last = n - (mask[-1] + 1)
     return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
 
@@ -48,15 +49,29 @@ def _context(hashes: Column, at: Column) -> Column:
     return F.transform(F.sequence(at - _REACH, at + _REACH), lambda k: F.get(hashes, k))
 
 
-def benchmark_seeds(benchmark: DataFrame) -> DataFrame:
-    """Every masked window of every benchmark text: item_id, n_item, seed, item_context."""
-    items = benchmark.select("item_id", word_hashes(F.col("text")).alias("_h")).withColumn("n_item", F.size("_h")).filter(F.col("n_item") >= LEAST_WORDS)
+def masks_for(items: DataFrame) -> list[tuple[int, ...]]:
+    """The masks that a benchmark's lengths (n_item) need: MASKS for texts of WINDOW words or more,
+    runs of ANCHOR words for texts of FREE_WORDS or more, runs of all words for shorter ones."""
+    kind = F.when(F.col("n_item") >= WINDOW, WINDOW).when(F.col("n_item") >= FREE_WORDS, ANCHOR).otherwise(F.col("n_item"))
+    kinds = {r[0] for r in items.select(kind.alias("kind")).distinct().collect()}  # at most nine
+    return [*(MASKS if WINDOW in kinds else ()), *(tuple(range(k)) for k in sorted(kinds - {WINDOW}))]
 
-    def of_mask(m: int) -> Column:
-        return F.transform(_starts(F.col("n_item"), m), lambda i: F.struct(_seed_hash(F.col("_h"), i, m).alias("seed"), _context(F.col("_h"), i).alias("item_context")))
 
-    seeds = F.concat(*map(of_mask, range(len(MASKS))))
-    return items.select("item_id", "n_item", F.explode(seeds).alias("s")).select("item_id", "n_item", "s.seed", "s.item_context")
+def benchmark_seeds(items: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
+    """Every masked window by which a benchmark text is sought: item_id, n_item, seed, item_context.
+
+    ``items`` has item_id, _h (word hashes) and n_item.
+    """
+    n = F.col("n_item")
+
+    def of_mask(mask: tuple[int, ...]) -> Column:
+        at = F.when(n >= WINDOW, _starts(n, mask)) if mask in MASKS else F.when(n == len(mask), F.array(F.lit(0)))
+        if mask == tuple(range(ANCHOR)):
+            at = F.when(n.between(FREE_WORDS, WINDOW - 1), F.array(F.lit(0), n - ANCHOR)).otherwise(at)
+        at = F.coalesce(at, F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(_seed_hash(F.col("_h"), i, mask).alias("seed"), _context(F.col("_h"), i).alias("item_context")))
+
+    return items.select("item_id", "n_item", F.explode(F.concat(*map(of_mask, masks))).alias("s")).select("item_id", "n_item", "s.seed", "s.item_context")
 
 
 def _bit_table(seeds: DataFrame, words: int) -> Column:
@@ -68,13 +83,13 @@ def _bit_table(seeds: DataFrame, words: int) -> Column:
     return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("table")).scalar()
 
 
-def _candidates(docs: DataFrame, seeds: DataFrame, n_seeds: int) -> DataFrame:
+def _candidates(docs: DataFrame, seeds: DataFrame, n_seeds: int, masks: list[tuple[int, ...]]) -> DataFrame:
     """(doc_id, seed, context) of the windows whose bit is set."""
     words = min(MOST_BIT_WORDS, 1 << max(4, (n_seeds * BITS_EACH // 64).bit_length()))
     hashed = docs.select("doc_id", word_hashes(F.col("text")).alias("_h"), _bit_table(seeds, words).alias("_t"))
 
-    def of_mask(m: int) -> Column:
-        every = F.transform(_starts(F.size("_h"), m), lambda i: F.struct(i.alias("i"), _seed_hash(F.col("_h"), i, m).alias("seed")))
+    def of_mask(mask: tuple[int, ...]) -> Column:
+        every = F.transform(_starts(F.size("_h"), mask), lambda i: F.struct(i.alias("i"), _seed_hash(F.col("_h"), i, mask).alias("seed")))
 
         def is_set(x: Column) -> Column:
             slot = F.pmod(x["seed"], F.lit(words * 64).cast("long"))
@@ -82,7 +97,7 @@ def _candidates(docs: DataFrame, seeds: DataFrame, n_seeds: int) -> DataFrame:
 
         return F.filter(every, is_set)
 
-    found = hashed.select("doc_id", "_h", F.concat(*map(of_mask, range(len(MASKS)))).alias("_c"))
+    found = hashed.select("doc_id", "_h", F.concat(*map(of_mask, masks)).alias("_c"))
     around = F.transform("_c", lambda x: F.struct(x["seed"].alias("seed"), _context(F.col("_h"), x["i"]).alias("context")))
     # The outer form infers no filter on the array, which would be worked out twice.
     return found.select("doc_id", F.explode_outer(around).alias("c")).select("doc_id", F.col("c.seed").alias("_seed"), F.col("c.context").alias("context"))
@@ -91,26 +106,29 @@ def _candidates(docs: DataFrame, seeds: DataFrame, n_seeds: int) -> DataFrame:
 def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_hits, matched, window) for each document that holds part of a benchmark text.
 
-    A pair is reported if some window of 13 words (of all words, for items of 8 to 12) agrees
-    in place in all but 2 of them (1 for items of 8 to 12). n_hits counts the seed hits that
-    led to such a window, matched is the most words that agree in one. Null and short texts on
-    either side give nothing; rows with equal doc_id (or null) are reported as one; empty
-    tables give no rows. Only columns doc_id, text and item_id, text are read.
+    A pair is reported if some window of 13 words (of all words, for shorter items) agrees in
+    place in all but 2 of them (1 for items of 8 to 12 words, none for shorter ones). n_hits
+    counts the seed hits that led to such a window, matched is the most words that agree in
+    one. Null texts and texts without words give nothing on either side; rows with equal
+    doc_id (or null) are reported as one; empty tables give no rows. Texts of any length are
+    read whole, in one task each. Only columns doc_id, text and item_id, text are read.
     """
-    seeds = benchmark_seeds(benchmark)
+    items = benchmark.select("item_id", word_hashes(F.col("text")).alias("_h")).withColumn("n_item", F.size("_h")).filter(F.col("n_item") > 0)
+    masks = masks_for(items) or list(MASKS)
+    seeds = benchmark_seeds(items, masks)
     n_seeds = seeds.count()
     blocks = max(1, -(-n_seeds // BROADCAST_ROWS))
     found = []
     for k in range(blocks):
         block = seeds if blocks == 1 else seeds.filter(F.pmod("seed", F.lit(blocks).cast("long")) == k)
-        tried = _candidates(docs, block, n_seeds // blocks + 1)
+        tried = _candidates(docs, block, n_seeds // blocks + 1, masks)
         found.append(tried.join(F.broadcast(block), F.col("_seed") == F.col("seed")))  # about BROADCAST_ROWS rows
     # The row number keeps the filter below from being moved into the join and written out there.
     hits = reduce(DataFrame.unionByName, found).select("doc_id", "item_id", "n_item", "item_context", "context", F.monotonically_increasing_id().alias("_hit"))
     agree = F.transform(F.zip_with("context", "item_context", lambda a, b: a == b), lambda same: F.coalesce(same, F.lit(False)).cast("int"))
     window = F.least(F.lit(WINDOW), F.col("n_item"))
     most = F.when(F.size("_agree") > 0, F.array_max(F.transform(F.sequence(F.lit(0), window - 1), lambda s: F.aggregate(F.slice("_agree", _REACH + 1 - s, window), F.lit(0), lambda t, x: t + x))))
-    allowed = F.when(F.col("n_item") >= WINDOW, SUBSTITUTIONS).otherwise(1)
+    allowed = F.when(F.col("n_item") >= WINDOW, SUBSTITUTIONS).when(F.col("n_item") >= FREE_WORDS, 1).otherwise(0)
     scored = hits.select("doc_id", "item_id", "n_item", "_hit", agree.alias("_agree")).select("doc_id", "item_id", "_hit", window.alias("window"), most.alias("matched"), allowed.alias("_allowed"))
     return (
         scored.filter(F.col("matched") >= F.col("window") - F.col("_allowed"))
@@ -120,6 +138,11 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that ``benchmark_overlaps`` reports; null doc_ids go together."""
-    bad = benchmark_overlaps(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """``docs`` without the rows whose text ``benchmark_overlaps`` reports.
+
+    Rows are judged by their own texts, also where doc_id is null or repeats. Null and empty
+    texts stay; columns stay as they are; an empty table gives no rows.
+    """
+    own = docs.select(F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text")).alias("doc_id"), "text")
+    bad = benchmark_overlaps(own, benchmark).select(F.col("doc_id.id").alias("_bad"), F.col("doc_id.text").alias("_bad_text")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")) & (F.xxhash64("text") == F.col("_bad_text")), "left_anti")

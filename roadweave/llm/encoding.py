@@ -1,13 +1,16 @@
 """Whole-text encoding with a file of the ``tokenizers`` library.
 
-The tokenizer drops white space before it forms tokens, so no token spans it and
-a text's ids are those of its space-separated pieces in turn. Pieces repeat, so a
+A tokenizer that lower-cases texts, drops white space before it forms tokens and sets
+punctuation apart lets no token span white space, so a text's ids are those of its
+space-separated pieces in turn. Whether a file says so is read when it is loaded; texts go
+whole to the library if not. Pieces repeat, so a
 worker remembers the ids of pieces it has met (a bounded table) and hands only new
 ones to the library, many at a time.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from array import array
 from collections.abc import Iterable, Iterator
@@ -20,6 +23,27 @@ MEMORY = 350_000
 #: Longer pieces are encoded but not remembered.
 LONG_PIECE = 64
 
+#: The steps of a tokenizer file under which pieces between white space encode alone.
+PIECE_NORMALIZERS = ("NFC", "Replace", "Lowercase")
+PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def encodes_by_piece(config: dict) -> bool:
+    """Whether a tokenizer file lower-cases, splits at white space and punctuation, and adds nothing to a text."""
+    steps = config.get("normalizer") or {}
+    normalizers = steps.get("normalizers", [])
+    cuts = (config.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return (
+        tuple(x["type"] for x in normalizers) == PIECE_NORMALIZERS
+        and (normalizers[1]["pattern"], normalizers[1]["content"]) == ({"Regex": r"\s+"}, " ")
+        and [x["type"] for x in cuts] == ["Split", "ByteLevel"]
+        and (cuts[0]["pattern"], cuts[0]["behavior"], cuts[0]["invert"]) == ({"Regex": PIECE_PATTERN}, "Removed", True)
+        and not cuts[1]["add_prefix_space"]
+        and not any(config.get(x) for x in ("post_processor", "truncation", "padding"))
+        and all(x["content"].startswith("<|") and " " not in x["content"] for x in config.get("added_tokens", []))
+    )
+
+
 _loaded: dict[str, "PieceEncoder"] = {}
 
 
@@ -29,6 +53,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_piece = encodes_by_piece(json.loads(self.tokenizer.to_str()))
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -45,6 +70,10 @@ class PieceEncoder:
 
     def encode(self, texts: Iterable[str | None], group: int = 256) -> Iterator[np.ndarray]:
         """Little-endian unsigned 32-bit ids of each text; null counts as empty."""
+        if not self.by_piece:
+            for text in texts:
+                yield np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, dtype="<u4")
+            return
         waiting: list[list[bytes]] = []
         for text in texts:
             body = (text or "").encode("utf-8", "replace")

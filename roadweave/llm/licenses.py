@@ -61,6 +61,16 @@ _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:\-]+")
 _VERSION = re.compile(r"-(\d[\w.]*|only|or-later|clause|international|patent)|\+$")
 
 
+#: Identifiers of one plain word besides the labels; another plain word after a tag is prose.
+ONE_WORD = frozenset("beerware curl expat gfdl ijg json libpng libtiff naist ncsa ntp openssl php postgresql python ruby sendmail sleepycat vim vsl wtfpl xnet zed".split())
+
+
+def is_identifier(token: str) -> bool:
+    """Whether a word can name a license or exception: a known name, or one with a digit, hyphen, dot or plus inside."""
+    name = token.lower().rstrip(".:")
+    return name in FREEDOM or name in ONE_WORD or bool(name) and not name.isalpha()
+
+
 def label_of(identifier: str) -> str:
     """Family label of an identifier: GPL-2.0-or-later gives gpl, BSD-3-Clause bsd."""
     name = _VERSION.sub("", identifier.lower()).strip("-")
@@ -71,7 +81,7 @@ def to_postfix(expression: str, start: int = 0, end: int | None = None) -> list[
     """Postfix order of the longest well-formed prefix of a license expression, read from ``start`` to ``end``.
 
     Reading stops where no expression can go on (two identifiers in a row, a closing
-    bracket too many). Open brackets and operators without a right side are dropped.
+    bracket too many, a word that is no identifier). Open brackets and operators without a right side are dropped.
     """
     out: list[str] = []
     stack: list[str] = []
@@ -97,7 +107,7 @@ def to_postfix(expression: str, start: int = 0, end: int | None = None) -> list[
                 out.append(stack.pop())
             stack.pop()
         else:
-            if not wants_operand:
+            if not wants_operand or not is_identifier(token):
                 break
             out.append(token.rstrip(".:"))
             wants_operand = False
@@ -149,16 +159,18 @@ class LicenseScanner:
         words = (text or "").encode("utf-8", "replace").translate(_WORD_BYTES).split()
         line = f" {b' '.join(words).decode('utf-8')} "
         starts, base, labels, freedoms, spans = [], set(), set(), [], []
+        seen, before = 0, 0  # words that begin before a place of the line, kept from hit to hit
         for end, phrase in self.phrases.iter(line):
             at = end - len(phrase) - 1
             if phrase in BASE:
-                starts.append(line.count(" ", 0, at))
+                before += line.count(" ", seen, at) if at >= seen else -line.count(" ", at, seen)
+                seen = at
+                starts.append(before)
                 base.add(BASE[phrase])
             if phrase in NOTICES:
                 spans.append((at, end, phrase))
         # A notice inside a longer one (cc by in cc by nc) says nothing of its own.
-        widest = [s for s in spans if not any(o != s and o[0] <= s[0] and s[1] <= o[1] for o in spans)] if len(spans) < 200 else _widest(spans)
-        labels.update(NOTICES[p] for _, _, p in widest)
+        labels.update(NOTICES[p] for _, _, p in _widest(spans))
         freedoms += [FREEDOM[x] for x in labels | base]
         expressions = []
         low = (text or "").lower()
@@ -182,7 +194,7 @@ class LicenseScanner:
 
 
 def _widest(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Spans not inside another, by a sweep (for texts with very many notices)."""
+    """Spans not inside another, by a sweep."""
     out, reach = [], -1
     for s in sorted(spans, key=lambda s: (s[0], -s[1])):
         if s[1] > reach:

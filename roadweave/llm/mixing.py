@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadweave.llm.shared import stored
+from roadweave.llm.shared import stored, without
 
 #: Bytes of a block; blocks grow with the corpus so that there are at most MOST_BLOCKS and one a source.
 BLOCK_BYTES, MOST_BLOCKS = 256 << 10, 16_384
@@ -31,26 +31,26 @@ def tempered_weights(sizes: DataFrame, temperature: float) -> DataFrame:
     return sizes.select("source", F.pow(F.col("bytes").cast("double"), F.lit(1.0 / temperature)).alias("weight"))
 
 
-def deal_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, most_blocks: int = MOST_BLOCKS) -> DataFrame:
-    """``docs`` with _source ('' for null), _size (UTF-8 bytes + 1) and _block (from 0 in each source).
+def deal_blocks(rows: DataFrame, block_bytes: int = BLOCK_BYTES, most_blocks: int = MOST_BLOCKS) -> DataFrame:
+    """``rows`` (_id, _tie, _source, _size and others) with _block (from 0 in each source) and _order, the bytes before.
 
-    Rows are taken in the order (doc_id mod lots, doc_id, text); a block ends with the row
-    that fills it. The running byte count is made in lots, whose sums are prefixed over the
-    small table of lots, so a hot source is numbered by many tasks.
+    Rows are taken lot by lot, in a lot by (_id, _tie); a block ends with the row that fills
+    it. Lots are a hash of both, so that a hot source, a repeated doc_id and rows without one
+    are numbered by many tasks; only rows alike in id and text share one. Their sums are
+    prefixed over the small table of lots.
     """
-    rows = docs.withColumns({"_source": F.coalesce(F.col("source").cast("string"), F.lit("")), "_size": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1})
     count, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("_size"), F.lit(0))).first()
     lots = max(8, -(-count // LOT_ROWS) * 4)
     each = max(block_bytes, -(-total // most_blocks))
-    rows = rows.withColumn("_lot", F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)).cast("long"), F.lit(lots).cast("long")).cast("int"))
+    rows = rows.withColumn("_lot", F.pmod(F.xxhash64("_id", "_tie"), F.lit(lots).cast("long")).cast("int"))
     sums = rows.groupBy("_source", "_lot").agg(F.sum("_size").alias("_bytes"))
     earlier = Window.partitionBy("_source").orderBy("_lot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(F.col("_source").alias("_s"), F.col("_lot").alias("_l"), F.coalesce(F.sum("_bytes").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_source", "_lot").orderBy(F.col("doc_id").asc_nulls_first(), "text").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_source", "_lot").orderBy(F.col("_id").asc_nulls_first(), "_tie").rowsBetween(Window.unboundedPreceding, -1)
     numbered = rows.withColumn("_inside", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
     placed = numbered.join(offsets, (F.col("_source") == F.col("_s")) & (F.col("_lot") == F.col("_l")))
     block = F.floor((F.col("_before") + F.col("_inside")) / F.lit(each)).cast("long")
-    return placed.withColumn("_block", block).withColumn("_order", F.col("_before") + F.col("_inside")).drop("_s", "_l", "_before", "_inside", "_lot")
+    return placed.withColumn("_block", block).withColumn("_order", F.col("_before") + F.col("_inside")).drop("_s", "_l", "_before", "_inside", "_lot", "_id", "_tie")
 
 
 def schedule(supply: DataFrame, weights: DataFrame) -> DataFrame:
@@ -183,19 +183,25 @@ def schedule_many(supply: DataFrame, weights: DataFrame) -> DataFrame:
     return spark.createDataFrame(made, "source string, block long, release int, deadline int, position long")
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, temperature: float = 1.4, block_bytes: int = BLOCK_BYTES, most_blocks: int = MOST_BLOCKS) -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame | None = None, temperature: float = 1.4, block_bytes: int = BLOCK_BYTES, most_blocks: int = MOST_BLOCKS, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with source_block, release, deadline, position (of the block) and place (in the block).
 
     ``weights`` (source, weight) are the targets; without them each source's bytes to the
     power 1 / temperature. Every row is placed once: none is dropped or repeated. Null sources
-    are one source ''. Null texts have one byte, null doc_ids come first; repeated rows are
-    placed one after the other; an empty table gives no rows; columns of the input named like
-    the new ones are replaced. Any number of sources is mixed.
+    are one source ''. Null texts have one byte, texts of any length count whole; repeated rows
+    are placed one after the other; an empty table gives no rows. Columns ``keep`` (default:
+    all) stay, and only they are moved; those named like the new ones, in any case, are
+    replaced, all other names may occur. Any number of sources is mixed.
     """
-    made = ("source_block", "release", "deadline", "position", "place")
-    keep = [c for c in docs.columns if c not in made]
-    dealt = deal_blocks(docs.select(*keep), block_bytes, most_blocks)
-    dealt = stored(dealt, "mix-blocks")
+    keep = without(docs.columns if keep is None else keep, ("source_block", "release", "deadline", "position", "place"))
+    rows = docs.select(
+        F.struct(*keep).alias("_row"),
+        F.col("doc_id").cast("long").alias("_id"),
+        F.xxhash64("text").alias("_tie"),
+        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source"),
+        (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("_size"),
+    )
+    dealt = stored(deal_blocks(rows, block_bytes, most_blocks), "mix-blocks")
     sizes = stored(dealt.groupBy("_source").agg(F.sum("_size").alias("bytes"), (F.max("_block") + 1).alias("blocks")).withColumnRenamed("_source", "source"), "mix-sources")
     many = sizes.count() > MOST_SOURCES
     targets = tempered_weights(sizes, temperature) if weights is None else weights
@@ -203,4 +209,4 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, temperature: float =
     due = plan.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "release", "deadline", "position")
     # At most MOST_BLOCKS rows and one a source: with few sources it may go to every task.
     placed = dealt.join(due if many else F.broadcast(due), (F.col("_source") == F.col("_s")) & (F.col("_block") == F.col("_b")))
-    return placed.select(*keep, F.col("_block").alias("source_block"), "release", "deadline", "position", F.col("_order").alias("place"))
+    return placed.select("_row.*", F.col("_block").alias("source_block"), "release", "deadline", "position", F.col("_order").alias("place"))

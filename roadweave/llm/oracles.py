@@ -47,9 +47,9 @@ OP7 = r"""
 WITH dw AS (SELECT rid, doc_id, ws[p] AS word, p FROM (SELECT rid, doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM
   (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM documents))),
 iw AS (SELECT item_id, ws[q] AS word, q, len(ws) AS n FROM (SELECT item_id, ws, unnest(range(1, len(ws) + 1)) AS q FROM
-  (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM benchmark)) WHERE len(ws) >= 8),
-al AS (SELECT rid, doc_id, item_id, n, p - q AS diag, list(q) AS qs FROM dw JOIN iw USING (word) GROUP BY ALL HAVING count(*) >= CASE WHEN n >= 13 THEN 11 ELSE n - 1 END),
-wi AS (SELECT doc_id, item_id, least(13, n) AS win, CASE WHEN n >= 13 THEN 11 ELSE n - 1 END AS need, qs, unnest(range(1, n - least(13, n) + 2)) AS s FROM al),
+  (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM benchmark))),
+al AS (SELECT rid, doc_id, item_id, n, p - q AS diag, list(q) AS qs FROM dw JOIN iw USING (word) GROUP BY ALL HAVING count(*) >= CASE WHEN n >= 13 THEN 11 WHEN n >= 8 THEN n - 1 ELSE n END),
+wi AS (SELECT doc_id, item_id, least(13, n) AS win, CASE WHEN n >= 13 THEN 11 WHEN n >= 8 THEN n - 1 ELSE n END AS need, qs, unnest(range(1, n - least(13, n) + 2)) AS s FROM al),
 k AS (SELECT doc_id, item_id, win, need, len([x FOR x IN qs IF x >= s AND x < s + win]) AS m FROM wi)
 SELECT doc_id, item_id, CAST(max(m) AS BIGINT) AS matched, CAST(max(win) AS BIGINT) AS "window" FROM k WHERE m >= need GROUP BY 1, 2"""
 

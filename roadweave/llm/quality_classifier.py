@@ -164,7 +164,8 @@ def held_out(doc_id: Column) -> Column:
 def train(statistics: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> RuleModel:
     """Fit to labelled rows that are not held out, at most ``most`` of them by a hash of doc_id."""
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_d")).agg(F.min("quality").alias("_y"))
-    pool = known.filter(~held_out(F.col("_d"))).orderBy(F.xxhash64("_d"), "_d").limit(most)
+    present = statistics.select(F.col("doc_id").alias("_at"))
+    pool = known.filter(~held_out(F.col("_d"))).join(present, F.col("_d") == F.col("_at"), "left_semi").orderBy(F.xxhash64("_d"), "_d").limit(most)
     rows = statistics.join(pool, F.col("doc_id") == F.col("_d")).select("_d", "_y", *STATISTICS).dropDuplicates(["_d"]).orderBy("_d").collect()  # at most ``most``
     x = np.array([[r[s] for s in STATISTICS] for r in rows], dtype=np.float64).reshape(len(rows), len(STATISTICS))
     return fit(x, np.array([r._y for r in rows], dtype=np.int64))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadweave.llm.shared import WORD, stored, words_of
+from roadweave.llm.shared import WORD, stored, without, words_of
 
 #: Characters that count as symbols.
 SYMBOLS = r"[#*$%&|<>]"
@@ -26,7 +26,7 @@ def text_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     Null text has no words. Existing columns of these names are replaced; the text column
     and all others stay. n_repeat_words counts words that lie in any repeated 3-word window.
     """
-    held = [c for c in docs.columns if c not in MEASURES]
+    held = without(docs.columns, MEASURES)
     body = F.coalesce(F.col(text), F.lit(""))
     cut = docs.select(
         *held,
@@ -134,13 +134,15 @@ def judge_documents(docs: DataFrame, host: str = "source", keep: list[str] | Non
     and the document fails any other rule (many symbols, repeated lines, odd word lengths).
     Documents without a host answer for themselves, as those of a suspect host do. Columns
     ``keep`` (default: all) stay. Null and empty texts have no words and fail. Repeated rows
-    count and return as often as they occur; an empty table gives no rows. The measures are
-    stored once in the shared folder, so the second reading does not measure again.
+    count and return as often as they occur; an empty table gives no rows. Texts are measured
+    whole, in one task each. Columns named like the new ones, in any case, are replaced; all
+    other names may occur. The measures are stored once in the shared folder, so the second
+    reading does not measure again.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in (*MEASURES, "base_failed", "rule_failed", "shrunk_rate", "kept", "_host")]
-    source = docs.withColumn("_host", F.col(host).cast("string"))
-    judged = rule_columns(text_measures(source.select(*keep, "_host", *([] if "text" in keep else ["text"])), "text"))
-    judged = stored(judged.select(*keep, "_host", *MEASURES, "base_failed", "rule_failed"), "rule-failures")
+    keep = without(docs.columns if keep is None else keep, (*MEASURES, "base_failed", "shrunk_rate", "kept"))
+    source = docs.select(F.struct(*keep).alias("_row"), F.col(host).cast("string").alias("_host"), F.col("text").alias("text"))
+    judged = rule_columns(text_measures(source, "text"))
+    judged = stored(judged.select("_row", "_host", *MEASURES, "base_failed", "rule_failed"), "rule-failures")
     verdicts = host_verdicts(judged, "_host").select(
         F.col("host").alias("_at"), F.col("shrunk_rate").alias("_rate"), F.col("suspect").alias("_suspect"), F.col("condemned").alias("_condemned")
     )
@@ -148,5 +150,5 @@ def judge_documents(docs: DataFrame, host: str = "source", keep: list[str] | Non
     return (
         judged.join(verdicts, F.col("_host") == F.col("_at"), "left")
         .withColumn("kept", ~(F.col("base_failed") | F.coalesce("_condemned", F.lit(False)) | (F.col("rule_failed") & F.coalesce("_suspect", F.lit(True)))))
-        .select(*keep, *MEASURES, "base_failed", F.col("_rate").alias("shrunk_rate"), "kept")
+        .select("_row.*", *MEASURES, "base_failed", F.col("_rate").alias("shrunk_rate"), "kept")
     )

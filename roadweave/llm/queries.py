@@ -52,7 +52,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "source", "text"))
+    mixed = mixing.mix(documents(spark, sf_dir), keep=["doc_id", "source"])
     return mixed.select("doc_id", "source", "source_block", "release", "deadline", "position", "place")
 
 

@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadweave.llm.shared import stored
+from roadweave.llm.shared import stored, without
 
 #: Bytes that one task of the exchange should sort; at most so many parts in all.
-PART_BYTES, MOST_PARTS = 64 << 20, 4096
+PART_BYTES, MOST_PARTS = 64 << 20, 1 << 16
 #: Candidate keys that one round asks about, over all splitters.
 PROBES = 1024
 TOP = 1 << 128
@@ -79,7 +79,7 @@ def _count_between(rows: DataFrame, probes: list[int]) -> dict[int, tuple[int, i
         .mapInArrow(count, "gap long, bytes long, rows long, least binary, most binary")
         .groupBy("gap")
         .agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"), F.min("least").alias("least"), F.max("most").alias("most"))
-        .collect()  # at most PROBES, and two edges a splitter
+        .collect()  # at most PROBES or eight a splitter, and two edges a splitter
     )
     return {r.gap: (r.bytes, r.rows, int.from_bytes(r.least, "big"), int.from_bytes(r.most, "big")) for r in got}
 
@@ -107,7 +107,7 @@ def splitters(rows: DataFrame, shards: int, tolerance: float, parts_each: int) -
     for s in found:
         s.settle()
     while open_ := [s for s in found if s.key is None]:
-        each = max(2, PROBES // len(open_))
+        each = max(8, PROBES // len(open_))
         probes = set()
         for s in open_:
             a, b = s.low[0], s.high[0]
@@ -153,15 +153,15 @@ def shard_by_bytes(
     hot key is split like any other. With ``order``, two longs from 0 that tell all rows apart
     (see ``stored_place``), shards and slots follow it instead of the hash: shard by shard and
     slot by slot, the rows come in that order. Null doc_ids hash alike. Fewer rows than shards leave
-    shards empty; an empty table gives an empty result. Columns of the input named like the
-    output are replaced.
+    shards empty; an empty table gives an empty result. Texts of any length count whole.
+    Columns of the input named like the output, in any case, are replaced; all other names
+    may occur.
     """
-    made = {"size", "text_crc32", "law", "shard", "slot", "grown_shard", "_key", "_tie", "_part"}
-    keep = [c for c in (carry if carry is not None else docs.columns) if c not in made]
+    keep = without(carry if carry is not None else docs.columns, ("size", "text_crc32", "law", "shard", "slot", "grown_shard"))
     key, tie = order or (F.xxhash64(F.lit("shard"), "doc_id"), F.monotonically_increasing_id())
     rows = stored(
         docs.select(
-            *keep,
+            F.struct(*keep).alias("_kept"),
             (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"),
             F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
             key.alias("_key"),
@@ -185,7 +185,7 @@ def shard_by_bytes(
     inside = Window.partitionBy("_part").orderBy(*unsigned)
     dealt = rows.withColumn("_part", part_of("_key", "_tie")).withColumn("_row", F.row_number().over(inside) - 1)
     return dealt.select(
-        *keep,
+        "_kept.*",
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),

@@ -2,14 +2,15 @@
 
 Every intermediate table goes to the folder named by ``spark.checkpoint.dir``,
 which driver and executors share; a lost executor can therefore reread it. Only
-where the setting is missing (tests on one machine) a temporary folder is used.
+where the setting is missing and the session runs on this machine alone (tests), a
+temporary folder is used; a cluster without the setting is an error.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +30,8 @@ def shared_root(spark: SparkSession) -> str:
     set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_dir.isDefined():
         return set_dir.get().rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     root = "file://" + tempfile.mkdtemp(prefix="roadweave-")
     spark.sparkContext.setCheckpointDir(root)
     return root
@@ -81,6 +84,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def without(columns: list[str], made: Iterable[str]) -> list[str]:
+    """``columns`` without those named like one of ``made``; as in Spark, case does not count."""
+    taken = {c.lower() for c in made}
+    return [c for c in columns if c.lower() not in taken]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from roadweave.llm import chat_format, components, decontamination, mixing, ngram_join, quality_classifier, quality_rules, queries
+from roadweave.llm import chat_format, components, decontamination, mixing, ngram_join, quality_classifier, quality_rules, queries, sharding
 from tests.llm.cases import no_documents, odd_documents, sf
 
 SPACE_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -180,6 +180,54 @@ def test_prefixes_of_random_sets_share_enough():
             assert c >= max(1, -(-3 * (len(a) + len(b)) // 7) - -(-3 * max(len(a), len(b)) // 4) + 1)
 
 
+def test_short_items_and_one_substitution(spark):
+    """Items of 1 to 14 words, copied with a word replaced at each place in turn."""
+    docs, items, k = [], [], 0
+    for n in range(1, 15):
+        words = [f"i{n}w{j}" for j in range(n)]
+        items.append((n, " ".join(words)))
+        for lost in range(-1, n):
+            for pad in ("", "before it "):
+                docs.append((k, pad + " ".join("other" if j == lost else w for j, w in enumerate(words)) + (" after" if k % 3 else "")))
+                k += 1
+    table, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.matched for r in decontamination.benchmark_overlaps(table, benchmark).collect()}
+    assert got == brute_overlaps(docs, items) and len({i for _, i in got}) == 14
+
+
+def test_decontaminate_by_text(spark):
+    """Rows with null or repeated doc_id go by their own texts."""
+    item = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(None, item), (None, "clean"), (4, item), (4, "clean too"), (5, None), (4, item)], "doc_id long, text string")
+    kept = decontamination.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert Counter(map(tuple, kept.collect())) == Counter([(None, "clean"), (4, "clean too"), (5, None)])
+
+
+def test_names_that_clash(spark):
+    """Columns of any name survive; those named like results, in any case, are replaced."""
+    docs = sf(spark).limit(40)
+    odd = docs.withColumns({c: F.lit("odd") for c in ("_row", "_size", "_words", "_lines", "_source", "_block", "_order", "_rate", "_key", "_part", "_kept", "h")})
+    for columns, run in (
+        (("Kept", "N_WORDS"), quality_rules.judge_documents),
+        (("POSITION", "Release"), mixing.mix),
+        (("SIZE", "Shard"), sharding.shard_by_bytes),
+    ):
+        rows = run(odd.withColumns({c: F.lit("old") for c in columns}))
+        lower = [c.lower() for c in rows.columns]
+        assert len(set(lower)) == len(lower) and not {c for c in columns if c in rows.columns}
+        got = rows.collect()
+        assert len(got) == docs.count() and {r["_row"] + r["_size"] + r["_words"] + r["h"] for r in got} == {"odd" * 4}
+
+
+def test_rings_of_replies(spark):
+    """Replies in a ring, and what hangs on them, have no path; a string conv_id null is a conversation of its own."""
+    nodes = [("t", 1, None), ("t", 2, 1), ("r", 5, 6), ("r", 6, 5), ("r", 7, 6)]
+    messages = spark.createDataFrame([(t, n, p, 1.0, "user", str(n)) for t, n, p in nodes], "tree string, node long, parent long, score double, role string, text string")
+    assert [r.tree for r in chat_format.format_trees(messages).collect()] == ["t"]
+    rows = spark.createDataFrame([("null", 0, "user", "a"), (None, 0, "user", "b")], "conv_id string, turn long, role string, text string")
+    assert {r.conv_id: r.n_turns for r in chat_format.read_back(chat_format.format_trees(chat_format.conversation_messages(rows))).collect()} == {"null": 1, None: 1}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100), (200, 150), (150, 200), (150, 170)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -333,10 +381,10 @@ def brute_overlaps(docs, items):
         words = WORDS.findall((text or "").lower())
         for i, item in items:
             sought = WORDS.findall((item or "").lower())
-            if len(sought) < decontamination.LEAST_WORDS:
+            if not sought:
                 continue
             window = min(13, len(sought))
-            need, best = window - (2 if len(sought) >= 13 else 1), 0
+            need, best = window - (2 if len(sought) >= 13 else 1 if len(sought) >= 8 else 0), 0
             for shift in range(-len(sought), len(words)):
                 same = [0 <= shift + k < len(words) and words[shift + k] == w for k, w in enumerate(sought)]
                 if sum(same) >= need:
@@ -356,11 +404,10 @@ def test_decontamination(spark):
     b = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.matched for r in decontamination.benchmark_overlaps(d, b).collect()}
     expected = brute_overlaps(docs, items)
-    assert {k: v for k, v in expected.items() if k[1] == 0} == {k: v for k, v in got.items() if k[1] == 0}
-    assert (9, 1) in got and set(got) <= set(expected)  # of items under 13 words one substitution may go unseen
+    assert got == expected and {(9, 1), (10, 1)} <= set(got)
     assert {k[0] for k in got} >= {0, 1, 2, 5, None} and not {3, 6, 7, 8} & {k[0] for k in got}
     left = Counter(r.doc_id for r in decontamination.decontaminate(d, b).collect())
-    assert None not in left and 0 not in left and left[3] == 1
+    assert None not in left and left[0] == 1 and left[3] == 1  # of two rows with doc_id 0 the clean one stays
     assert decontamination.benchmark_overlaps(d.limit(0), b).collect() == [] and decontamination.benchmark_overlaps(d, b.limit(0)).collect() == []
 
 

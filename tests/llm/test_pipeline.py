@@ -41,12 +41,27 @@ def test_stages(spark):
     check_shards(mixed, stages["sharding"](spark, mixed, SF).collect(), 16)
 
 
+def good_documents(spark):
+    """Odd rows, none of which the rules keep, and good texts: plain, alike, leaked, without doc_id or source."""
+    text = lambda tag, n=80: " ".join(f"{tag}word{i}" for i in range(n))
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(100 + i, text(f"d{i}"), "en", f"g{i % 2}", 0) for i in range(6)]
+    rows += [(200, text("d0"), "en", "g0", 0), (201, text("d1") + " more", "en", "g1", 0), (202, f"{text('x')} {item}", "en", "g0", 0)]
+    rows += [(None, text("n"), None, None, None), (None, text("m"), "en", "g1", None), (103, text("again"), "en", "g1", 0), (300, text("long", 40_000), "en", "g1", 0)]
+    return odd_documents(spark).unionByName(spark.createDataFrame(rows, cases.DOCS))
+
+
 def test_odd_and_empty(spark, tmp_path):
     spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"file://{tmp_path}/benchmark.parquet")
-    for make in (odd_documents, no_documents):
-        make(spark).write.mode("overwrite").parquet(f"file://{tmp_path}/documents.parquet")
-        rows = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
-        assert len(rows) == len({r.doc_id for r in rows}) and (make is odd_documents or rows == [])
+    good_documents(spark).write.mode("overwrite").parquet(f"file://{tmp_path}/documents.parquet")
+    rows = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+    want = [(100 + i, f"d{i}word0") for i in range(6)] + [(None, "nword0"), (None, "mword0"), (103, "againword0"), (300, "longword0")]
+    assert Counter((r.doc_id, r.text.split()[0]) for r in rows) == Counter(want)
+    for shard in {r.shard for r in rows}:
+        slots = sorted(r.slot for r in rows if r.shard == shard)
+        assert slots == list(range(len(slots)))
+    no_documents(spark).write.mode("overwrite").parquet(f"file://{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").collect() == []
 
 
 def test_shards_keep_the_mix(spark):

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from roadweave.llm import licenses, queries, sharding, token_counts, token_files
+from roadweave.llm import encoding, licenses, queries, sharding, token_counts, token_files
 from tests.llm.cases import no_documents, odd_documents, sf
 
 
@@ -136,6 +136,31 @@ def test_labels_of_method(spark):
     assert got == {1: ("cc-by-nc", 0.1, []), 2: ("gpl,mit", 1.0, ["mit gpl-3.0-only or"]), 3: ("", 0.0, [])}
 
 
+def test_prose_after_a_tag_is_no_expression():
+    scan = licenses.LicenseScanner().scan
+    assert scan("license identifier: the quick brown fox")[5:] == ("", 0.0, [])
+    assert scan("license identifier: WTFPL")[5:] == ("wtfpl", licenses.UNKNOWN, ["wtfpl"])
+    assert scan("license identifier: MIT or the other")[5:] == ("mit", 1.0, ["mit"])
+
+
+def test_many_hits_take_linear_time():
+    n_words, n_base, first, last, *_ = licenses.LicenseScanner().scan("mit license " * 200_000)
+    assert (n_words, n_base, first, last) == (400_000, 200_000, 0, 399_998)
+
+
+def test_other_tokenizer_files_take_whole_texts(tmp_path):
+    import json
+
+    config = json.load(open(queries.tokenizer_path()))
+    assert encoding.encodes_by_piece(config)
+    config["normalizer"]["normalizers"] = config["normalizer"]["normalizers"][:2]  # keeps case
+    (tmp_path / "t.json").write_text(json.dumps(config))
+    coder = encoding.PieceEncoder(str(tmp_path / "t.json"))
+    texts = ["Hello, World. It's A <|endoftext|> TEST", None, ""]
+    assert not coder.by_piece
+    assert [x.tolist() for x in coder.encode(texts)] == [coder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_expression_to_the_end_of_its_line():
     names = [f"lib{i}-license" for i in range(300)]
     line = "SPDX-License-Identifier: (" + " AND ".join(names) + " OR MIT) AND GPL-3.0-only"

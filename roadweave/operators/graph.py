@@ -15,7 +15,8 @@ def compact_ids(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Dense ids from 0 in the order of integer columns, as row_number() - 1 over all rows gives them.
 
     Rows are numbered in lots of the first column's range; the small table of lot sizes is
-    prefix-summed, so no task sees all rows.
+    prefix-summed, so no task sees all rows if the first column is spread, as ids of vertices
+    are. ``range_ids`` does the same for other columns.
     """
     lot = F.floor(F.col(order[0]) / LOT)
     rows = df.withColumn("_lot", lot)
@@ -30,6 +31,19 @@ def compact_ids(df: DataFrame, order: list[str], name: str) -> DataFrame:
     )
 
 
+def range_ids(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``compact_ids`` for keys of any kind and spread: rows are sorted over range partitions, which are counted.
+
+    The sorted rows are stored once, so that counts and numbers are of the same partitions.
+    Of rows alike in ``order`` all go to one task.
+    """
+    ranged = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ranged.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    return ranged.join(starts, part == F.col("_p")).withColumn(name, (F.col("_start") + row).cast("long")).drop("_at", "_p", "_start")
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(vertex_id, out_degree, in_degree) of every vertex with an edge."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("tail").alias("v"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("head").alias("v"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e"))

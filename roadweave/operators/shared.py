@@ -16,6 +16,8 @@ def shared_root(spark: SparkSession) -> str:
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     root = "file://" + tempfile.mkdtemp(prefix="roadweave-")
     spark.sparkContext.setCheckpointDir(root)
     return root
@@ -25,8 +27,16 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet below the shared folder and read again: a short lineage that
     survives lost executors. The files go when the JVM ends."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/step-{uuid.uuid4().hex}"
+    path = fresh_path(spark)
     df.write.parquet(path)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh_path(spark: SparkSession) -> str:
+    """A path below the shared folder that nothing uses; what lies there goes when the JVM ends."""
+    path = f"{shared_root(spark)}/step-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(at.getParent())
+    store.deleteOnExit(at)
+    return path

@@ -182,5 +182,40 @@ g AS (SELECT x, y, population AS p FROM population JOIN road_vertex USING (verte
 SELECT s.x, s.y, CAST(sum(d.p) AS BIGINT) AS people FROM g s JOIN g d ON abs(s.x - d.x) + abs(s.y - d.y) <= 4 AND greatest(abs(s.x - d.x), abs(s.y - d.y)) <= 3 GROUP BY 1, 2"""),
 }
 
+ORACLES["src2_xatf"] = q(EDGE + """,
+line AS (SELECT edge_id AS line, tail, head, length, edge_id % 4 AS dir, CASE WHEN edge_id % 14 = 13 THEN 15 ELSE edge_id % 14 + 1 END AS category FROM road_edge WHERE tail < head),
+way AS (SELECT line, 0 AS back, CASE WHEN dir = 2 THEN head ELSE tail END AS tail, CASE WHEN dir = 2 THEN tail ELSE head END AS head, length, category FROM line
+  UNION ALL SELECT line, 1, head, tail, length, category FROM line WHERE dir IN (0, 3)),
+fast AS (SELECT *, [130, 120, 110, 100, 90, 80, 70, 60, 50, 40, 30, 20, NULL, NULL, 10][category] AS v, [2, 2, 2, 2, 1, 1, 1, 1, 1, 1, 1, 1, -1, -1, 1][category] AS k FROM way),
+place AS (SELECT vertex_id, lat // 10 * 10 AS lat, lng // 10 * 10 AS lng FROM road_vertex)""",
+f"""SELECT row_number() OVER (ORDER BY tail, line, back) - 1 AS edge_id, tail, head,
+  CAST(CASE WHEN category = 13 THEN round({great('a.lat', 'a.lng', 'b.lat', 'b.lng')}) ELSE length END AS INT) AS length, category, v AS free_flow_speed, k AS num_lanes,
+  CASE WHEN category = 13 THEN 0 ELSE CAST(round(9000.0 * k * v / (5 * v + 45)) AS INT) END AS capacity,
+  CAST(CASE category WHEN 13 THEN 600 * length ELSE round(36.0 * length / v) END AS INT) AS travel_time
+FROM fast JOIN place a ON a.vertex_id = tail JOIN place b ON b.vertex_id = head""")
+ORACLES["src3_dimacs"] = q(EDGE + """,
+arc AS (SELECT edge_id AS line, 0 AS copy, tail, head, length, travel_time FROM road_edge UNION ALL SELECT edge_id, 1, tail, head, length, travel_time FROM road_edge WHERE edge_id % 5 = 0)""",
+"""SELECT row_number() OVER (ORDER BY tail, line, copy) - 1 AS edge_id, tail, head, CAST(round((length * 10 + 4 - 9 * copy) / 10.0) AS INT) AS length,
+  CAST(round((travel_time + 3 * copy) * 2.5) AS INT) AS travel_time FROM arc""")
+ORACLES["src3_dimacs_places"] = q(VERTEX, "SELECT vertex_id, lat // 10 * 10 AS lat, lng // 10 * 10 AS lng FROM road_vertex")
+ORACLES["src4_matsim"] = q(EDGE + """,
+link AS (SELECT *, CAST(round(edge_id % 7 * 4 * 3.6) AS INT) AS v FROM road_edge WHERE edge_id % 3 <> 0)""",
+"""SELECT CAST(edge_id AS VARCHAR) AS link_id, CAST(tail AS VARCHAR) AS tail, CAST(head AS VARCHAR) AS head, CAST(length + 1 AS INT) AS length, v AS free_flow_speed,
+  CAST(capacity * 2 AS INT) AS capacity, CAST(num_lanes AS DOUBLE) AS num_lanes,
+  CAST(CASE WHEN v = 0 THEN 1073741823 ELSE floor(3.6 * (length + 0.75) / v) * 10 + 10 END AS INT) AS travel_time FROM link""")
+ORACLES["src5_osm"] = q(EDGE + """,
+rule(i, highway, v, k, cap, dir) AS (VALUES (0, 'motorway', 120, 2, 2000, 'forward'), (1, 'motorway_link', 80, 1, 1500, 'forward'), (2, 'trunk', 80, 1, 2000, 'both'),
+  (3, 'trunk_link', 50, 1, 1500, 'both'), (4, 'primary', 80, 1, 1500, 'both'), (5, 'primary_link', 60, 1, 1500, 'both'), (6, 'secondary', 30, 1, 800, 'both'),
+  (7, 'secondary_link', 30, 1, 800, 'both'), (8, 'tertiary', 25, 1, 600, 'both'), (9, 'tertiary_link', 25, 1, 600, 'both'), (10, 'unclassified', 15, 1, 600, 'both'),
+  (11, 'residential', 15, 1, 600, 'both'), (12, 'living_street', 10, 1, 300, 'both')),
+way AS (SELECT edge_id AS way_id, length AS n, highway, cap, [NULL, 30.0, 29 * 1.609344, 100.0, NULL][edge_id % 5 + 1] AS sign, v, k,
+  CASE edge_id % 4 WHEN 1 THEN 'forward' WHEN 2 THEN 'reverse' WHEN 3 THEN 'both' ELSE dir END AS direction, [NULL, 2.0, 3.0][edge_id % 3 + 1] AS tagged
+  FROM road_edge JOIN rule ON i = edge_id % 14),
+seg AS (SELECT *, CAST(coalesce(CASE WHEN direction = 'both' THEN tagged / 2 ELSE tagged END, k) AS DOUBLE) AS lanes,
+  CAST(round(CASE WHEN sign IS NOT NULL THEN CASE WHEN sign < 51 THEN sign / 2 ELSE sign END
+    WHEN n < 300 AND regexp_matches(highway, '^(trunk|primary|secondary|tertiary)') THEN (v - 10) / 300.0 * n + 10 ELSE v END) AS INT) AS speed FROM way)""",
+"""SELECT way_id, highway, direction, lanes, CAST(round(lanes * cap * CASE WHEN n < 100 THEN 2 ELSE 1 END) AS INT) AS capacity, speed AS free_flow_speed,
+  CAST(round(36.0 * n / speed) AS INT) AS travel_time FROM seg""")
+
 # The SELECTs above that begin with a comma carry on the list of CTEs.
 ORACLES = {k: v.replace(") ,\n", "),\n").replace(") , ", "), ") for k, v in ORACLES.items()}

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from roadweave.functions import cost, geometry, scalars
 from roadweave.operators import assignment, demand, graph, hierarchy, poi, search, spatial
+from roadweave.operators.shared import fresh_path
+from roadweave.sources import formats
 from roadweave.sources.derived import Network
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -523,7 +525,7 @@ def a9_tau_derivative(n: Network) -> DataFrame:
 def a11_od_order(n: Network) -> DataFrame:
     z = lambda end: n.zones().select(F.col("vertex_id").alias(end), F.col("zone_id").alias(f"{end}_zone"))
     od = n.od().join(z("origin"), "origin").join(z("destination"), "destination").select("od_id", "origin_zone", "destination_zone", "origin", "destination")
-    return graph.compact_ids(od, ["origin_zone", "destination_zone", "origin", "destination", "od_id"], "position").select("od_id", "origin_zone", "destination_zone", "position")
+    return graph.range_ids(od, ["origin_zone", "destination_zone", "origin", "destination", "od_id"], "position").select("od_id", "origin_zone", "destination_zone", "position")
 
 
 @query
@@ -586,3 +588,76 @@ def date1_seconds(n: Network) -> DataFrame:
 def math2_bits(n: Network) -> DataFrame:
     k = F.col("p_partkey").cast("long")
     return n.table("part").select("p_partkey", F.bit_count(k).alias("ones"), scalars.highest_bit(k).alias("highest"), scalars.lowest_bit(k).alias("lowest"))
+
+
+def _written(n: Network, lines: DataFrame, *order: str, parts: int = 4) -> str:
+    """Path of a text file (in parts) with column ``value`` of each row, in the given order."""
+    path = fresh_path(n.spark)
+    lines.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("value").write.text(path)
+    return path
+
+
+def _joined(separator: str, *fields: Column | int | str) -> Column:
+    return F.concat_ws(separator, *(x.cast("string") if isinstance(x, Column) else F.lit(str(x)) for x in fields))
+
+
+@query
+def src2_xatf(n: Network) -> DataFrame:
+    """Every road of the network once, written as XATF with ids that have gaps and all categories and directions, and read back."""
+    orig = lambda c: F.col(c) * 3 + 7
+    v = n.vertices().select("vertex_id", _joined(",", orig("vertex_id"), 0, 0, F.floor(F.col("lng") / 10), F.floor(F.col("lat") / 10)).alias("value"))
+    kind = F.when(F.col("edge_id") % 14 == 13, 15).otherwise(F.col("edge_id") % 14 + 1)
+    e = n.edges().filter("tail < head").select("edge_id", _joined(",", F.col("edge_id"), orig("tail"), orig("head"), 0, F.col("length"), 0, F.col("edge_id") % 4, 0, 0, kind).alias("value"))
+    return formats.read_xatf(n.spark, _written(n, v, "vertex_id"), _written(n, e, "edge_id"))[1]
+
+
+def _dimacs(n: Network) -> tuple[DataFrame, DataFrame]:
+    arc = lambda w: F.concat(F.lit("a "), _joined(" ", F.col("tail") + 1, F.col("head") + 1, w))
+    twice = n.edges().withColumn("copy", F.explode(F.when(F.col("edge_id") % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    head = n.spark.range(0, 1, 1, 1).select(F.lit(-1).cast("long").alias("edge_id"), F.lit(0).alias("copy"), F.lit("p sp").alias("value"))
+    distance = twice.select("edge_id", "copy", arc(F.col("length") * 10 + 4 - 9 * F.col("copy")).alias("value")).unionByName(head)
+    time = twice.select("edge_id", "copy", arc(F.col("travel_time") + 3 * F.col("copy")).alias("value")).unionByName(head)
+    places = n.vertices().select("vertex_id", F.concat(F.lit("v "), _joined(" ", F.col("vertex_id") + 1, F.floor(F.col("lng") / 10), F.floor(F.col("lat") / 10))).alias("value"))
+    paths = [_written(n, distance, "edge_id", "copy"), _written(n, time, "edge_id", "copy"), _written(n, places, "vertex_id")]
+    return formats.read_dimacs(n.spark, *paths, distance_precision=10, time_precision=4, coordinate_precision=100_000)
+
+
+@query
+def src3_dimacs(n: Network) -> DataFrame:
+    """The edges, every fifth with a parallel one that is shorter and slower, written as DIMACS in coarse units and read back."""
+    return _dimacs(n)[1].select("edge_id", "tail", "head", "length", "travel_time")
+
+
+@query
+def src3_dimacs_places(n: Network) -> DataFrame:
+    return _dimacs(n)[0]
+
+
+@query
+def src4_matsim(n: Network) -> DataFrame:
+    """The edges written as MATSim links, every seventh at speed 0 and every third without cars, and read back."""
+    quote = lambda name, x: F.concat(F.lit(f' {name}="'), x.cast("string"), F.lit('"'))
+    link = F.concat(
+        F.lit("<link"), quote("id", F.col("edge_id")), quote("from", F.col("tail")), quote("to", F.col("head")), quote("length", F.concat(F.col("length").cast("string"), F.lit(".75"))),
+        quote("freespeed", F.concat((F.col("edge_id") % 7 * 4).cast("string"), F.lit(".0"))), quote("capacity", F.col("capacity")), quote("permlanes", F.col("num_lanes")),
+        quote("modes", F.when(F.col("edge_id") % 3 == 0, "rail").otherwise("bike,car")), F.lit("/>"),
+    )
+    ends = n.spark.range(0, 2, 1, 1).select(F.when(F.col("id") == 0, -1).otherwise(2**62).cast("long").alias("edge_id"), F.when(F.col("id") == 0, "<network><links>").otherwise("</links></network>").alias("value"))
+    path = _written(n, n.edges().select("edge_id", link.alias("value")).unionByName(ends), "edge_id", parts=1)  # XML has one root
+    return formats.read_matsim(n.spark, path, ["car"], 0.5)[1].withColumn("num_lanes", F.col("num_lanes").cast("double"))
+
+
+@query
+def src5_osm(n: Network) -> DataFrame:
+    """Tags made of the edges through the way and segment rules."""
+    pick = lambda every, *of: F.element_at(F.array(*map(F.lit, of)), (F.col("edge_id") % every + 1).cast("int"))
+    tags = F.map_filter(
+        F.create_map(
+            F.lit("highway"), pick(14, *formats.OSM_DEFAULTS, "footway"), F.lit("maxspeed"), pick(5, None, "30", "29 mph", "100", "none"),
+            F.lit("lanes"), pick(3, None, "2", "3"), F.lit("oneway"), pick(4, None, "yes", "-1", "no"),
+        ),
+        lambda k, v: v.isNotNull(),
+    )
+    ways = formats.osm_way_attributes(n.edges().select(F.col("edge_id").alias("way_id"), "length", tags.alias("tags")))
+    segments = formats.osm_segment_attributes(ways.withColumn("lanes", F.when(F.col("direction") == "reverse", F.col("lanes_backward")).otherwise(F.col("lanes_forward"))))
+    return segments.select("way_id", "highway", "direction", "lanes", "capacity", "free_flow_speed", "travel_time")

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from roadweave.functions.geometry import haversine
 from roadweave.operators.graph import compact_ids
 
-# Speeds (km/h) and lanes by road category 1 to 12 and 15; the others are not roads for cars.
+# Speeds (km/h) and lanes by road category 1 to 12 and 15; 13 is a ferry, 14 is unused.
 XATF_SPEED = {1: 130, 2: 120, 3: 110, 4: 100, 5: 90, 6: 80, 7: 70, 8: 60, 9: 50, 10: 40, 11: 30, 12: 20, 15: 10}
-XATF_LANES = {1: 2, 2: 2, 3: 2, 4: 2}
-XATF_FERRY = 14
+XATF_LANES = {1: 2, 2: 2, 3: 2, 4: 2, 5: 1, 6: 1, 7: 1, 8: 1, 9: 1, 10: 1, 11: 1, 12: 1, 13: -1, 14: -1, 15: 1}
+XATF_FERRY = 13
+#: Fixed value: the travel time of an edge that cannot be driven.
+NEVER = (2**31 - 1) // 2
 
 # Speed (km/h), lanes a direction, vehicles an hour and lane, direction, by OSM highway class.
 OSM_DEFAULTS = {
@@ -40,9 +42,31 @@ def two_second_capacity(lanes: Column, speed: Column) -> Column:
     return F.round(9000 * lanes * speed / (5 * speed + 45)).cast("int")
 
 
+def numbered_lines(spark: SparkSession, path: str, kept: Column | None = None) -> DataFrame:
+    """(line, value) of the lines that ``kept`` admits, numbered from 0 in the order of files and lines.
+
+    Lines are counted in each split that Spark reads, so a file of any size is numbered by
+    many tasks; only the table of splits is summed in one place.
+    """
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"))
+    read = read.filter(F.lit(True) if kept is None else kept)
+    sizes = read.groupBy("_file", "_split").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_file", "_split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("_file").alias("_f"), F.col("_split").alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_file", "_split").orderBy("_at")
+    numbered = read.withColumn("_k", F.row_number().over(inside)).join(starts, (F.col("_file") == F.col("_f")) & (F.col("_split") == F.col("_s")))
+    return numbered.select((F.col("_start") + F.col("_k") - 1).cast("long").alias("line"), "value")
+
+
+def _fields(lines: DataFrame, separator: str, **at: int) -> DataFrame:
+    """line and the named integer fields of each line."""
+    f = F.split("value", separator)
+    return lines.select("line", *(F.get(f, k).cast("long").alias(name) for name, k in at.items()))
+
+
 def xatf_attributes(edges: DataFrame) -> DataFrame:
-    """Adds speed, lanes, capacity and travel time to (length, category); a ferry has length for its time, and no capacity."""
-    speed, lanes = _lookup(F.col("category"), XATF_SPEED), F.coalesce(_lookup(F.col("category"), XATF_LANES), F.lit(1))
+    """Adds speed, lanes, capacity and travel time to (length, category); a ferry takes a minute for a unit of length and has no speed and no capacity."""
+    speed, lanes = _lookup(F.col("category").cast("int"), XATF_SPEED), _lookup(F.col("category").cast("int"), XATF_LANES)
     ferry = F.col("category") == XATF_FERRY
     e = edges.withColumns({"free_flow_speed": speed, "num_lanes": lanes})
     return e.withColumns(
@@ -54,42 +78,56 @@ def xatf_attributes(edges: DataFrame) -> DataFrame:
 
 
 def read_xatf(spark: SparkSession, vertex_path: str, edge_path: str) -> tuple[DataFrame, DataFrame]:
-    """Vertices and edges of comma files of 5 and 10 fields; directions 1 and 2 are one-way, 0 and 3 go both ways."""
-    v = spark.read.csv(vertex_path, schema="id long, a string, b string, lng5 int, lat5 int")
-    vertices = v.select(F.col("id").alias("vertex_id"), (F.col("lat5") * 10).alias("lat"), (F.col("lng5") * 10).alias("lng"))
-    raw = spark.read.csv(edge_path, schema="id long, tail long, head long, a string, length int, b string, direction int, c string, d string, category int")
-    there, back = F.struct("tail", "head"), F.struct(F.col("head").alias("tail"), F.col("tail").alias("head"))
-    ways = F.when(F.col("direction") == 1, F.array(there)).when(F.col("direction") == 2, F.array(back)).otherwise(F.array(there, back))
-    rows = raw.select(F.explode(ways).alias("w"), "length", "category").select("w.tail", "w.head", "length", "category")
-    at = lambda end: vertices.select(F.col("vertex_id").alias(end), F.col("lat").alias(f"{end}_lat"), F.col("lng").alias(f"{end}_lng"))
-    placed = rows.join(at("tail"), "tail").join(at("head"), "head")
-    across = haversine(*(F.col(c) for c in ("tail_lat", "tail_lng", "head_lat", "head_lng")))
-    measured = placed.withColumn("length", F.when(F.col("category") == XATF_FERRY, F.round(across).cast("int")).otherwise(F.col("length"))).drop("tail_lat", "tail_lng", "head_lat", "head_lng")
-    return vertices, compact_ids(xatf_attributes(measured), ["tail", "head", "length", "category"], "edge_id")
-
-
-def read_dimacs(spark: SparkSession, distances: str | None, times: str | None, places: str | None = None) -> tuple[DataFrame | None, DataFrame]:
-    """Vertices (if given) and edges from 1-based arc files; either of distance and time may be missing."""
-
-    def arcs(path: str, name: str) -> DataFrame:
-        f = F.split("value", " +")
-        return spark.read.text(path).filter(F.col("value").startswith("a ")).select(*(F.get(f, k).cast("long").alias(c) for k, c in ((1, "t"), (2, "h"), (3, name))))
-
-    def counted(df: DataFrame, name: str) -> DataFrame:
-        return df.withColumn("k", F.row_number().over(Window.partitionBy("t", "h").orderBy(name)))
-
-    tables = [counted(arcs(p, n), n) for p, n in ((distances, "length"), (times, "travel_time")) if p]
-    both = tables[0] if len(tables) == 1 else tables[0].join(tables[1], ["t", "h", "k"], "full_outer")
-    edges = compact_ids(both.withColumns({"tail": F.col("t") - 1, "head": F.col("h") - 1}).drop("t", "h"), ["tail", "head", "k"], "edge_id").drop("k")
+    """Vertices and edges of comma files of 5 and 10 fields; directions 1 and 2 are one-way, 0 and 3 go both ways.
+
+    Vertices get dense ids in the order of their lines; edges come by tail, then line, a way
+    back after the way there. A ferry's length is the distance between its ends; its travel
+    time stays that of the length in the file.
+    """
+    v = _fields(numbered_lines(spark, vertex_path), ",", orig_id=0, lng5=3, lat5=4)
+    vertices = v.select(F.col("line").alias("vertex_id"), "orig_id", (F.col("lat5") * 10).cast("int").alias("lat"), (F.col("lng5") * 10).cast("int").alias("lng"))
+    raw = _fields(numbered_lines(spark, edge_path), ",", tail=1, head=2, length=4, direction=6, category=9)
+    there = F.struct(F.col("tail").alias("a"), F.col("head").alias("b"), F.lit(0).alias("back"))
+    back = lambda k: F.struct(F.col("head").alias("a"), F.col("tail").alias("b"), F.lit(k).alias("back"))
+    ways = F.when(F.col("direction") == 1, F.array(there)).when(F.col("direction") == 2, F.array(back(0))).otherwise(F.array(there, back(1)))
+    rows = raw.select("line", "length", "category", F.explode(ways).alias("w")).select("line", "length", "category", "w.*")
+    at = lambda end, name: vertices.select(F.col("orig_id").alias(end), F.col("vertex_id").alias(name), F.col("lat").alias(f"{name}_lat"), F.col("lng").alias(f"{name}_lng"))
+    placed = xatf_attributes(rows.withColumn("length", F.col("length").cast("int"))).join(at("a", "tail"), "a").join(at("b", "head"), "b")
+    across = F.round(haversine(*(F.col(c) for c in ("tail_lat", "tail_lng", "head_lat", "head_lng")))).cast("int")
+    measured = placed.withColumn("length", F.when(F.col("category") == XATF_FERRY, across).otherwise(F.col("length")))
+    edges = compact_ids(measured.drop("a", "b", "tail_lat", "tail_lng", "head_lat", "head_lng"), ["tail", "line", "back"], "edge_id")
+    return vertices, edges.select("edge_id", "tail", "head", "length", "category", "free_flow_speed", "num_lanes", "capacity", "travel_time")
+
+
+def read_dimacs(
+    spark: SparkSession, distances: str | None, times: str | None, places: str | None = None, distance_precision: int = 1, time_precision: int = 1, coordinate_precision: int = 1_000_000
+) -> tuple[DataFrame | None, DataFrame]:
+    """Vertices (if given) and edges from 1-based arc files; either of distance and time may be missing.
+
+    The k-th arc of one file is the k-th of the other. Files give distances in parts of a
+    metre, times in parts of a second and coordinates in parts of a degree, by their
+    precisions; lengths are metres, travel times tenths of a second, places micro-degrees.
+    """
+
+    def arcs(path: str, name: str, scale: float) -> DataFrame:
+        lines = _fields(numbered_lines(spark, path, F.col("value").startswith("a ")), " +", t=1, h=2, w=3)
+        return lines.select("line", "t", "h", F.round(F.lit(scale) * F.col("w")).cast("int").alias(name))
+
+    tables = [arcs(p, n, x) for p, n, x in ((distances, "length", 1 / distance_precision), (times, "travel_time", 10 / time_precision)) if p]
+    both = tables[0] if len(tables) == 1 else tables[0].join(tables[1].drop("t", "h"), "line")
+    edges = compact_ids(both.withColumns({"tail": F.col("t") - 1, "head": F.col("h") - 1}).drop("t", "h"), ["tail", "line"], "edge_id").drop("line")
     if not places:
         return None, edges
-    f = F.split("value", " +")
-    points = spark.read.text(places).filter(F.col("value").startswith("v "))
-    return points.select((F.get(f, 1).cast("long") - 1).alias("vertex_id"), F.get(f, 3).cast("int").alias("lat"), F.get(f, 2).cast("int").alias("lng")), edges
+    points = _fields(numbered_lines(spark, places, F.col("value").startswith("v ")), " +", id=1, lng=2, lat=3)
+    micro = lambda c: F.round(F.lit(1e6 / coordinate_precision) * F.col(c)).cast("int").alias(c)
+    return points.select((F.col("id") - 1).alias("vertex_id"), micro("lat"), micro("lng")), edges
 
 
 def read_matsim(spark: SparkSession, path: str, modes: list[str], capacity_hours: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """Nodes and links of a network XML that carry one of ``modes``; times are whole seconds, one added, in tenths."""
+    """Nodes and links of a network XML that carry one of ``modes``; times are whole seconds, one added, in tenths.
+
+    A link of speed 0 is never passed. ``capacity_hours`` is the period that capacities count for.
+    """
     nodes = spark.read.format("xml").option("rowTag", "node").schema("_id string, _x double, _y double").load(path).filter("_x is not null")
     links = spark.read.format("xml").option("rowTag", "link").schema("_id string, _from string, _to string, _length double, _freespeed double, _capacity double, _permlanes double, _modes string").load(path)
     kept = links.filter(F.arrays_overlap(F.split("_modes", ","), F.array(*map(F.lit, modes))))
@@ -97,7 +135,7 @@ def read_matsim(spark: SparkSession, path: str, modes: list[str], capacity_hours
     edges = kept.select(
         F.col("_id").alias("link_id"), F.col("_from").alias("tail"), F.col("_to").alias("head"), F.round("_length").cast("int").alias("length"), speed.cast("int").alias("free_flow_speed"),
         F.round(F.col("_capacity") / capacity_hours).cast("int").alias("capacity"), F.col("_permlanes").alias("num_lanes"),
-        (F.floor(3.6 * F.round("_length") / speed) * 10 + 10).cast("int").alias("travel_time"),
+        F.when(speed != 0, F.floor(3.6 * F.col("_length") / speed) * 10 + 10).otherwise(NEVER).cast("int").alias("travel_time"),
     )
     return nodes.select(F.col("_id").alias("vertex_id"), F.col("_x").alias("x"), F.col("_y").alias("y")), edges
 
@@ -105,7 +143,7 @@ def read_matsim(spark: SparkSession, path: str, modes: list[str], capacity_hours
 def osm_way_attributes(ways: DataFrame) -> DataFrame:
     """Direction, speed, lanes and capacities of ways (way_id, tags MAP<STRING,STRING>) open to cars.
 
-    Classes that are not listed are dropped. Speeds of ``mph`` are converted; of a two-way
+    Classes that are not listed are dropped. Speeds of ``mph`` are converted, and stay unrounded; of a two-way
     road ``lanes`` is halved, lanes:forward and lanes:backward override it if positive.
     """
     tag = lambda k: F.lower(F.trim(F.try_element_at("tags", F.lit(k))))
@@ -117,11 +155,11 @@ def osm_way_attributes(ways: DataFrame) -> DataFrame:
         .when(tag("junction") == "roundabout", "forward").otherwise(default(3))
     )
     number = F.regexp_extract(tag("maxspeed"), r"^(\d+(\.\d+)?)", 1).try_cast("double")
-    limit = F.when(tag("maxspeed").endswith("mph"), F.round(number * MILE)).otherwise(F.round(number)).cast("int")
+    limit = F.when(tag("maxspeed").endswith("mph"), number * MILE).otherwise(number)
     half = lambda c: F.when(F.col("direction") == "both", c / 2).otherwise(c)
     count = lambda k: tag(k).try_cast("double")
     lanes = lambda k: F.when(count(k) > 0, count(k)).otherwise(F.when(count("lanes") > 0, half(count("lanes"))).otherwise(default(1).cast("double")))
-    return known.withColumns({"direction": direction, "speed_limit": F.coalesce(limit, default(0)), "signed": limit.isNotNull()}).withColumns({"lanes_forward": lanes("lanes:forward"), "lanes_backward": lanes("lanes:backward"), "lane_capacity": default(2)})
+    return known.withColumns({"direction": direction, "speed_limit": F.coalesce(limit, default(0).cast("double")), "signed": limit.isNotNull()}).withColumns({"lanes_forward": lanes("lanes:forward"), "lanes_backward": lanes("lanes:backward"), "lane_capacity": default(2)})
 
 
 #: Order of the classes between which short unsigned roads are slowed; fixed values.
@@ -136,9 +174,10 @@ def osm_segment_attributes(segments: DataFrame) -> DataFrame:
     """
     v, n = F.col("speed_limit"), F.col("length")
     slowed = ~F.col("signed") & F.col("highway").isin(*OSM_SHORT) & (n < 300)
-    speed = F.when(slowed, F.round((v - 10) / 300 * n + 10)).when(F.col("signed") & (v < 51), F.round(v / 2)).otherwise(v).cast("int")
+    speed = F.when(slowed, F.round((v - 10) / 300 * n + 10)).when(F.col("signed") & (v < 51), F.round(v / 2)).otherwise(F.round(v)).cast("int")
     capacity = F.round(F.col("lanes") * F.col("lane_capacity") * F.when(n < 100, 2).otherwise(1)).cast("int")
-    return segments.withColumns({"capacity": capacity, "free_flow_speed": speed}).withColumn("travel_time", travel_time(n, F.col("free_flow_speed")))
+    timed = F.coalesce(travel_time(n, F.col("free_flow_speed")), F.lit(NEVER))
+    return segments.withColumns({"capacity": capacity, "free_flow_speed": speed}).withColumn("travel_time", timed)
 
 
 def _unit(c: str) -> Column:

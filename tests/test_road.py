@@ -248,11 +248,12 @@ def write(tmp_path, name, text):
 
 def test_xatf(spark, tmp_path):
     v = write(tmp_path, "v", "1,0,0,900000,4800000\n2,0,0,901000,4800000\n3,0,0,902000,4800000\n")
-    e = write(tmp_path, "e", "1,1,2,0,1000,0,1,0,0,4\n2,2,3,0,500,0,0,0,0,9\n3,1,3,0,0,0,2,0,0,14\n")
+    e = write(tmp_path, "e", "1,1,2,0,1000,0,1,0,0,4\n2,2,3,0,500,0,0,0,0,9\n3,1,3,0,7,0,2,0,0,13\n")
     vertices, edges = formats.read_xatf(spark, v, e)
     got = {(r.tail, r.head): (r.length, r.free_flow_speed, r.num_lanes, r.capacity, r.travel_time) for r in edges.collect()}
-    assert vertices.count() == 3 and got[(1, 2)] == (1000, 100, 2, round(9000 * 2 * 100 / 545), 360)
-    assert got[(2, 3)] == got[(3, 2)] and got[(2, 3)][4] == 360 and got[(3, 1)][3] == 0 and got[(3, 1)][4] == 600 * got[(3, 1)][0] and (1, 3) not in got
+    assert [r.orig_id for r in vertices.orderBy("vertex_id").collect()] == [1, 2, 3] and got[(0, 1)] == (1000, 100, 2, round(9000 * 2 * 100 / 545), 360)
+    assert got[(1, 2)] == got[(2, 1)] and got[(1, 2)][4] == 360 and (0, 2) not in got
+    assert got[(2, 0)][0] > 1000 and got[(2, 0)][1:] == (None, -1, 0, 600 * 7)  # a ferry's time is that of the length in the file
 
 
 def test_dimacs_and_text_formats(spark, tmp_path):
@@ -260,7 +261,7 @@ def test_dimacs_and_text_formats(spark, tmp_path):
     t = write(tmp_path, "t.gr", "p sp 2 2\na 1 2 3\na 2 1 4\n")
     c = write(tmp_path, "c.co", "p aux sp co 2\nv 1 9000000 48000000\nv 2 9100000 48000000\n")
     v, e = formats.read_dimacs(spark, d, t, c)
-    assert sorted((r.tail, r.head, r.length, r.travel_time) for r in e.collect()) == [(0, 1, 30, 3), (1, 0, 40, 4)] and v.count() == 2
+    assert sorted((r.tail, r.head, r.length, r.travel_time) for r in e.collect()) == [(0, 1, 30, 30), (1, 0, 40, 40)] and v.count() == 2
     grid = write(tmp_path, "p.csv", "Gitter_ID_100m;Einwohner\n100mN26840E43341;5\n100mN26840E43342;-1\n")
     assert [tuple(r) for r in formats.read_population(spark, grid, 100).collect()] == [(43341, 26840, 5)]
     od = write(tmp_path, "od.csv", "# made by hand\norigin,destination,departure\n1,2,7\n")
@@ -292,7 +293,7 @@ def test_matsim(spark, tmp_path):
 def test_osm_tags(spark):
     rows = [(1, {"highway": "primary", "maxspeed": "30 mph", "lanes": "4"}), (2, {"highway": "motorway"}), (3, {"highway": "footway"}), (4, {"highway": "residential", "oneway": "-1", "lanes:forward": "3"})]
     got = {r.way_id: (r.direction, r.speed_limit, r.lanes_forward) for r in formats.osm_way_attributes(spark.createDataFrame(rows, "way_id long, tags map<string,string>")).collect()}
-    assert got == {1: ("both", 48, 2.0), 2: ("forward", 120, 2.0), 4: ("reverse", 15, 3.0)}
+    assert got == {1: ("both", 30 * 1.609344, 2.0), 2: ("forward", 120, 2.0), 4: ("reverse", 15, 3.0)}
     seg = spark.createDataFrame([("primary", 150, 1.0, 1500, 80, False), ("residential", 50, 1.0, 600, 30, True)], "highway string, length int, lanes double, lane_capacity int, speed_limit int, signed boolean")
     assert [(r.capacity, r.free_flow_speed) for r in formats.osm_segment_attributes(seg).collect()] == [(1500, 45), (1200, 15)]
 

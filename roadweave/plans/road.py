@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadweave.functions import cost, geometry, scalars
-from roadweave.operators import assignment, demand, graph, hierarchy, poi, search, spatial
+from roadweave.operators import assignment, demand, graph, hierarchy, poi, search, settle, spatial
 from roadweave.operators.shared import fresh_path
 from roadweave.sources import formats
 from roadweave.sources.derived import Network
@@ -50,6 +50,10 @@ def _whole_populated_reach(n: Network) -> DataFrame:
     return reach.join(sought, F.col("vertex_id") == F.col("_o"), "left").filter("_o is not null or vertex_id = source").drop("_o")
 
 
+def _od_ends(n: Network) -> DataFrame:
+    return n.od().select("od_id", F.col("origin").alias("source"), F.col("destination").alias("vertex_id"))
+
+
 def _trips(n: Network, distances: DataFrame) -> DataFrame:
     return distances.join(n.od().select("od_id", F.col("origin").alias("source"), F.col("destination").alias("vertex_id")), ["source", "vertex_id"])
 
@@ -212,7 +216,7 @@ def sp4_path_cost(n: Network) -> DataFrame:
 
 @query
 def sp5_bounded(n: Network) -> DataFrame:
-    return search.one_to_all(n.edges(), _sources(n)).filter("distance <= 150").select("source", "vertex_id", "distance")
+    return settle.within(n.edges(), _sources(n), 150)
 
 
 @query
@@ -269,7 +273,7 @@ def a3_unpacked_flows(n: Network) -> DataFrame:
 
 @query
 def sp22_dijkstra_rank(n: Network) -> DataFrame:
-    return _trips(n, demand.dijkstra_ranks(_reach(n))).select("od_id", F.col("source").alias("origin"), F.col("vertex_id").alias("destination"), "rank")
+    return settle.ranks(n.edges(), _od_ends(n)).select("od_id", F.col("source").alias("origin"), F.col("vertex_id").alias("destination"), "rank")
 
 
 @query
@@ -338,7 +342,7 @@ def k6_prefix_counts(n: Network) -> DataFrame:
 
 @query
 def k7_ball(n: Network) -> DataFrame:
-    return poi.ball(search.one_to_all(n.edges(), _sources(n)).select("source", "vertex_id", "distance"), 25)
+    return settle.nearest(n.edges(), _sources(n), 25)
 
 
 @query
@@ -377,7 +381,7 @@ def d4_formula_demand(n: Network) -> DataFrame:
 
 @query
 def d5_intervening(n: Network) -> DataFrame:
-    return _trips(n, demand.intervening(_reach(n), _opportunities(n))).select("od_id", F.col("between").alias("between_"))
+    return settle.between(n.edges(), _od_ends(n), _opportunities(n)).select("od_id", F.col("between").alias("between_"))
 
 
 @query
@@ -389,7 +393,7 @@ def d6_chooser(n: Network) -> DataFrame:
 def d7_choose_given_skip(n: Network) -> DataFrame:
     total = n.pois().count()
     trips = n.od().select(F.col("od_id").alias("trip_id"), F.col("origin").alias("source"), ((F.col("od_id") * 31) % total).alias("skip"))
-    return demand.choose_given_skip(_reach(n), _opportunities(n), trips)
+    return settle.after_skips(n.edges(), trips, _opportunities(n))
 
 
 @query
@@ -424,12 +428,12 @@ def d14_uniform_od(n: Network) -> DataFrame:
 
 @query
 def d15_od_by_rank(n: Network) -> DataFrame:
-    return demand.od_by_rank(_reach(n), n.od().select(F.col("od_id").alias("trip_id"), F.col("origin").alias("source"), (F.col("od_id") % 64).alias("rank")))
+    return settle.at_rank(n.edges(), n.od().select(F.col("od_id").alias("trip_id"), F.col("origin").alias("source"), (F.col("od_id") % 64).alias("rank")))
 
 
 @query
 def d16_od_by_distance(n: Network) -> DataFrame:
-    return demand.od_by_distance(_reach(n), n.od().select(F.col("od_id").alias("trip_id"), F.col("origin").alias("source"), (F.col("od_id") % 300).alias("least")))
+    return settle.at_distance(n.edges(), n.od().select(F.col("od_id").alias("trip_id"), F.col("origin").alias("source"), (F.col("od_id") % 300).alias("least")))
 
 
 @query

@@ -51,8 +51,13 @@ def closest_pois(edges: DataFrame, sources: DataFrame, pois: DataFrame, k: int,
 
 
 def bucket_closest(up_labels: DataFrame, buckets: DataFrame, k: int) -> DataFrame:
-    """The same answers from tables: labels (source, hub, dist) joined with buckets (hub, poi_vertex, dist)."""
-    b = buckets.select("hub", "poi_vertex", F.col("dist").alias("_b"))
+    """The same answers from tables: labels (source, hub, dist) joined with buckets (hub, poi_vertex, dist).
+
+    A bucket is cut after its k first points by (dist, poi_vertex): a later point has k better
+    ones over the same hub, so it is no answer over that hub.
+    """
+    turn = Window.partitionBy("hub").orderBy("dist", "poi_vertex")
+    b = buckets.withColumn("_k", F.row_number().over(turn)).filter(F.col("_k") <= k).select("hub", "poi_vertex", F.col("dist").alias("_b"))
     met = up_labels.join(b, "hub").groupBy("source", "poi_vertex").agg(F.min(F.col("dist") + F.col("_b")).alias("distance"))
     rank = Window.partitionBy("source").orderBy("distance", "poi_vertex")
     return met.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)

@@ -29,10 +29,6 @@ def _origins(n: Network) -> DataFrame:
     return n.od().select(F.col("origin").alias("source")).distinct()
 
 
-def _reach(n: Network) -> DataFrame:
-    return search.one_to_all(n.edges(), _origins(n)).select("source", "vertex_id", "distance")
-
-
 def _opportunities(n: Network) -> DataFrame:
     return n.pois().groupBy("vertex_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -54,10 +50,6 @@ def _od_ends(n: Network) -> DataFrame:
     return n.od().select("od_id", F.col("origin").alias("source"), F.col("destination").alias("vertex_id"))
 
 
-def _trips(n: Network, distances: DataFrame) -> DataFrame:
-    return distances.join(n.od().select("od_id", F.col("origin").alias("source"), F.col("destination").alias("vertex_id")), ["source", "vertex_id"])
-
-
 def _flows(n: Network) -> DataFrame:
     tenth = lambda k: ((F.col("edge_id") * k) % 9).cast("double") / 10 * F.col("capacity")
     return n.edges().select(
@@ -234,10 +226,15 @@ def _hierarchy(n: Network) -> tuple[search.Snapshot, hierarchy.Hierarchy]:
 def sp9_hub_labels(n: Network) -> DataFrame:
     _, h = _hierarchy(n)
     od = n.od()
-    ends = [r[0] for r in od.select(F.explode(F.array("origin", "destination"))).distinct().collect()]  # vertices of the snapshot
+    ends = od.select(F.explode(F.array("origin", "destination")).alias("vertex_id"))
     return hierarchy.label_distances(hierarchy.label_tables(n.spark, h, ends), od.select("od_id", "origin", "destination"))
 
 
+@query
+def sp15_elimination_tree(n: Network) -> DataFrame:
+    return hierarchy.tree_distances(_hierarchy(n)[1], n.od())
+
+
 @query
 def sp11_hierarchy_arcs(n: Network) -> DataFrame:
     return hierarchy.hierarchy_tables(n.spark, _hierarchy(n)[1])["arcs"]
@@ -328,9 +325,8 @@ def k1_closest_poi(n: Network) -> DataFrame:
 @query
 def k3_bucket_knn(n: Network) -> DataFrame:
     _, h = _hierarchy(n)
-    sources, pois = [r[0] for r in _origins(n).collect()], [r[0] for r in n.pois().select("vertex_id").distinct().collect()]  # vertices of the snapshot
-    up = hierarchy.label_tables(n.spark, h, sources).filter("side = 'up'").select(F.col("vertex_id").alias("source"), "hub", "dist")
-    buckets = hierarchy.label_tables(n.spark, h, pois).filter("side = 'down'").select(F.col("vertex_id").alias("poi_vertex"), "hub", "dist")
+    up = hierarchy.label_tables(n.spark, h, _origins(n).withColumnRenamed("source", "vertex_id")).filter("side = 'up'").select(F.col("vertex_id").alias("source"), "hub", "dist")
+    buckets = hierarchy.label_tables(n.spark, h, n.pois()).filter("side = 'down'").select(F.col("vertex_id").alias("poi_vertex"), "hub", "dist")
     return poi.bucket_closest(up, buckets, 4)
 
 

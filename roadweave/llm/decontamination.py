@@ -35,7 +35,8 @@ def word_hashes(text: Column) -> Column:
 
 
 def _seed_hash(hashes: Column, at: Column, mask: tuple[int, ...]) -> Column:
-    return F.xxhash64(F.lit(repr(mask)), *(F.get(hashes, at + k) for k in mask))
+    number = MASKS.index(mask) if mask in MASKS else len(MASKS) + len(mask)
+    return F.xxhash64(F.lit(number), *(F.get(hashes, at + k) for k in mask))
 
 
 def _starts(n: Column, mask: tuple[int, ...]) -> Column:

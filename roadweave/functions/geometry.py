@@ -119,6 +119,29 @@ def squared_distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return dx * dx + dy * dy
 
 
+def leftmost(ring: Column) -> Column:
+    """Place of the leftmost vertex of a ring, the lowest of several."""
+    return F.array_min(F.transform(ring, lambda p, i: F.struct(p["x"].alias("x"), p["y"].alias("y"), i.alias("i"))))["i"]
+
+
+def rectangle(low_x: Column, low_y: Column, high_x: Column, high_y: Column) -> Column:
+    return F.struct(low_x.alias("x0"), low_y.alias("y0"), high_x.alias("x1"), high_y.alias("y1"))
+
+
+def rectangle_contains(r: Column, x: Column, y: Column) -> Column:
+    return x.between(r["x0"], r["x1"]) & y.between(r["y0"], r["y1"])
+
+
+def rectangles_meet(a: Column, b: Column) -> Column:
+    """Whether two rectangles share a point."""
+    return (a["x0"] <= b["x1"]) & (b["x0"] <= a["x1"]) & (a["y0"] <= b["y1"]) & (b["y0"] <= a["y1"])
+
+
+def extended(r: Column, x: Column, y: Column) -> Column:
+    """The least rectangle that holds r and a point."""
+    return rectangle(F.least(r["x0"], x), F.least(r["y0"], y), F.greatest(r["x1"], x), F.greatest(r["y1"], y))
+
+
 def inspire_cell(code: Column, kilometre: bool) -> Column:
     """Struct (cell_x, cell_y) of an INSPIRE id: digits of N at 5 (4) and of E at 11 (9), counted from 0."""
     north = F.regexp_extract(code, r"N(\d+)E", 1).cast("int")

@@ -44,6 +44,21 @@ def next_power_of_two(x: Column) -> Column:
     return F.when(down >= x, down).otherwise(down * 2)
 
 
+def previous_power_of_two(x: Column) -> Column:
+    """Greatest power of two that is at most x (x >= 1)."""
+    return F.pow(F.lit(2.0), highest_bit(x)).cast("long")
+
+
+def parsed(text: Column, kind: str) -> Column:
+    """A number of SQL type ``kind`` from its whole text, null if it is none or overflows."""
+    return text.try_cast(kind)
+
+
+def member(text: Column, names: dict[str, int]) -> Column:
+    """Value of an enumeration by name, null for unknown names."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), text)
+
+
 def highest_bit(x: Column) -> Column:
     """Index of the highest set bit, -1 for 0."""
     return F.when(x == 0, F.lit(-1)).otherwise(F.length(F.bin(x.cast("long"))) - 1).cast("int")

@@ -217,5 +217,32 @@ seg AS (SELECT *, CAST(coalesce(CASE WHEN direction = 'both' THEN tagged / 2 ELS
 """SELECT way_id, highway, direction, lanes, CAST(round(lanes * cap * CASE WHEN n < 100 THEN 2 ELSE 1 END) AS INT) AS capacity, speed AS free_flow_speed,
   CAST(round(36.0 * n / speed) AS INT) AS travel_time FROM seg""")
 
+ORACLES["sp3_k_searches"] = ORACLES["sp1_one_to_all"]
+ORACLES["sp20_batch_queries"] = q(EDGE + OD + sp(ORIGINS), "SELECT od_id, d AS distance FROM od LEFT JOIN sp ON src = origin AND id = destination")
+ORACLES["snk3_od_distances"] = q(EDGE + OD + sp(ORIGINS), "SELECT 1 AS iteration, od_id, d AS traversal_cost FROM od LEFT JOIN sp ON src = origin AND id = destination")
+ORACLES["snk5_original_ids"] = q(VERTEX + OD, "SELECT od_id, origin * 3 + 7 AS origin, destination * 3 + 7 AS destination FROM od")
+ORACLES["snk6_p2p_result"] = q(EDGE + OD + sp(ORIGINS), """SELECT od_id, k AS dijkstra_rank, d AS distance FROM od
+JOIN (SELECT src, id, d, row_number() OVER (PARTITION BY src ORDER BY d, id) - 1 AS k FROM sp) ON src = origin AND id = destination""")
+_J6_CTES, _J6_SELECT = ORACLES["j6_mutual_nn"].rsplit("SELECT l.left_id", 1)
+ORACLES["d18_matched_od"] = f"""{_J6_CTES.rstrip()}, m AS (SELECT l.left_id{_J6_SELECT}), k AS (SELECT *, row_number() OVER (ORDER BY left_id) - 1 AS k, count(*) OVER () AS n FROM m),
+t AS (SELECT od_id, CAST('0x' || substr(md5('0:o:' || od_id), 1, 8) AS BIGINT) % (SELECT count(*) FROM m) AS o, CAST('0x' || substr(md5('0:d:' || od_id), 1, 8) AS BIGINT) % (SELECT count(*) FROM m) AS d
+  FROM (SELECT unnest(range(0, 300)) AS od_id))
+SELECT od_id, a.left_id AS origin, b.left_id AS destination, a.right_id AS other_origin, b.right_id AS other_destination FROM t JOIN k a ON a.k = o JOIN k b ON b.k = d"""
+ORACLES["agg_percent_matched"] = q(VERTEX + POPULATION, "SELECT count(*) AS n, count(p.vertex_id) AS matched, round(100.0 * count(p.vertex_id) / count(*), 6) AS percent FROM road_vertex v LEFT JOIN population p USING (vertex_id)")
+ORACLES["rows_every_nth"] = q(VERTEX, "SELECT p_size, vertex_id FROM (SELECT *, row_number() OVER (ORDER BY p_size, vertex_id) - 1 AS k FROM road_vertex) WHERE k % 7 = 0")
+ORACLES["rows_shuffled"] = q(VERTEX + OD, "SELECT od_id, row_number() OVER (ORDER BY md5('5:' || od_id)) - 1 AS position FROM od")
+ORACLES["rows_difference"] = q(VERTEX + POI, "SELECT vertex_id FROM road_vertex EXCEPT SELECT vertex_id FROM poi")
+ORACLES["geo5_rectangles"] = q(VERTEX, """SELECT vertex_id, x BETWEEN 10 AND 20 AND y BETWEEN 4 AND 9 AS inside, x - 2 <= 20 AND 10 <= x + p_size % 7 AND y - 1 <= 9 AND 4 <= y + 3 AS meets,
+least(x - 2, 5) AS x0, least(y - 1, 5) AS y0, greatest(x + p_size % 7, 5) AS x1, greatest(y + 3, 5) AS y1 FROM road_vertex""")
+ORACLES["geo3_leftmost"] = q(VERTEX + """,
+corner AS (SELECT vertex_id, unnest([{'i': 0, 'a': x + p_size % 5, 'b': y}, {'i': 1, 'a': x + p_size % 3, 'b': y + 1}, {'i': 2, 'a': x + p_size % 4, 'b': y + p_size % 2}, {'i': 3, 'a': x + 1, 'b': y - 1}]) AS c FROM road_vertex)""",
+"SELECT vertex_id, CAST(i AS INT) AS leftmost FROM (SELECT vertex_id, c.i AS i, row_number() OVER (PARTITION BY vertex_id ORDER BY c.a, c.b, c.i) AS k FROM corner) WHERE k = 1")
+ORACLES["str1_strings"] = """SELECT p_partkey, trim('  ' || p_name || ' ') AS trimmed, starts_with(p_name, 'P') AS starts, ends_with(p_name, '1') AS ends, substr(p_name, 2, 4) AS middle,
+lower(p_name) AS lower, upper(p_name) AS upper, lower(p_name) = lower('  ' || p_name || ' ') AS same FROM part"""
+ORACLES["str2_casts"] = """SELECT p_partkey, CASE WHEN p_partkey % 5 <> 2 THEN try_cast(t AS INT) END AS whole, try_cast(t AS DOUBLE) AS real, CASE p_partkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 END AS named
+FROM (SELECT p_partkey, CAST(p_partkey AS VARCHAR) || CASE p_partkey % 5 WHEN 0 THEN 'x' WHEN 1 THEN '99999999999' WHEN 2 THEN '.5' ELSE '' END AS t FROM part)"""
+ORACLES["math1_powers"] = q(VERTEX, """SELECT vertex_id, CAST(pow(2, length(bin(vertex_id + 1)) - 1) AS BIGINT) AS down,
+CAST(CASE WHEN pow(2, length(bin(vertex_id + 1)) - 1) = vertex_id + 1 THEN vertex_id + 1 ELSE pow(2, length(bin(vertex_id + 1))) END AS BIGINT) AS up, CAST(sign(vertex_id - 50) AS INT) AS sign FROM road_vertex""")
+
 # The SELECTs above that begin with a comma carry on the list of CTEs.
 ORACLES = {k: v.replace(") ,\n", "),\n").replace(") , ", "), ") for k, v in ORACLES.items()}

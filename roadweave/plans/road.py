@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadweave.functions import cost, geometry, scalars
-from roadweave.operators import assignment, demand, graph, hierarchy, poi, search, settle, spatial
+from roadweave.operators import assignment, demand, graph, hierarchy, poi, rows, search, settle, spatial
 from roadweave.operators.shared import fresh_path
 from roadweave.sources import formats
 from roadweave.sources.derived import Network
@@ -287,14 +287,18 @@ def j5_poi_to_vertex(n: Network) -> DataFrame:
     return spatial.pois_to_vertices(moved, n.vertices(), 45)
 
 
-@query
-def j6_mutual_nn(n: Network) -> DataFrame:
+def j6_matches(n: Network) -> DataFrame:
     k = F.col("vertex_id")
     left = n.vertices().select(k.alias("id"), "lat", "lng")
     right = n.vertices().filter("vertex_id % 3 <> 1").select(k.alias("id"), (F.col("lat") + (k * 37) % 900 - 450).alias("lat"), (F.col("lng") + (k * 53) % 1300 - 650).alias("lng"))
     return spatial.mutual_matches(left, right, 60)
 
 
+@query
+def j6_mutual_nn(n: Network) -> DataFrame:
+    return j6_matches(n)
+
+
 def _square(k: Column, low: int, high: int, hole: bool) -> Column:
     """Ring from k*3+low to k*3+high in doubled, shifted coordinates, so that no cell lies on an edge."""
     a, b = 2 * (3 * k + low) - 1, 2 * (3 * k + high) - 1
@@ -661,3 +665,104 @@ def src5_osm(n: Network) -> DataFrame:
     ways = formats.osm_way_attributes(n.edges().select(F.col("edge_id").alias("way_id"), "length", tags.alias("tags")))
     segments = formats.osm_segment_attributes(ways.withColumn("lanes", F.when(F.col("direction") == "reverse", F.col("lanes_backward")).otherwise(F.col("lanes_forward"))))
     return segments.select("way_id", "highway", "direction", "lanes", "capacity", "free_flow_speed", "travel_time")
+
+
+@query
+def sp3_k_searches(n: Network) -> DataFrame:
+    return search.k_searches(n.edges(), _sources(n), 4)
+
+
+@query
+def sp20_batch_queries(n: Network) -> DataFrame:
+    return search.timed_queries(n.edges(), n.od()).filter("query_time > 0").drop("query_time")
+
+
+def _written_rows(n: Network, table: DataFrame) -> DataFrame:
+    """``table`` through the CSV sink and back with its types."""
+    path = fresh_path(n.spark)
+    formats.write_rows(table, path)
+    return n.spark.read.csv(path, header=True, schema=table.schema)
+
+
+@query
+def snk3_od_distances(n: Network) -> DataFrame:
+    _, distances = assignment.all_or_nothing(n.edges(), n.od())
+    return _written_rows(n, distances.select(F.lit(1).alias("iteration"), "od_id", F.col("distance").alias("traversal_cost")))
+
+
+@query
+def snk5_original_ids(n: Network) -> DataFrame:
+    orig = n.vertices().select("vertex_id", (F.col("vertex_id") * 3 + 7).alias("orig_id"))
+    return _written_rows(n, formats.with_original_ids(n.od().select("od_id", "origin", "destination"), orig))
+
+
+@query
+def snk6_p2p_result(n: Network) -> DataFrame:
+    timed = search.timed_queries(n.edges(), n.od()).select("od_id", "distance", "query_time")
+    return _written_rows(n, settle.ranks(n.edges(), _od_ends(n)).select("od_id", F.col("rank").alias("dijkstra_rank")).join(timed, "od_id")).drop("query_time")
+
+
+@query
+def d18_matched_od(n: Network) -> DataFrame:
+    left, right = rows.matched_trips(j6_matches(n), n.spark.range(300).withColumnRenamed("id", "od_id"))
+    return left.join(right.select("od_id", F.col("origin").alias("other_origin"), F.col("destination").alias("other_destination")), "od_id")
+
+
+@query
+def agg_percent_matched(n: Network) -> DataFrame:
+    return rows.percent_matched(n.vertices(), n.population(), "vertex_id").withColumn("percent", F.round("percent", 6))
+
+
+@query
+def rows_every_nth(n: Network) -> DataFrame:
+    return rows.every_nth(n.vertices().select("p_size", "vertex_id"), ["p_size", "vertex_id"], 7)
+
+
+@query
+def rows_shuffled(n: Network) -> DataFrame:
+    return rows.shuffled(n.od().select("od_id"), "od_id", 5)
+
+
+@query
+def rows_difference(n: Network) -> DataFrame:
+    return rows.difference(n.vertices(), n.pois(), "vertex_id")
+
+
+@query
+def geo5_rectangles(n: Network) -> DataFrame:
+    x, y = F.col("x"), F.col("y")
+    a = geometry.rectangle(x - 2, y - 1, x + F.col("p_size") % 7, y + 3)
+    b = geometry.rectangle(F.lit(10), F.lit(4), F.lit(20), F.lit(9))
+    e = geometry.extended(a, F.lit(5), F.lit(5))
+    return n.vertices().select("vertex_id", geometry.rectangle_contains(b, x, y).alias("inside"), geometry.rectangles_meet(a, b).alias("meets"), e["x0"].alias("x0"), e["y0"].alias("y0"), e["x1"].alias("x1"), e["y1"].alias("y1"))
+
+
+@query
+def geo3_leftmost(n: Network) -> DataFrame:
+    x, y, s = F.col("x"), F.col("y"), F.col("p_size")
+    ring = F.array(*(F.struct(a.alias("x"), b.alias("y")) for a, b in ((x + s % 5, y), (x + s % 3, y + 1), (x + s % 4, y + s % 2), (x + 1, y - 1))))
+    return n.vertices().select("vertex_id", geometry.leftmost(ring).alias("leftmost"))
+
+
+@query
+def str1_strings(n: Network) -> DataFrame:
+    s = F.col("p_name")
+    padded = F.concat(F.lit("  "), s, F.lit(" "))
+    return n.table("part").select(
+        "p_partkey", F.trim(padded).alias("trimmed"), s.startswith("P").alias("starts"), s.endswith("1").alias("ends"), F.substring(s, 2, 4).alias("middle"), F.lower(s).alias("lower"),
+        F.upper(s).alias("upper"), (F.lower(s) == F.lower(padded)).alias("same"),
+    )
+
+
+@query
+def str2_casts(n: Network) -> DataFrame:
+    k = F.col("p_partkey")
+    text = F.concat(k.cast("string"), F.when(k % 5 == 0, "x").when(k % 5 == 1, "99999999999").when(k % 5 == 2, ".5").otherwise(""))
+    named = scalars.member(F.element_at(F.array(F.lit("low"), F.lit("mid"), F.lit("high"), F.lit("none")), (k % 4 + 1).cast("int")), {"low": 0, "mid": 1, "high": 2})
+    return n.table("part").select("p_partkey", scalars.parsed(F.when(k % 5 != 2, text), "int").alias("whole"), scalars.parsed(text, "double").alias("real"), named.alias("named"))
+
+
+@query
+def math1_powers(n: Network) -> DataFrame:
+    k = F.col("vertex_id") + 1
+    return n.vertices().select("vertex_id", scalars.previous_power_of_two(k).alias("down"), scalars.next_power_of_two(k).alias("up"), F.signum(F.col("vertex_id") - 50).cast("int").alias("sign"))

@@ -300,3 +300,16 @@ def write_network(vertices: DataFrame, edges: DataFrame, path: str, columns: lis
 
 def read_network(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/vertices"), spark.read.parquet(f"{path}/edges")
+
+
+def write_rows(rows: DataFrame, path: str) -> None:
+    """Any result table as CSV with a header: distances by iteration, assignment statistics, trips, timed queries, point-index statistics."""
+    rows.write.mode("overwrite").csv(path, header=True)
+
+
+def with_original_ids(od: DataFrame, vertices: DataFrame, ends: tuple[str, ...] = ("origin", "destination")) -> DataFrame:
+    """Trips with their ends in the ids of the source data; ``vertices`` has vertex_id and orig_id."""
+    for end in ends:
+        at = vertices.select(F.col("vertex_id").alias("_v"), F.col("orig_id").alias("_orig"))
+        od = od.join(at, F.col(end) == F.col("_v")).withColumn(end, F.col("_orig")).drop("_v", "_orig")
+    return od

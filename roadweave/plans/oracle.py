@@ -41,7 +41,7 @@ def q(ctes: str, select: str) -> str:
 
 
 ORIGINS = "(SELECT DISTINCT origin AS s FROM od)"
-POPULATED = "(SELECT vertex_id AS s FROM population ORDER BY vertex_id LIMIT 40)"
+POPULATED = "(SELECT vertex_id AS s FROM population)"
 PARENT = """,
 parent AS (SELECT a.src, e.head AS id, min(e.edge_id) AS edge_id FROM sp AS a JOIN road_edge AS e ON a.id = e.tail
   JOIN sp AS b ON b.src = a.src AND b.id = e.head AND b.d = a.d + e.travel_time GROUP BY a.src, e.head)"""
@@ -86,7 +86,7 @@ ORACLES = {
     "g17_metric_switch": q(EDGE, "SELECT edge_id, tail, head, length AS travel_time FROM road_edge"),
     "g10_scc": q(EDGE, """,
 de AS (SELECT tail, head FROM road_edge WHERE (head > tail AND tail % 5 <> 0) OR (head < tail AND tail % 3 <> 0)),
-reach(a, b) AS (SELECT vertex_id, vertex_id FROM road_vertex WHERE y < 4 UNION SELECT r.a, e.head FROM reach r JOIN de e ON e.tail = r.b JOIN road_vertex v ON v.vertex_id = e.head AND v.y < 4)
+reach(a, b) AS (SELECT vertex_id, vertex_id FROM road_vertex UNION SELECT r.a, e.head FROM reach r JOIN de e ON e.tail = r.b)
 SELECT f.a AS vertex_id, min(f.b) AS component FROM reach f JOIN reach g ON g.a = f.b AND g.b = f.a GROUP BY 1"""),
     "g12_components": q(EDGE, """,
 ue AS (SELECT tail, head FROM road_edge WHERE (tail + head) % 3 = 0), se AS (SELECT tail, head FROM ue UNION SELECT head, tail FROM ue),
@@ -97,7 +97,7 @@ SELECT id AS vertex_id, c AS component FROM cc"""),
     "sp2_point_to_point": q(EDGE + OD + sp(ORIGINS), "SELECT od_id, origin, destination, d AS distance FROM od LEFT JOIN sp ON src = origin AND id = destination"),
     "sp4_path_cost": q(EDGE + OD + sp(ORIGINS) + WALK, "SELECT od_id, CAST(sum(travel_time) AS BIGINT) AS cost, count(*) AS hops FROM walk JOIN road_edge USING (edge_id) GROUP BY 1"),
     "sp5_bounded": q(EDGE + sp(), "SELECT src AS source, id AS vertex_id, d AS distance FROM sp WHERE d <= 150"),
-    "sp7_dag": q(EDGE.replace("SELECT CAST(row_number()", "SELECT CAST(row_number()") + """,
+    "sp7_dag": q(EDGE + """,
 dag AS (SELECT * FROM road_edge WHERE head > tail),
 dp(src, id, d) USING KEY (src, id) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION SELECT n.src, n.v, min(n.d) FROM (SELECT s.src, e.head AS v, s.d + e.travel_time AS d FROM dp s JOIN dag e ON s.id = e.tail LEFT JOIN recurring.dp r ON r.src = s.src AND r.id = e.head WHERE r.d IS NULL OR s.d + e.travel_time < r.d) n GROUP BY 1, 2)""", "SELECT src AS source, id AS vertex_id, d AS distance FROM dp"),
     "sp22_dijkstra_rank": q(EDGE + OD + sp(ORIGINS), f"SELECT od_id, origin, destination, rank FROM od JOIN {RANKED} ON src = origin AND id = destination"),
@@ -217,6 +217,7 @@ seg AS (SELECT *, CAST(coalesce(CASE WHEN direction = 'both' THEN tagged / 2 ELS
 """SELECT way_id, highway, direction, lanes, CAST(round(lanes * cap * CASE WHEN n < 100 THEN 2 ELSE 1 END) AS INT) AS capacity, speed AS free_flow_speed,
   CAST(round(36.0 * n / speed) AS INT) AS travel_time FROM seg""")
 
+ORACLES["sp1_fixpoint"] = q(EDGE + sp("(SELECT CAST(0 AS BIGINT) AS s)"), "SELECT src AS source, id AS vertex_id, d AS distance FROM sp")
 ORACLES["sp3_k_searches"] = ORACLES["sp1_one_to_all"]
 ORACLES["sp20_batch_queries"] = q(EDGE + OD + sp(ORIGINS), "SELECT od_id, d AS distance FROM od LEFT JOIN sp ON src = origin AND id = destination")
 ORACLES["snk3_od_distances"] = q(EDGE + OD + sp(ORIGINS), "SELECT 1 AS iteration, od_id, d AS traversal_cost FROM od LEFT JOIN sp ON src = origin AND id = destination")

@@ -74,7 +74,7 @@ def test_whole_network_components(net):
             waiting += new
         reach[v] = seen
     want = {v: min(u for u in reach[v] if v in reach[u]) for v in out}
-    assert {r.vertex_id: r.component for r in catalog.QUERIES["g10_scc_all"](n.spark, SF).collect()} == want
+    assert {r.vertex_id: r.component for r in catalog.QUERIES["g10_scc"](n.spark, SF).collect()} == want
 
 
 def test_fixpoint_query_reaches_every_vertex(spark, monkeypatch):
@@ -216,11 +216,11 @@ def test_demand_from_all_inhabitants(net):
                 between += opp[v]
             for h, w in out[v]:
                 heapq.heappush(heap, (d + w, h))
-    got = {(r.source, r.vertex_id): r.probability for r in catalog.QUERIES["d4_formula_probability_all"](n.spark, SF).collect()}
+    got = {(r.source, r.vertex_id): r.probability for r in catalog.QUERIES["d4_formula_probability"](n.spark, SF).collect()}
     assert len(people) > 40 and got == pytest.approx(want, abs=1e-8)
     trips = catalog.QUERIES["d4_formula_demand"](n.spark, SF).collect()
     assert abs(sum(r.trips for r in trips) - 10_000) < 1_000 and len({r.origin for r in trips}) > 40
-    ranks = [r.expected_distance for r in catalog.QUERIES["d19_mean_distance_all"](n.spark, SF).orderBy("rank").collect()]
+    ranks = [r.expected_distance for r in catalog.QUERIES["d19_mean_distance"](n.spark, SF).orderBy("rank").collect()]
     assert ranks == pytest.approx([sum(p * d for p, d in x) / sum(p for p, _ in x) for _, x in sorted(by_rank.items())], abs=1e-5)
 
 

@@ -144,7 +144,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str)
         if rows:
             yield pa.RecordBatch.from_pydict({n: list(v) for n, v in zip(("file", "partition", "seq", "n_docs", "n_ids"), zip(*rows))})
 
-    dealt = slim.repartitionByRange(min(parts, 1 << 16), F.col("doc_id").asc_nulls_first(), "text").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))  # the hash splits rows of one doc_id without sampling texts
+    dealt = slim.repartitionByRange(min(parts, 1 << 16), *order).sortWithinPartitions(*order, "text")
     manifest = stored(dealt.mapInArrow(write, "file string, partition long, seq long, n_docs long, n_ids long"), "token-manifest")
     before = Window.orderBy("partition", "seq").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))  # one row a file

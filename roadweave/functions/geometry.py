@@ -18,6 +18,23 @@ def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     return F.lit(2 * EARTH_RADIUS) * F.atan2(F.sqrt(a), F.sqrt(1 - a))
 
 
+def arc_distance(lat: Column, lng: Column, lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
+    """Great-circle distance in metres from a point to the arc between two others, in micro-degrees."""
+
+    def unit(phi: Column, lam: Column) -> tuple[Column, Column, Column]:
+        p, l = F.radians(phi / F.lit(1e6)), F.radians(lam / F.lit(1e6))
+        return F.cos(p) * F.cos(l), F.cos(p) * F.sin(l), F.sin(p)
+
+    cross = lambda u, v: (u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0])
+    dot = lambda u, v: u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
+    q, a, b = unit(lat, lng), unit(lat1, lng1), unit(lat2, lng2)
+    n = cross(a, b)
+    size = F.sqrt(dot(n, n))
+    beside = (size > 0) & (dot(cross(n, a), q) >= 0) & (dot(cross(b, n), q) >= 0)  # the foot lies on the arc
+    ends = F.least(haversine(lat, lng, lat1, lng1), haversine(lat, lng, lat2, lng2))
+    return F.when(beside, F.lit(EARTH_RADIUS) * F.asin(F.least(F.abs(F.try_divide(dot(n, q), size)), F.lit(1.0)))).otherwise(ends)
+
+
 def web_mercator(lat: Column, lng: Column) -> Column:
     """Struct (x, y): micro-degrees from 180 W and from about 85 S."""
     s = F.sin(F.radians(lat / F.lit(1e6)))

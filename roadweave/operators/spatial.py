@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from math import pi, radians, sin
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadweave.functions.geometry import haversine, orientation, ring_contains, squared_distance
+from roadweave.functions.geometry import EARTH_RADIUS, arc_distance, haversine, orientation, ring_contains, squared_distance
 from roadweave.operators.shared import stored
 
 
@@ -13,40 +16,98 @@ def _cells(x: Column, y: Column, size: int) -> list[Column]:
     return [F.floor(x / size).cast("long"), F.floor(y / size).cast("long")]
 
 
-def nearest(queries: DataFrame, points: DataFrame, cell: int, most_rings: int = 64) -> DataFrame:
-    """(query_id, point_id, d2): the planar nearest point of each query; ties go to the least id.
+def _prove_by_rings(queries: DataFrame, place: Callable[[int], DataFrame], measure: Callable[[DataFrame], DataFrame], proof: Callable[[int], Column], cell: int, most_rings: int) -> DataFrame:
+    """The best target (least d, then target_id) of each query (query_id, x, y).
 
-    queries: query_id, x, y; points: point_id, x, y. Queries meet the points of the cells around
-    them; the square of cells doubles until the answer is proven, that is, nearer than
-    the square's edge. Queries still open after ``most_rings`` cells meet all points as blocks
-    of the remaining query set.
+    ``place(cell)`` gives the targets with the cells (cx, cy) they touch, ``measure`` adds d to
+    met pairs, ``proof(reach)`` is what d may be at most if all targets nearer than a square of
+    that reach were met. The square doubles up to ``most_rings`` cells; then the cells grow and
+    it starts again, so a query never meets more than (2 * most_rings + 1)^2 cells.
     """
-    placed = points.select("point_id", F.col("x").alias("px"), F.col("y").alias("py"), *(c.alias(n) for c, n in zip(_cells(F.col("x"), F.col("y"), cell), ("cx", "cy"))))
-    open_, answers, reach = queries.select("query_id", "x", "y"), [], 1
-    best = Window.partitionBy("query_id").orderBy("d2", "point_id")
+    open_, answers, reach, placed = queries, [], 1, place(cell)
+    best = Window.partitionBy("query_id").orderBy("d", "target_id")
     while True:
         span = F.sequence(F.lit(-reach), F.lit(reach))
         qx, qy = _cells(F.col("x"), F.col("y"), cell)
         around = open_.withColumns({"_qx": qx, "_qy": qy}).withColumn("dx", F.explode(span)).withColumn("dy", F.explode(span))
-        near = around.withColumns({"cx": F.col("_qx") + F.col("dx"), "cy": F.col("_qy") + F.col("dy")}).join(placed, ["cx", "cy"])
-        found = near.withColumn("d2", squared_distance(F.col("x"), F.col("y"), F.col("px"), F.col("py"))).withColumn("_r", F.row_number().over(best)).filter("_r = 1")
-        # The square reaches at least `reach` whole cells beyond the query's own cell.
-        proven = stored(found.filter(F.col("d2") <= F.lit((reach * cell) ** 2)).select("query_id", "point_id", "d2"))
+        met = around.withColumns({"cx": F.col("_qx") + F.col("dx"), "cy": F.col("_qy") + F.col("dy")}).join(placed, ["cx", "cy"])
+        found = measure(met).withColumn("_r", F.row_number().over(best)).filter("_r = 1")
+        proven = stored(found.filter(F.col("d") <= proof(reach * cell)).select("query_id", "target_id", "d"))
         answers.append(proven)
         open_ = stored(open_.join(proven.select("query_id"), "query_id", "left_anti"))
         if not open_.limit(1).count():
             break
         reach *= 2
         if reach > most_rings:
-            far = open_.join(placed).withColumn("d2", squared_distance(F.col("x"), F.col("y"), F.col("px"), F.col("py")))
-            answers.append(far.groupBy("query_id").agg(F.min(F.struct("d2", "point_id")).alias("m")).select("query_id", "m.point_id", "m.d2"))
-            break
+            cell, reach = cell * 2 * most_rings, 1
+            placed = place(cell)
     out = answers[0]
     for more in answers[1:]:
         out = out.unionByName(more)
     return out
 
 
+def nearest(queries: DataFrame, points: DataFrame, cell: int, most_rings: int = 2) -> DataFrame:
+    """(query_id, point_id, d2): the planar nearest point of each query; ties go to the least id.
+
+    queries: query_id, x, y; points: point_id, x, y. Queries meet the points of the cells around
+    them; the square of cells grows until the answer is proven, that is, nearer than the
+    square's edge. Rows without coordinates are left out; without points nothing is found.
+    """
+    points = points.filter("x is not null and y is not null").select(F.col("point_id").alias("target_id"), F.col("x").alias("px"), F.col("y").alias("py"))
+    sought = queries.filter("x is not null and y is not null").select("query_id", "x", "y")
+    if not points.limit(1).count():
+        sought = sought.limit(0)
+    place = lambda c: points.withColumns(dict(zip(("cx", "cy"), _cells(F.col("px"), F.col("py"), c))))
+    measure = lambda met: met.withColumn("d", squared_distance(F.col("x"), F.col("y"), F.col("px"), F.col("py")))
+    # The square reaches at least `reach` whole cells beyond the query's own cell.
+    found = _prove_by_rings(sought, place, measure, lambda width: F.lit(min(width**2, 2**63 - 1)), cell, most_rings)
+    return found.select("query_id", F.col("target_id").alias("point_id"), F.col("d").alias("d2"))
+
+
+def nearest_segments(queries: DataFrame, segments: DataFrame, metres: float, cell: int = 2000, most_rings: int = 2) -> DataFrame:
+    """(query_id, edge_id, metres, vertex_id): the segment nearest to each query on the sphere, if within ``metres``.
+
+    queries: query_id, x, y (longitude and latitude in microdegrees); segments: edge_id, tail,
+    head, x1, y1, x2, y2, great-circle arcs that cross neither pole nor antimeridian. Ties go to
+    the least edge_id. ``vertex_id`` is the end that represents the query: the tail if it is
+    nearer and an edge from head to tail exists, else the head. Segments are dealt to
+    the cells along them, with a margin for the bend of an arc. Rows without coordinates are
+    left out; without segments nothing is found.
+    """
+    drawn = segments.filter("x1 is not null and y1 is not null and x2 is not null and y2 is not null")
+    sought = queries.filter("x is not null and y is not null").select("query_id", "x", "y")
+    if not drawn.limit(1).count():
+        sought = sought.limit(0)
+    x1, y1, x2, y2 = (F.col(k).cast("double") for k in ("x1", "y1", "x2", "y2"))
+    bend = F.ceil(F.pow(F.radians((x2 - x1) / 1e6), 2) / 8 * (180e6 / pi)) + 1  # an arc leaves the straight line by less
+
+    def place(size: int) -> DataFrame:
+        along = drawn.withColumn("cx", F.explode(F.sequence(F.floor(F.least(x1, x2) / size).cast("long"), F.floor(F.greatest(x1, x2) / size).cast("long"))))
+        at = lambda x: F.when(x1 == x2, y1).otherwise(y1 + (F.least(F.greatest(x, F.least(x1, x2)), F.greatest(x1, x2)) - x1) * F.try_divide(y2 - y1, x2 - x1))
+        left, right = at(F.col("cx") * F.lit(float(size))), F.when(x1 == x2, y2).otherwise(at((F.col("cx") + 1) * F.lit(float(size))))
+        rows = F.sequence(F.floor((F.least(left, right) - bend) / size).cast("long"), F.floor((F.greatest(left, right) + bend) / size).cast("long"))
+        return along.withColumn("cy", F.explode(rows)).select(F.col("edge_id").alias("target_id"), "x1", "y1", "x2", "y2", "cx", "cy")
+
+    def measure(met: DataFrame) -> DataFrame:
+        return met.withColumn("d", arc_distance(F.col("y"), F.col("x"), F.col("y1"), F.col("x1"), F.col("y2"), F.col("x2")))
+
+    def proof(width: int) -> Column:
+        if width >= 360_000_000:  # all segments were met
+            return F.lit(float("inf"))
+        # The square's sides: a parallel `width` away, and a meridian, which is nearer at higher latitudes.
+        return F.least(F.lit(radians(width / 1e6)), F.asin(F.cos(F.radians(F.col("y") / 1e6)) * F.lit(sin(min(radians(width / 1e6), pi / 2))))) * EARTH_RADIUS
+
+    found = _prove_by_rings(sought, place, measure, proof, cell, most_rings)
+    near = found.filter(F.col("d") <= metres).join(sought, "query_id").join(drawn.withColumnRenamed("edge_id", "target_id"), "target_id")
+    back = segments.select(F.col("head").alias("tail"), F.col("tail").alias("head")).distinct().withColumn("_back", F.lit(True))
+    x, y = F.col("x"), F.col("y")
+    nearer = haversine(y, x, F.col("y1"), F.col("x1")) < haversine(y, x, F.col("y2"), F.col("x2"))
+    return near.join(back, ["tail", "head"], "left").select(
+        "query_id", F.col("target_id").alias("edge_id"), F.col("d").alias("metres"), F.when(nearer & F.col("_back").isNotNull(), F.col("tail")).otherwise(F.col("head")).alias("vertex_id")
+    )
+
+
 def pois_to_vertices(pois: DataFrame, vertices: DataFrame, metres: float, cell: int = 2000) -> DataFrame:
     """(poi_id, vertex_id): planar nearest vertex of each point (poi_id, lat, lng), kept if within ``metres`` on the sphere."""
     near = nearest(pois.select(F.col("poi_id").alias("query_id"), F.col("lng").alias("x"), F.col("lat").alias("y")), vertices.select(F.col("vertex_id").alias("point_id"), F.col("lng").alias("x"), F.col("lat").alias("y")), cell)

@@ -224,6 +224,18 @@ ORACLES["snk3_od_distances"] = q(EDGE + OD + sp(ORIGINS), "SELECT 1 AS iteration
 ORACLES["snk5_original_ids"] = q(VERTEX + OD, "SELECT od_id, origin * 3 + 7 AS origin, destination * 3 + 7 AS destination FROM od")
 ORACLES["snk6_p2p_result"] = q(EDGE + OD + sp(ORIGINS), """SELECT od_id, k AS dijkstra_rank, d AS distance FROM od
 JOIN (SELECT src, id, d, row_number() OVER (PARTITION BY src ORDER BY d, id) - 1 AS k FROM sp) ON src = origin AND id = destination""")
+_UNIT = "cos(radians({0} / 1e6)) * cos(radians({1} / 1e6)) AS {2}0, cos(radians({0} / 1e6)) * sin(radians({1} / 1e6)) AS {2}1, sin(radians({0} / 1e6)) AS {2}2"
+_CROSS = "{0}1 * {1}2 - {0}2 * {1}1 AS {2}0, {0}2 * {1}0 - {0}0 * {1}2 AS {2}1, {0}0 * {1}1 - {0}1 * {1}0 AS {2}2"
+_DOT = "({0}0 * {1}0 + {0}1 * {1}1 + {0}2 * {1}2)"
+ORACLES["j9_nearest_segment"] = q(EDGE + f""",
+u AS (SELECT *, {_UNIT.format('lat', 'lng', 'q')} FROM (SELECT vertex_id AS query_id, lng + (vertex_id * 53) % 1449 * 2 - 1449 AS lng, lat + (vertex_id * 37) % 949 * 2 - 949 AS lat FROM road_vertex)),
+l AS (SELECT edge_id, tail, head, a.lat AS alat, a.lng AS alng, b.lat AS blat, b.lng AS blng, {_UNIT.format('a.lat', 'a.lng', 'a')}, {_UNIT.format('b.lat', 'b.lng', 'b')}
+  FROM road_edge JOIN road_vertex a ON a.vertex_id = tail JOIN road_vertex b ON b.vertex_id = head WHERE edge_id % 5 <> 2),
+c AS (SELECT *, {_CROSS.format('n', 'a', 'f')}, {_CROSS.format('b', 'n', 'g')}, sqrt({_DOT.format('n', 'n')}) AS size FROM (SELECT *, {_CROSS.format('a', 'b', 'n')} FROM l)),
+e AS (SELECT *, {great('lat', 'lng', 'alat', 'alng')} AS da, {great('lat', 'lng', 'blat', 'blng')} AS db FROM u JOIN c ON abs(alat - lat) < 4000 AND abs(alng - lng) < 6000),
+d AS (SELECT *, CASE WHEN {_DOT.format('f', 'q')} >= 0 AND {_DOT.format('g', 'q')} >= 0 THEN 6371000.0 * asin(abs({_DOT.format('n', 'q')} / size)) ELSE least(da, db) END AS m FROM e),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY m, edge_id) AS k FROM d)""",
+"""SELECT query_id, edge_id, round(m, 2) AS metres, CASE WHEN da < db AND EXISTS (SELECT 1 FROM l WHERE l.tail = r.head AND l.head = r.tail) THEN tail ELSE head END AS vertex_id FROM r WHERE k = 1 AND m <= 60""")
 _J6_CTES, _J6_SELECT = ORACLES["j6_mutual_nn"].rsplit("SELECT l.left_id", 1)
 ORACLES["d18_matched_od"] = f"""{_J6_CTES.rstrip()}, m AS (SELECT l.left_id{_J6_SELECT}), k AS (SELECT *, row_number() OVER (ORDER BY left_id) - 1 AS k, count(*) OVER () AS n FROM m),
 t AS (SELECT od_id, CAST('0x' || substr(md5('0:o:' || od_id), 1, 8) AS BIGINT) % (SELECT count(*) FROM m) AS o, CAST('0x' || substr(md5('0:d:' || od_id), 1, 8) AS BIGINT) % (SELECT count(*) FROM m) AS d

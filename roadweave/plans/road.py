@@ -533,6 +533,14 @@ def vis3_segments(n: Network) -> DataFrame:
     return line.select("edge_id", F.col("s.a.x").alias("x1"), F.col("s.a.y").alias("y1"), F.col("s.b.x").alias("x2"), F.col("s.b.y").alias("y2"))
 
 
+@query
+def j9_nearest_segment(n: Network) -> DataFrame:
+    k = F.col("vertex_id")
+    moved = n.vertices().select(k.alias("query_id"), (F.col("lng") + (k * 53) % 1449 * 2 - 1449).alias("x"), (F.col("lat") + (k * 37) % 949 * 2 - 949).alias("y"))
+    lines = _ends(n).filter("edge_id % 5 <> 2").select("edge_id", "tail", "head", F.col("tail_lng").alias("x1"), F.col("tail_lat").alias("y1"), F.col("head_lng").alias("x2"), F.col("head_lat").alias("y2"))
+    return spatial.nearest_segments(moved, lines, 60).withColumn("metres", F.round("metres", 2))
+
+
 @query
 def geo6_haversine(n: Network) -> DataFrame:
     return _ends(n).select("edge_id", F.round(geometry.haversine(*(F.col(c) for c in ("tail_lat", "tail_lng", "head_lat", "head_lng"))), 4).alias("metres"))

@@ -2,6 +2,7 @@
 
 import heapq
 import itertools
+import math
 import os
 
 import numpy as np
@@ -176,6 +177,23 @@ def test_nearest_rejects_ties(spark):
     assert sorted(tuple(r) for r in spatial.nearest(q, pts, 2, most_rings=8).collect()) == [(1, 5, 25), (2, 5, 9997**2 + 16)]
 
 
+def test_nearest_without_coordinates_or_points(spark):
+    q = spark.createDataFrame([(1, 0, 0), (2, None, 0)], "query_id long, x int, y int")
+    pts = spark.createDataFrame([(5, 300_000, 0), (6, None, 0)], "point_id long, x int, y int")
+    assert [tuple(r) for r in spatial.nearest(q, pts, 2).collect()] == [(1, 5, 300_000**2)]
+    assert spatial.nearest(q, pts.limit(0), 2).collect() == []
+
+
+def test_nearest_segments(spark):
+    q = spark.createDataFrame([(1, 500, 10), (2, 0, 400_000), (3, 900, -10), (4, None, 3), (5, 100_000_000, 0)], "query_id long, x int, y int")
+    lines = "edge_id long, tail long, head long, x1 int, y1 int, x2 int, y2 int"
+    segments = spark.createDataFrame([(9, 1, 2, 0, 0, 1000, 0), (8, 2, 1, 1000, 0, 0, 0), (7, 3, 4, -2_000_000, 400_000, 2_000_000, 400_000), (6, 3, 3, 900, -15, 900, -15), (5, 5, 6, None, 0, 0, 0)], lines)
+    got = {r.query_id: (r.edge_id, r.vertex_id, round(r.metres, 2)) for r in spatial.nearest_segments(q, segments, 500, cell=200_000).collect()}
+    bulge = 6371000 * (math.atan(math.tan(math.radians(0.4)) / math.cos(math.radians(2))) - math.radians(0.4))  # an arc between points of one latitude bends polewards
+    assert got == {1: (8, 1, 1.11), 2: (7, 4, round(bulge, 2)), 3: (6, 3, 0.56)}
+    assert spatial.nearest_segments(q, segments.limit(0), 500).collect() == []
+
+
 def test_components_of_a_chain(spark):
     v = spark.range(8).withColumnRenamed("id", "vertex_id")
     e = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (2, 3), (5, 6)], "tail long, head long")

@@ -100,7 +100,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str)
 
     Returns the manifest: file, partition, seq, n_docs, n_ids, start (ids before the
     file). Null texts are empty (the end id alone); null doc_ids come first; repeated
-    doc_ids lie side by side, ordered by text; an empty table gives no file. A task that runs
+    doc_ids lie side by side, ordered by a hash of the text, then the text; an empty table gives no file. A task that runs
     twice writes the same file under the same name, by a rename of its finished copy.
     """
     spark = docs.sparkSession

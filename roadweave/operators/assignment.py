@@ -7,11 +7,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadweave.functions.cost import COSTS, OBJECTIVES, ArrayOps
-from roadweave.operators.search import Snapshot, _spread, bidirectional, dijkstra, parents, path_edges
+from roadweave.operators.search import Shared, Snapshot, _spread, bidirectional, dijkstra, parents, path_edges
 
 
 def all_or_nothing(edges: DataFrame, od: DataFrame, weight: str = "travel_time") -> tuple[DataFrame, DataFrame]:
@@ -20,11 +21,10 @@ def all_or_nothing(edges: DataFrame, od: DataFrame, weight: str = "travel_time")
     Trips that cannot arrive have a null distance and load no edge. Each task sums its own
     trips before anything is shuffled.
     """
-    return _load(Snapshot.of(edges, weight), od)
+    return _load(Snapshot.shared(edges, weight), od)
 
 
-def _load(graph: Snapshot, od: DataFrame) -> tuple[DataFrame, DataFrame]:
-    sent = od.sparkSession.sparkContext.broadcast(graph)
+def _load(sent: Shared | Broadcast, od: DataFrame) -> tuple[DataFrame, DataFrame]:
     schema = "od_id long, distance long, edge_id long, n long"
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,7 +124,7 @@ def frank_wolfe(
 
     def load(costs: np.ndarray) -> tuple[np.ndarray, int, DataFrame]:
         g = Snapshot(graph.ids, graph.first, graph.tail, graph.head, np.trunc(costs).astype(np.int64), graph.edge)
-        flows, distances = _load(g, od)
+        flows, distances = _load(od.sparkSession.sparkContext.broadcast(g), od)
         y = np.zeros(len(graph.edge))
         for r in flows.toLocalIterator():  # one row an edge
             y[place[r.edge_id]] = r.vol

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadweave.operators.search import Snapshot, _spread
+from roadweave.operators.shared import fresh_path, read_columns
 
 
 def closest_pois(edges: DataFrame, sources: DataFrame, pois: DataFrame, k: int, weight: str = "travel_time") -> DataFrame:
@@ -19,12 +20,12 @@ def closest_pois(edges: DataFrame, sources: DataFrame, pois: DataFrame, k: int,
     """
     import heapq
 
-    wanted = np.array([r[0] for r in pois.select("vertex_id").distinct().collect()], np.int64)  # a subset of the snapshot's vertices
-    sent = edges.sparkSession.sparkContext.broadcast((Snapshot.of(edges, weight), wanted))
+    sent, path = Snapshot.shared(edges, weight), fresh_path(edges.sparkSession)
+    pois.filter("vertex_id is not null").select(F.col("vertex_id").cast("long").alias("vertex_id")).distinct().write.parquet(path)
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g, marks = sent.value
-        is_poi = np.isin(g.ids, marks).tolist()
+        g = sent.value
+        is_poi = np.isin(g.ids, read_columns(path, ["vertex_id"])[0]).tolist()
         lists = g.lists()
         for frame in frames:
             rows = []

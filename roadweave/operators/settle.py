@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadweave.operators.search import Snapshot, _spread, dijkstra
+from roadweave.operators.search import Snapshot, _held, _spread, settled
+from roadweave.operators.shared import fresh_path, read_columns
 
 #: Gets the snapshot, opportunities by place, a source's place and its requests; gives the rows.
 Answer = Callable[[Snapshot, np.ndarray, int, pd.DataFrame], pd.DataFrame]
@@ -21,16 +22,15 @@ Answer = Callable[[Snapshot, np.ndarray, int, pd.DataFrame], pd.DataFrame]
 
 def _settled(edges: DataFrame, asked: DataFrame, answer: Answer, schema: str, weight: str, opportunities: DataFrame | None = None) -> DataFrame:
     """``answer`` for the requests (source, ...) of each source; sources without edges give nothing."""
-    graph = Snapshot.of(edges, weight)
-    counts = np.zeros(len(graph.ids), np.int64)
-    if opportunities is not None:  # at most a row a vertex of the snapshot
-        found = opportunities.groupBy("vertex_id").agg(F.sum("n").cast("long").alias("n")).join(F.broadcast(_vertices(edges)), "vertex_id").toPandas()
-        counts[np.searchsorted(graph.ids, found["vertex_id"].to_numpy())] = found["n"].to_numpy()
-    sent = edges.sparkSession.sparkContext.broadcast((graph, counts))
+    sent, path = Snapshot.shared(edges, weight), None
+    if opportunities is not None:
+        path = fresh_path(edges.sparkSession)
+        opportunities.filter("vertex_id is not null and n is not null").groupBy(F.col("vertex_id").cast("long").alias("vertex_id")).agg(F.sum("n").cast("long").alias("n")).write.parquet(path)
     names = [c.split()[0] for c in schema.split(", ")]
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g, n = sent.value
+        g = sent.value
+        n = _counts(g, path)
         for frame in frames:
             made = [answer(g, n, at, own) for source, own in frame.groupby("source", sort=False) if (at := g.index(source)) >= 0]
             yield pd.concat(made)[names] if made else pd.DataFrame({c: [] for c in names})
@@ -38,17 +38,25 @@ def _settled(edges: DataFrame, asked: DataFrame, answer: Answer, schema: str, we
     return _spread(asked, "source").sortWithinPartitions("source").mapInPandas(search, schema)
 
 
-def _vertices(edges: DataFrame) -> DataFrame:
-    return edges.select(F.explode(F.array("tail", "head")).alias("vertex_id")).distinct()
+def _counts(graph: Snapshot, path: str | None) -> np.ndarray:
+    """Opportunities by place, of vertices with an edge; read once by each worker."""
+    if path is None:
+        return np.zeros(0, np.int64)
+    if path not in (kept := graph.__dict__.setdefault("_counted", {})):
+        vertices, n = read_columns(path, ["vertex_id", "n"])
+        known = _held(graph.ids, vertices)
+        kept[path] = np.zeros(len(graph.ids), np.int64)
+        kept[path][np.searchsorted(graph.ids, vertices[known])] = n[known]
+    return kept[path]
 
 
 def within(edges: DataFrame, sources: DataFrame, limit: int, weight: str = "travel_time") -> DataFrame:
     """(source, vertex_id, distance) of the vertices at most ``limit`` away; no search goes beyond."""
 
     def answer(g: Snapshot, _: np.ndarray, at: int, own: pd.DataFrame) -> pd.DataFrame:
-        dist, order = dijkstra(g, at, stop=lambda v, d: d > limit)
-        order = [v for v in order if dist[v] <= limit]
-        return pd.DataFrame({"source": own["source"].iloc[0], "vertex_id": g.ids[order], "distance": dist[order]})
+        order, reached = settled(g, at, stop=lambda v, d: d > limit)
+        k = int(np.searchsorted(reached, limit, side="right"))
+        return pd.DataFrame({"source": own["source"].iloc[0], "vertex_id": g.ids[order[:k]], "distance": reached[:k]})
 
     return _settled(edges, sources.select("source").distinct(), answer, "source long, vertex_id long, distance long", weight)
 
@@ -58,8 +66,8 @@ def nearest(edges: DataFrame, sources: DataFrame, size: int, weight: str = "trav
 
     def answer(g: Snapshot, _: np.ndarray, at: int, own: pd.DataFrame) -> pd.DataFrame:
         left = iter(range(size - 1, -1, -1))
-        dist, order = dijkstra(g, at, stop=lambda v, d: next(left) == 0)
-        return pd.DataFrame({"source": own["source"].iloc[0], "vertex_id": g.ids[order], "distance": dist[order]})
+        order, reached = settled(g, at, stop=lambda v, d: next(left) == 0)
+        return pd.DataFrame({"source": own["source"].iloc[0], "vertex_id": g.ids[order], "distance": reached})
 
     return _settled(edges, sources.select("source").distinct(), answer, "source long, vertex_id long, distance long", weight)
 
@@ -69,7 +77,7 @@ def ranks(edges: DataFrame, od: DataFrame, weight: str = "travel_time") -> DataF
 
     def answer(g: Snapshot, _: np.ndarray, at: int, own: pd.DataFrame) -> pd.DataFrame:
         place = own["vertex_id"].map(g.index).to_numpy()
-        _, order = dijkstra(g, at, targets=set(place[place >= 0].tolist()) or {at})
+        order, _ = settled(g, at, targets=set(place[place >= 0].tolist()) or {at})
         of = dict(zip(order, range(len(order))))
         own = own.assign(rank=[of.get(p, -1) for p in place])
         return own[own["rank"] >= 0]
@@ -82,7 +90,7 @@ def between(edges: DataFrame, od: DataFrame, opportunities: DataFrame, weight: s
 
     def answer(g: Snapshot, n: np.ndarray, at: int, own: pd.DataFrame) -> pd.DataFrame:
         place = own["vertex_id"].map(g.index).to_numpy()
-        _, order = dijkstra(g, at, targets=set(place[place >= 0].tolist()) or {at})
+        order, _ = settled(g, at, targets=set(place[place >= 0].tolist()) or {at})
         passed = np.cumsum(n[order]) - n[order] - n[at]
         of = dict(zip(order, passed.tolist())) | {at: 0}
         own = own.assign(between=[of.get(p, -1) for p in place])
@@ -96,7 +104,7 @@ def at_rank(edges: DataFrame, trips: DataFrame, weight: str = "travel_time") ->
 
     def answer(g: Snapshot, _: np.ndarray, at: int, own: pd.DataFrame) -> pd.DataFrame:
         left = iter(range(int(own["rank"].max()), -1, -1))
-        _, order = dijkstra(g, at, stop=lambda v, d: next(left, 0) <= 0)
+        order, _ = settled(g, at, stop=lambda v, d: next(left, 0) <= 0)
         own = own[own["rank"].between(0, len(order) - 1)]
         return own.assign(destination=g.ids[np.array(order, np.int64)[own["rank"].to_numpy(np.int64)]])
 
@@ -108,8 +116,8 @@ def at_distance(edges: DataFrame, trips: DataFrame, weight: str = "travel_time")
 
     def answer(g: Snapshot, _: np.ndarray, at: int, own: pd.DataFrame) -> pd.DataFrame:
         most = own["least"].max()
-        dist, order = dijkstra(g, at, stop=lambda v, d: d >= most)
-        reached = dist[order]
+        order, reached = settled(g, at, stop=lambda v, d: d >= most)
+        reached = np.array(reached, np.int64)
         k = np.searchsorted(reached, own["least"].to_numpy())
         own, k = own[k < len(order)], k[k < len(order)]
         return own.assign(destination=g.ids[np.array(order, np.int64)[k]], distance=reached[k])
@@ -128,7 +136,7 @@ def after_skips(edges: DataFrame, trips: DataFrame, opportunities: DataFrame, we
             passed += int(n[g.index(vertex)])
             return passed > most
 
-        _, order = dijkstra(g, at, stop=enough)
+        order, _ = settled(g, at, stop=enough)
         k = np.searchsorted(np.cumsum(n[order]), own["skip"].to_numpy(), side="right")
         own, k = own[k < len(order)], k[k < len(order)]
         return own.assign(destination=g.ids[np.array(order, np.int64)[k]])

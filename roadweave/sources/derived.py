@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadweave.operators.graph import compact_ids
+from roadweave.operators.shared import large
 
 
 @dataclass
@@ -48,7 +49,7 @@ class Network:
         near = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))))
         reach = v.select("vertex_id", "x", "y", F.col("p_size").alias("a"), F.explode(near).alias("o")).filter((F.col("x") + F.col("o.dx")).between(0, w - 1) & (F.col("y") + F.col("o.dy") >= 0))
         heads = v.select(F.col("vertex_id").alias("head"), F.col("p_size").alias("b"))
-        e = reach.withColumn("head", F.col("vertex_id") + F.col("o.dx") + F.col("o.dy") * w).join(heads, "head")
+        e = reach.withColumn("head", F.col("vertex_id") + F.col("o.dx") + F.col("o.dy") * w).join(large(heads), "head")
         a, b = F.col("a"), F.col("b")
         rows = e.select(
             F.col("vertex_id").alias("tail"), "head",

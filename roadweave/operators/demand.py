@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadweave.operators.shared import large
+
 
 def dijkstra_ranks(distances: DataFrame) -> DataFrame:
     """``distances`` (source, vertex_id, distance) with rank from 0 by (distance, vertex)."""
@@ -173,15 +175,15 @@ def raster_radiation(grid: DataFrame, most_cells: int) -> DataFrame:
     off = F.sequence(F.lit(-1), F.lit(1))
     s = full.select(F.col("cell_x").alias("source_x"), F.col("cell_y").alias("source_y"), F.col("population").alias("s")).withColumn("bx", F.explode(F.transform(off, lambda o: block("source_x") + o))).withColumn("by", F.explode(F.transform(off, lambda o: block("source_y") + o)))
     d = full.select(F.col("cell_x").alias("x"), F.col("cell_y").alias("y"), F.col("population").alias("d"), block("cell_x").alias("bx"), block("cell_y").alias("by"))
-    pairs = s.join(d, ["bx", "by"]).drop("bx", "by")
+    pairs = s.join(large(d), ["bx", "by"]).drop("bx", "by")
     dx, dy = F.abs(F.col("x") - F.col("source_x")), F.abs(F.col("y") - F.col("source_y"))
     near = pairs.withColumns({"man": dx + dy, "che": F.greatest(dx, dy), "r2": dx * dx + dy * dy}).filter(F.col("r2") <= most_cells * most_cells)
     at = near.groupBy("source_x", "source_y", "man", "che").agg(F.sum("d").alias("people"))
     rings = near.filter("r2 > 0").select("source_x", "source_y", "r2").distinct()
     h, a = octagon(F.sqrt(F.col("r2").cast("double")))
-    inside = rings.withColumns({"h": h, "a": a}).join(at, ["source_x", "source_y"]).filter((F.col("man") <= F.col("h") + F.col("a")) & (F.col("che") <= F.col("h")))
+    inside = rings.withColumns({"h": h, "a": a}).join(large(at), ["source_x", "source_y"]).filter((F.col("man") <= F.col("h") + F.col("a")) & (F.col("che") <= F.col("h")))
     sums = inside.groupBy("source_x", "source_y", "r2", "h", "a").agg(F.sum("people").alias("in_octagon"))
-    both = near.filter("r2 > 0").join(sums, ["source_x", "source_y", "r2"])
+    both = near.filter("r2 > 0").join(large(sums), ["source_x", "source_y", "r2"])
     counted = F.when((F.col("man") <= F.col("h") + F.col("a")) & (F.col("che") <= F.col("h")), F.col("d")).otherwise(0)
     big = (F.col("in_octagon") - counted).cast("double")
     return both.select("source_x", "source_y", "x", "y", (F.col("s") * F.col("d") / (big * (F.col("d") + big))).alias("probability"))

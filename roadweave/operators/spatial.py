@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadweave.functions.geometry import EARTH_RADIUS, arc_distance, haversine, orientation, ring_contains, squared_distance
-from roadweave.operators.shared import stored
+from roadweave.operators.shared import large, stored
 
 
 def _cells(x: Column, y: Column, size: int) -> list[Column]:
@@ -30,11 +30,11 @@ def _prove_by_rings(queries: DataFrame, place: Callable[[int], DataFrame], measu
         span = F.sequence(F.lit(-reach), F.lit(reach))
         qx, qy = _cells(F.col("x"), F.col("y"), cell)
         around = open_.withColumns({"_qx": qx, "_qy": qy}).withColumn("dx", F.explode(span)).withColumn("dy", F.explode(span))
-        met = around.withColumns({"cx": F.col("_qx") + F.col("dx"), "cy": F.col("_qy") + F.col("dy")}).join(placed, ["cx", "cy"])
+        met = around.withColumns({"cx": F.col("_qx") + F.col("dx"), "cy": F.col("_qy") + F.col("dy")}).join(large(placed), ["cx", "cy"])
         found = measure(met).withColumn("_r", F.row_number().over(best)).filter("_r = 1")
         proven = stored(found.filter(F.col("d") <= proof(reach * cell)).select("query_id", "target_id", "d"))
         answers.append(proven)
-        open_ = stored(open_.join(proven.select("query_id"), "query_id", "left_anti"))
+        open_ = stored(open_.join(large(proven.select("query_id")), "query_id", "left_anti"))
         if not open_.limit(1).count():
             break
         reach *= 2
@@ -99,11 +99,11 @@ def nearest_segments(queries: DataFrame, segments: DataFrame, metres: float, cel
         return F.least(F.lit(radians(width / 1e6)), F.asin(F.cos(F.radians(F.col("y") / 1e6)) * F.lit(sin(min(radians(width / 1e6), pi / 2))))) * EARTH_RADIUS
 
     found = _prove_by_rings(sought, place, measure, proof, cell, most_rings)
-    near = found.filter(F.col("d") <= metres).join(sought, "query_id").join(drawn.withColumnRenamed("edge_id", "target_id"), "target_id")
+    near = found.filter(F.col("d") <= metres).join(large(sought), "query_id").join(large(drawn.withColumnRenamed("edge_id", "target_id")), "target_id")
     back = segments.select(F.col("head").alias("tail"), F.col("tail").alias("head")).distinct().withColumn("_back", F.lit(True))
     x, y = F.col("x"), F.col("y")
     nearer = haversine(y, x, F.col("y1"), F.col("x1")) < haversine(y, x, F.col("y2"), F.col("x2"))
-    return near.join(back, ["tail", "head"], "left").select(
+    return near.join(large(back), ["tail", "head"], "left").select(
         "query_id", F.col("target_id").alias("edge_id"), F.col("d").alias("metres"), F.when(nearer & F.col("_back").isNotNull(), F.col("tail")).otherwise(F.col("head")).alias("vertex_id")
     )
 
@@ -126,14 +126,14 @@ def mutual_matches(left: DataFrame, right: DataFrame, metres: float) -> DataFram
     r = right.select(F.col("id").alias("right_id"), F.col("lat").alias("rlat"), F.col("lng").alias("rlng"), *(c.alias(n) for c, n in zip(_cells(F.col("lng"), F.col("lat"), step), ("cx", "cy"))))
     off = F.sequence(F.lit(-1), F.lit(1))
     lx, ly = _cells(F.col("llng"), F.col("llat"), step)
-    near = l.withColumn("dx", F.explode(off)).withColumn("dy", F.explode(off)).withColumns({"cx": lx + F.col("dx"), "cy": ly + F.col("dy")}).join(r, ["cx", "cy"])
+    near = l.withColumn("dx", F.explode(off)).withColumn("dy", F.explode(off)).withColumns({"cx": lx + F.col("dx"), "cy": ly + F.col("dy")}).join(large(r), ["cx", "cy"])
     within = near.filter(haversine(F.col("llat"), F.col("llng"), F.col("rlat"), F.col("rlng")) <= metres).withColumn("d2", squared_distance(F.col("llng"), F.col("llat"), F.col("rlng"), F.col("rlat")))
 
     def only(side: str, other: str) -> DataFrame:
         rank = within.withColumn("_r", F.rank().over(Window.partitionBy(side).orderBy("d2")))
         return rank.filter("_r = 1").groupBy(side).agg(F.count(F.lit(1)).alias("n"), F.min(other).alias(other)).filter("n = 1").drop("n")
 
-    return only("left_id", "right_id").join(only("right_id", "left_id"), ["left_id", "right_id"])
+    return only("left_id", "right_id").join(large(only("right_id", "left_id")), ["left_id", "right_id"])
 
 
 def match_edges(matches: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:

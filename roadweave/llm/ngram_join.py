@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadweave.llm.components import connected_components
-from roadweave.llm.shared import stored
+from roadweave.llm.shared import small_batches, stored
 from roadweave.llm.shingles import print_of, shingle_sets
 
 #: Members and their tokens that a lot of a group has at most, about; visitors that one task of an opened lot takes, about.
@@ -59,18 +59,21 @@ class _Frequencies:
     def add(self, tokens: np.ndarray) -> None:
         self.waiting.append(tokens)
         self.held += len(tokens)
-        if self.held > 2_000_000:
+        if self.held > COUNTERS:
             self.flush()
 
     def flush(self) -> None:
-        new, counts = np.unique(np.concatenate([*self.waiting, np.zeros(0, np.uint64)]), return_counts=True)
-        every, where = np.unique(np.concatenate([self.tokens, new]), return_inverse=True)
-        total = np.zeros(len(every), np.int64)
-        np.add.at(total, where, np.concatenate([self.counts, counts]))
+        new = np.concatenate([*self.waiting, np.zeros(0, np.uint64)])
+        self.waiting, self.held = [], 0
+        new, counts = np.unique(new, return_counts=True)
+        at = np.searchsorted(self.tokens, new)  # the old ones are sorted: they are merged, not sorted again
+        known = at < len(self.tokens)
+        known[known] = self.tokens[at[known]] == new[known]
+        self.counts[at[known]] += counts[known]
+        every, total = (np.insert(old, at[~known], more[~known]) for old, more in ((self.tokens, new), (self.counts, counts)))
         if len(every) > COUNTERS:
             total = total - np.partition(total, len(total) - COUNTERS - 1)[len(total) - COUNTERS - 1]
         self.tokens, self.counts = every[total > 0], total[total > 0]
-        self.waiting, self.held = [], 0
 
     def report(self) -> None:
         """Leaves the REPORTED greatest counts over 1."""
@@ -629,13 +632,14 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
     equal doc_id are told apart by their texts; rows alike in both are one.
     """
     slim = _slim(docs)
-    survey, classes = _classes(slim)
-    placed = _placed(survey, classes, _connect(slim, *_visits(slim, survey, classes)), None)
-    linked = placed.filter(F.col("print").isNotNull())
-    first = stored(
-        linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "print")).alias("k")).select(F.col("k.doc_id").alias("_doc"), F.col("k.print").alias("_print")),
-        "ngram-kept",
-    )
+    with small_batches(docs.sparkSession):
+        survey, classes = _classes(slim)
+        placed = _placed(survey, classes, _connect(slim, *_visits(slim, survey, classes)), None)
+        linked = placed.filter(F.col("print").isNotNull())
+        first = stored(
+            linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "print")).alias("k")).select(F.col("k.doc_id").alias("_doc"), F.col("k.print").alias("_print")),
+            "ngram-kept",
+        )
     if not survey.filter("not summary").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter((F.col("k") > 1) | F.col("doc_id").isNull()).limit(1).count():
         bare = placed.filter(F.col("print").isNull()).select(F.col("doc_id").alias("_doc"))
         return docs.join(first.select("_doc").unionByName(bare), F.col("doc_id") == F.col("_doc"), "left_semi")

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -22,6 +23,8 @@ import numpy as np
 MEMORY = 350_000
 #: Longer pieces are encoded but not remembered.
 LONG_PIECE = 64
+#: Words of letters that go to the library in one text.
+LOT = 256
 
 #: The steps of a tokenizer file under which pieces between white space encode alone.
 PIECE_NORMALIZERS = ("NFC", "Replace", "Lowercase")
@@ -55,6 +58,10 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.by_piece = encodes_by_piece(json.loads(self.tokenizer.to_str()))
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        #: Ids that end a word, if the file marks them.
+        self.ends = np.zeros(self.vocabulary, bool)
+        if suffix := json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix"):
+            self.ends[[k for token, k in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -65,8 +72,27 @@ class PieceEncoder:
         return _loaded[path]
 
     def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
-        coded = self.tokenizer.encode_batch_fast([x.decode("utf-8") for x in new], add_special_tokens=False)
-        return {x: array("I", c.ids).tobytes() for x, c in zip(new, coded)}
+        """Ids of pieces. Words of letters go to the library many in a text, whose ids are cut after each id that ends a word."""
+        words, rest, out = [], [], {}
+        for x in new:
+            (words if _LETTERS(text := x.decode("utf-8")) else rest).append((x, text))
+        lots = [words[k : k + LOT] for k in range(0, len(words), LOT)]
+        for lot, coded in zip(lots, self._coded([" ".join(text for _, text in lot) for lot in lots])):
+            ids = np.array(coded.ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(lot) or cuts[-1] != len(ids):  # not every word has an end
+                rest += lot
+                continue
+            raw, begin = ids.tobytes(), 0
+            for (x, _), end in zip(lot, (4 * cuts).tolist()):
+                out[x] = raw[begin:end]
+                begin = end
+        for (x, _), coded in zip(rest, self._coded([text for _, text in rest])):
+            out[x] = array("I", coded.ids).tobytes()
+        return out
+
+    def _coded(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
     def encode(self, texts: Iterable[str | None], group: int = 256) -> Iterator[np.ndarray]:
         """Little-endian unsigned 32-bit ids of each text; null counts as empty."""
@@ -87,27 +113,34 @@ class PieceEncoder:
 
     def _flush(self, docs: list[list[bytes]]) -> Iterator[np.ndarray]:
         known, old = self.known, self.old
-        new = set().union(*docs).difference(known)
-        ended = []
-        for piece in [p for p in new if p in old]:
-            known[piece] = old[piece]
-            new.discard(piece)
-        # A comma or full stop after a letter is always a token of its own.
-        for piece in [p for p in new if p[-1] in _STOPS and len(p) > 1 and p[-2] in _LETTERS]:
-            new.discard(piece)
-            ended.append(piece)
-            new.update((piece[:-1], piece[-1:]))
+        met = set().union(*docs).difference(known)
+        new, ended = set(), []
+        for piece in met:
+            if piece in old:
+                known[piece] = old[piece]
+            # Punctuation after a letter, up to the piece's end, is always a token of its own.
+            elif (cut := _ENDED(piece)) and b"<|" not in piece:
+                ended.append((piece, *cut.groups()))
+                new.update(cut.groups())
+            else:
+                new.add(piece)
         new = new.difference(known)
+        kept = {p: old[p] for p in new if p in old}
+        known.update(kept)
+        new.difference_update(kept)
         if new:
             known.update(self._learn(sorted(new)))
-        for piece in ended:
-            known[piece] = known[piece[:-1]] + known[piece[-1:]]
+        for piece, stem, marks in ended:
+            known[piece] = known[stem] + known[marks]
         for pieces in docs:
             yield np.frombuffer(b"".join(map(known.__getitem__, pieces)), dtype="<u4")
-        for piece in [p for p in (*new, *ended) if len(p) > LONG_PIECE]:
-            del known[piece]
+        for piece in [p for p in (*new, *(x[0] for x in ended)) if len(p) > LONG_PIECE]:
+            known.pop(piece, None)
         if len(known) > MEMORY:
             self.old, self.known = known, {}
 
 
-_STOPS, _LETTERS = frozenset(b".,"), frozenset(b"abcdefghijklmnopqrstuvwxyz")
+#: Letters of ASCII and Latin-1 alone: one word to every tokenizer that ``encodes_by_piece`` lets through.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+#: ASCII punctuation after such a letter, as UTF-8.
+_ENDED = re.compile(rb"(.*(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([!-/:-@\[-`{-~]+)", re.DOTALL).fullmatch

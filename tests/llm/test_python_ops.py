@@ -161,6 +161,28 @@ def test_other_tokenizer_files_take_whole_texts(tmp_path):
     assert [x.tolist() for x in coder.encode(texts)] == [coder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_words_go_to_the_library_in_lots(tokenizer):
+    """New words share texts and leave their punctuation behind; ids stay those of whole texts."""
+
+    class Counted:
+        texts = 0
+
+        def encode_batch_fast(self, texts, **kw):
+            self.texts += len(texts)
+            return tokenizer.encode_batch_fast(texts, **kw)
+
+    def check(texts):
+        coder = encoding.PieceEncoder(queries.tokenizer_path())
+        coder.tokenizer = counted = Counted()
+        assert [x.tolist() for x in coder.encode(texts, group=3)] == [whole_ids(tokenizer, t) for t in texts]
+        return counted.texts
+
+    words = ["".join(chr(97 + (k * m) % 26) for m in (1, 3, 5, 7, 11)) + chr(97 + k % 26) for k in range(1000)]
+    assert check([" ".join(w + ("$$$", ".", ",!!", "")[k % 4] for k, w in enumerate(words))] * 2) < 30
+    odd = ["don't!' 're'' x's.' ll'll, a×. ÷, é... É, ÿ!? ſ. ǅa. ª. µ, e\u0301. e\u0301a, ΑΣ. ΑΣ, ß? İ.", "a<|endoftext|>. <|endoftext|>, b<| c|>! A<|ENDOFTEXT|>.", "</w> a</w> a</w>. </ w> \u00a0x.\u2003y,\u0338 a<\u0338 z\x00. z\x1c."]
+    check([*odd, None, "", *odd, "é" * 100 + "!!", "x" * 100 + "."] * 2)
+
+
 def test_expression_to_the_end_of_its_line():
     names = [f"lib{i}-license" for i in range(300)]
     line = "SPDX-License-Identifier: (" + " AND ".join(names) + " OR MIT) AND GPL-3.0-only"

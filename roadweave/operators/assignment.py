@@ -12,15 +12,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadweave.functions.cost import COSTS, OBJECTIVES, ArrayOps
-from roadweave.operators.search import Shared, Snapshot, _spread, bidirectional, dijkstra, parents, path_edges
+from roadweave.operators import fronts
+from roadweave.operators.search import Shared, Snapshot, _spread, bidirectional, dijkstra, fronts_of, parents, path_edges
 
 
-def all_or_nothing(edges: DataFrame, od: DataFrame, weight: str = "travel_time") -> tuple[DataFrame, DataFrame]:
+def all_or_nothing(edges: DataFrame, od: DataFrame, weight: str = "travel_time", places: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Flows (edge_id, vol) and distances (od_id, distance) with every trip on its shortest path.
 
     Trips that cannot arrive have a null distance and load no edge. Each task sums its own
-    trips before anything is shuffled.
+    trips before anything is shuffled. ``places`` as in ``point_to_point``; flows and distances are
+    then made apart, each when it is asked for.
     """
+    if sent := fronts_of(edges, places, weight):
+        return fronts.flows(sent, od), fronts.trips(sent, od).select("od_id", "distance")
     return _load(Snapshot.shared(edges, weight), od)
 
 

@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 
 from roadweave.operators.hierarchy import _neighbours, bisect
 from roadweave.operators.search import _spread
-from roadweave.operators.shared import columns_of, fresh_path
+from roadweave.operators.shared import columns_of, fresh_path, read_columns
 
 #: Most vertices of a leaf, pivots closed together, elements of a strip that stays in a core's cache.
 LEAF, PIVOTS, STRIP = 64, 64, 1 << 16
+#: Steps of paths in a batch of rows, trips that go down the tree together.
+ROWS, LANES = 1_000_000, 256
 
 
 def _close(f: np.ndarray, own: int) -> None:
@@ -255,27 +257,168 @@ class Reach:
         return out[::-1]
 
 
+def _asked(g: Fronts, frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, tuple | None, pd.DataFrame, list[int]]]:
+    """Place and climb of each origin (-1 and none if unknown), its trips, the places of their destinations."""
+    for frame in frames:
+        for origin, group in frame.groupby("origin", sort=False):
+            at = int(g.places(np.array([origin]))[0])
+            yield at, g.climb(at, False) if at >= 0 else None, group, g.places(group["destination"].to_numpy()).tolist()
+
+
+def _least(g: Fronts, at: int, up: tuple | None, same: bool, end: int) -> int:
+    return 0 if same else g.between(up, g.climb(end, True)) if at >= 0 and end >= 0 else -1
+
+
+def _by_origin(od: DataFrame) -> DataFrame:
+    return _spread(od.select("od_id", "origin", "destination"), "origin").sortWithinPartitions("origin")
+
+
 def trips(sent: Shared, od: DataFrame, paths: bool = False) -> DataFrame:
     """(od_id, origin, destination, distance, path): null distance and path where there is no way; without ``paths`` all paths are null.
 
-    Trips of one origin share its climb; a task's trips are of near origins, whose fronts it has mapped.
+    Trips of one origin share its climb.
     """
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g = sent.value
         room = np.empty(len(g.ids), g.far.dtype)
+        rows, size = [], 0
+
+        def out() -> pd.DataFrame:
+            made = pd.DataFrame(rows, columns=["od_id", "origin", "destination", "distance", "path"])
+            made["distance"] = made["distance"].astype("Int64")
+            return made
+
+        for at, up, group, ends in _asked(g, frames):
+            reach = Reach(g, up, room) if at >= 0 and paths else None
+            for od_id, o, d, p in zip(group["od_id"].tolist(), group["origin"].tolist(), group["destination"].tolist(), ends):
+                least = _least(g, at, up, o == d, p)
+                way = g.edge[reach.path(at, p)] if paths and least > 0 else np.zeros(0, np.int64) if not least and paths else None
+                rows.append((od_id, o, d, least if least >= 0 else None, way))
+                size += 20 + len(way if way is not None else ())
+            if size > ROWS:
+                yield out()
+                rows, size = [], 0
+        yield out()
+
+    return _by_origin(od).mapInPandas(search, "od_id long, origin long, destination long, distance long, path array<long>")
+
+
+def flows(sent: Shared, od: DataFrame) -> DataFrame:
+    """(edge_id, vol) with every trip on the path of ``trips``; each task sums its own."""
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = sent.value
+        room, load = np.empty(len(g.ids), g.far.dtype), np.zeros(len(g.edge), np.int64)
+        for at, up, group, ends in _asked(g, frames):
+            reach = Reach(g, up, room) if at >= 0 else None
+            for o, d, p in zip(group["origin"].tolist(), group["destination"].tolist(), ends):
+                if _least(g, at, up, o == d, p) > 0:
+                    load[reach.path(at, p)] += 1  # no edge twice in a path
+        full = np.flatnonzero(load)
+        yield pd.DataFrame({"edge_id": g.edge[full], "n": load[full]})
+
+    return _by_origin(od).mapInPandas(search, "edge_id long, n long").groupBy("edge_id").agg(F.sum("n").alias("vol"))
+
+
+def timed(sent: Shared, od: DataFrame) -> DataFrame:
+    """(od_id, distance, query_time): each trip by itself, with the nanoseconds its two climbs took; null distance without a way."""
+    import time
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = sent.value
         for frame in frames:
-            rows = []
-            for origin, group in frame.groupby("origin", sort=False):
-                at, ends = int(g.places(np.array([origin]))[0]), g.places(group["destination"].to_numpy())
-                up = g.climb(at, False) if at >= 0 else None
-                reach = Reach(g, up, room) if at >= 0 and paths else None
-                for od_id, d, p in zip(group["od_id"].tolist(), group["destination"].tolist(), ends.tolist()):
-                    least = 0 if d == origin else g.between(up, g.climb(p, True)) if at >= 0 and p >= 0 else -1
-                    way = g.edge[reach.path(at, p)].tolist() if paths and least > 0 else [] if not least and paths else None
-                    rows.append((od_id, origin, d, least if least >= 0 else None, way))
-            out = pd.DataFrame(rows, columns=["od_id", "origin", "destination", "distance", "path"])
-            out["distance"] = out["distance"].astype("Int64")
-            yield out
-
-    return _spread(od.select("od_id", "origin", "destination"), "origin").sortWithinPartitions("origin").mapInPandas(search, "od_id long, origin long, destination long, distance long, path array<long>")
+            distances, times = [], []
+            for origin, destination in zip(frame["origin"].tolist(), frame["destination"].tolist()):
+                began = time.perf_counter_ns()
+                at, end = g.places(np.array([origin, destination])).tolist()
+                d = _least(g, at, g.climb(at, False) if at >= 0 and origin != destination else None, origin == destination, end)
+                times.append(time.perf_counter_ns() - began)
+                distances.append(d if d >= 0 else None)
+            yield pd.DataFrame({"od_id": frame["od_id"], "distance": pd.array(distances, "Int64"), "query_time": times})
+
+    return _spread(od.select("od_id", "origin", "destination"), "od_id").mapInPandas(search, "od_id long, distance long, query_time long")
+
+
+def before(sent: Shared, od: DataFrame, opportunities: DataFrame | None = None) -> DataFrame:
+    """(od_id, source, vertex_id, n): vertices, or their opportunities (vertex_id, n), before the destination in the order
+    (distance, vertex) from the source; no row for trips without a way and sources without an edge. Weights must be positive.
+
+    LANES trips of near sources go down the tree together; only the nodes above the current one keep their distances.
+    """
+    path = None
+    if opportunities is not None:
+        path = fresh_path(od.sparkSession)
+        opportunities.filter("vertex_id is not null and n is not null").groupBy(F.col("vertex_id").cast("long").alias("vertex_id")).agg(F.sum("n").cast("long").alias("n")).write.parquet(path)
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = sent.value
+        counted = np.ones(len(g.ids), np.int64)
+        if path is not None:
+            vertices, n = read_columns(path, ["vertex_id", "n"])
+            at, counted = g.places(vertices), np.zeros(len(g.ids), np.int64)
+            counted[at[at >= 0]] = n[at >= 0]
+        linked = np.diff(g.into) > 0
+        linked[g.tail] = True
+        asked = pd.concat(list(frames) or [pd.DataFrame({"od_id": [], "source": [], "vertex_id": []}, dtype="int64")])
+        asked = asked.assign(_a=g.places(asked["source"].to_numpy()), _b=g.places(asked["vertex_id"].to_numpy()))
+        asked = asked[(asked["_a"] >= 0) & (asked["_b"] >= 0)]
+        asked = asked[linked[asked["_a"].to_numpy()]].sort_values(["_a", "od_id"])
+        for begin in range(0, len(asked), LANES):
+            lot = asked.iloc[begin : begin + LANES]
+            ups = [g.climb(a, False) for a in lot["_a"].tolist()]
+            limit = np.array([_least(g, a, up, a == b, b) for a, b, up in zip(lot["_a"].tolist(), lot["_b"].tolist(), ups)])
+            got = limit >= 0
+            lot = lot[got]
+            if len(lot):
+                found = _passed(g, [u for u, ok in zip(ups, got) if ok], limit[got].astype(g.far.dtype), lot["vertex_id"].to_numpy(), counted)
+                yield pd.DataFrame({"od_id": lot["od_id"], "source": lot["source"], "vertex_id": lot["vertex_id"], "n": found - (0 if path is None else counted[lot["_a"]] * (lot["_a"] != lot["_b"]))})
+
+    asked = od.select("od_id", F.col("source").cast("long").alias("source"), F.col("vertex_id").cast("long").alias("vertex_id")).filter("source is not null and vertex_id is not null")
+    return asked.repartitionByRange(6 * od.sparkSession.sparkContext.defaultParallelism, "source").mapInPandas(search, "od_id long, source long, vertex_id long, n long")
+
+
+def _passed(g: Fronts, ups: list[tuple], limit: np.ndarray, ends: np.ndarray, counted: np.ndarray) -> np.ndarray:
+    """Sum of ``counted`` over the vertices before (limit, end) in order, for each climb."""
+    lanes = len(ups)
+    inner: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for lane, (nodes, dist) in enumerate(ups):
+        at = 0
+        for k in nodes:
+            own = int(g.lo[k + 1] - g.lo[k])
+            inner.setdefault(k, []).append((lane, dist[at : at + own]))
+            at += own
+    total = np.zeros(lanes, np.int64)
+    chain: list[int] = []
+    starts: list[int] = [0]
+    room = np.empty((0, lanes), g.far.dtype)  # distances of the vertices that the chain's nodes own, one node after the other
+    lo, parent = g.lo, g.parent.tolist()
+    for k in range(len(parent)):
+        while chain and chain[-1] != parent[k]:
+            chain.pop()
+            starts.pop()
+        a, b, begin = int(lo[k]), int(lo[k + 1]), starts[-1]
+        own, rim = b - a, g.border(k)
+        if begin + own > len(room):
+            room = np.concatenate([room, np.empty((begin + own, lanes), room.dtype)])
+        d = room[begin : begin + own]
+        d[:] = g.far
+        if own and len(rim):
+            level = np.searchsorted(lo[chain], rim, side="right") - 1
+            outer = room[np.array(starts[:-1])[level] + rim - lo[chain][level]]
+            block = g.block(k, True)[:, own:]
+            step = max(1, (STRIP << 1) // outer.size)
+            for r in range(0, own, step):
+                (block[r : r + step, :, None] + outer).min(axis=1, out=d[r : r + step])
+        for lane, dist in inner.get(k, ()):
+            np.minimum(d[:, lane], dist, out=d[:, lane])
+        n = counted[a:b]
+        if len(some := np.flatnonzero(n)):
+            at = d if len(some) == own else d[some]
+            earlier = at < limit
+            if (level := at == limit).any():
+                earlier |= level & (g.ids[a:b][some][:, None] < ends)
+            total += n[some] @ earlier if n.max() > 1 else np.count_nonzero(earlier, axis=0)
+        chain.append(k)
+        starts.append(begin + own)
+    return total

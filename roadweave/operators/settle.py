@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadweave.operators.search import Snapshot, _held, _spread, settled
+from roadweave.operators import fronts
+from roadweave.operators.search import Snapshot, _held, _spread, fronts_of, settled
 from roadweave.operators.shared import fresh_path, read_columns
 
 #: Gets the snapshot, opportunities by place, a source's place and its requests; gives the rows.
@@ -72,8 +73,13 @@ def nearest(edges: DataFrame, sources: DataFrame, size: int, weight: str = "trav
     return _settled(edges, sources.select("source").distinct(), answer, "source long, vertex_id long, distance long", weight)
 
 
-def ranks(edges: DataFrame, od: DataFrame, weight: str = "travel_time") -> DataFrame:
-    """(od_id, source, vertex_id, rank): place of the destination ``vertex_id`` in order; trips without a way get no row."""
+def ranks(edges: DataFrame, od: DataFrame, weight: str = "travel_time", places: DataFrame | None = None) -> DataFrame:
+    """(od_id, source, vertex_id, rank): place of the destination ``vertex_id`` in order; trips without a way get no row.
+
+    ``places`` as in ``search.point_to_point``.
+    """
+    if sent := fronts_of(edges, places, weight):
+        return fronts.before(sent, od).withColumnRenamed("n", "rank")
 
     def answer(g: Snapshot, _: np.ndarray, at: int, own: pd.DataFrame) -> pd.DataFrame:
         place = own["vertex_id"].map(g.index).to_numpy()
@@ -85,8 +91,13 @@ def ranks(edges: DataFrame, od: DataFrame, weight: str = "travel_time") -> DataF
     return _settled(edges, od.select("od_id", "source", "vertex_id"), answer, "od_id long, source long, vertex_id long, rank long", weight)
 
 
-def between(edges: DataFrame, od: DataFrame, opportunities: DataFrame, weight: str = "travel_time") -> DataFrame:
-    """(od_id, source, vertex_id, between): opportunities before the destination in order, without the source's own."""
+def between(edges: DataFrame, od: DataFrame, opportunities: DataFrame, weight: str = "travel_time", places: DataFrame | None = None) -> DataFrame:
+    """(od_id, source, vertex_id, between): opportunities before the destination in order, without the source's own.
+
+    ``places`` as in ``search.point_to_point``.
+    """
+    if sent := fronts_of(edges, places, weight):
+        return fronts.before(sent, od, opportunities).withColumnRenamed("n", "between")
 
     def answer(g: Snapshot, n: np.ndarray, at: int, own: pd.DataFrame) -> pd.DataFrame:
         place = own["vertex_id"].map(g.index).to_numpy()

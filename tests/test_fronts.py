@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from roadweave.operators import fronts, search
+from roadweave import catalog
+from roadweave.operators import assignment, fronts, search, settle
 
 
 @pytest.fixture
@@ -33,3 +34,39 @@ def test_trips(spark, graph, monkeypatch, leaf, far):
     vertices, edges, od = graph
     edges = edges.withColumn("travel_time", edges.travel_time + far)
     assert rows(fronts.trips(fronts.build(vertices, edges), od, paths=True)) == rows(search.point_to_point(edges, od))
+
+
+def found(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def by_both(monkeypatch, make):
+    """Rows of searches and of fronts."""
+    monkeypatch.setattr(search, "FRONT_EDGES", 1 << 40)
+    plain = make()
+    monkeypatch.setattr(search, "FRONT_EDGES", 0)
+    monkeypatch.setattr(search.Snapshot, "shared", None)  # no search by arrays
+    assert make() == plain and plain
+
+
+def test_operators_with_places(spark, graph, monkeypatch):
+    monkeypatch.setattr(fronts, "LEAF", 6)
+    monkeypatch.setattr(fronts, "LANES", 7)
+    monkeypatch.setattr(fronts, "ROWS", 50)
+    vertices, edges, od = graph
+    ends = od.selectExpr("od_id", "origin as source", "destination as vertex_id")
+    some = vertices.filter("vertex_id % 3 = 0").selectExpr("vertex_id", "vertex_id % 5 as n")
+
+    def make():
+        vol, distances = assignment.all_or_nothing(edges, od, places=vertices)
+        return [
+            rows(search.point_to_point(edges, od, places=vertices)), found(vol), sorted(map(tuple, distances.collect())), sorted(map(tuple, search.timed_queries(edges, od, places=vertices).drop("query_time").collect())),
+            found(settle.ranks(edges, ends, places=vertices)), found(settle.between(edges, ends, some, places=vertices)),
+        ]
+
+    by_both(monkeypatch, make)
+
+
+@pytest.mark.parametrize("name", ["a1_aon_flows"])
+def test_queries_of_far_trips_take_fronts(spark, monkeypatch, name):
+    by_both(monkeypatch, lambda: found(catalog.QUERIES[name](spark, "/root/testdata/sf0.001")))

@@ -4,6 +4,7 @@ The parts of the dissection form a tree; a node owns the vertices of its separat
 its part) and borders on those vertices of its ancestors that its region touches. Its front holds the distances, by ways
 through its region alone, between its own and its border's vertices. Both ends of a trip climb the tree
 to all separators above them and meet at the least sum; exact distances come down to any node again.
+Points of interest wait in the buckets of the vertices that they climb to.
 
 The driver builds one front at a time from arrays and writes it to the shared folder; tasks map the files.
 """
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadweave.operators.hierarchy import _neighbours, bisect
@@ -181,13 +182,13 @@ class Fronts:
         at = int(self.offsets[k]) + size * back
         return self.blocks[at : at + size].reshape(own, -1)
 
-    def climb(self, place: int, back: bool) -> tuple[list[int], np.ndarray]:
-        """The nodes from the root down to the place's, and distances from (back: to) the place and all they own, by ways through each node's region."""
+    def steps(self, place: int, back: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """From the place's node up to the root: the node, distances from (back: to) the place and its own vertices and its border, by ways through its region."""
         k = self.node(place)
         own = int(self.lo[k + 1] - self.lo[k])
         row = self.block(k, back)[place - self.lo[k]]
-        nodes, found = [k], [row[:own]]
         rim, dist = self.border(k), row[own:]
+        yield k, row[:own], dist
         while (k := int(self.parent[k])) >= 0:
             begin, own, above = self.lo[k], int(self.lo[k + 1] - self.lo[k]), self.border(k)
             d = np.full(own + len(above), self.far)
@@ -195,10 +196,13 @@ class Fronts:
             if len(start := np.flatnonzero(d[:own] < self.far)):
                 block = self.block(k, back)
                 d = np.minimum(d, (block[start] if len(start) < own else block).__add__(d[start, None]).min(axis=0))
-            nodes.append(k)
-            found.append(d[:own])
             rim, dist = above, d[own:]
-        return nodes[::-1], np.concatenate(found[::-1])
+            yield k, d[:own], dist
+
+    def climb(self, place: int, back: bool) -> tuple[list[int], np.ndarray]:
+        """The nodes from the root down to the place's, and distances from (back: to) the place and all they own, by ways through each node's region."""
+        nodes, found, _ = zip(*self.steps(place, back))
+        return list(nodes[::-1]), np.concatenate(found[::-1])
 
     def between(self, a: tuple[list[int], np.ndarray], b: tuple[list[int], np.ndarray]) -> int:
         """Distance from a climb to a climb back; -1 if there is no way."""
@@ -422,3 +426,75 @@ def _passed(g: Fronts, ups: list[tuple], limit: np.ndarray, ends: np.ndarray, co
         chain.append(k)
         starts.append(begin + own)
     return total
+
+
+def buckets(sent: Shared, pois: DataFrame, k: int) -> DataFrame:
+    """(hub, turn, poi_vertex, dist): by the hub's place, its first ``k`` of ``pois`` (vertex_id) in the order (dist, poi_vertex), turn from 0.
+
+    Later points have k better ones over the same hub. A point climbs until every border vertex has k better ones, which no way beyond can
+    undo: tasks take theirs in the order of ids.
+    """
+
+    def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = sent.value
+        dist, poi = np.full((len(g.ids), k), g.far), np.full((len(g.ids), k), -1, np.int64)
+        for frame in frames:
+            ids = frame["vertex_id"].to_numpy()
+            for vertex, at in zip(ids.tolist(), g.places(ids).tolist()):
+                for node, own, rim in g.steps(at, True) if at >= 0 else ():
+                    a, b = int(g.lo[node]), int(g.lo[node + 1])
+                    if len(some := a + np.flatnonzero(own < dist[a:b, -1])):
+                        d, p, moved = own[some - a], np.full(len(some), vertex), np.zeros(len(some), bool)
+                        for turn in range(k):  # it comes after those of equal distance and moves the rest on
+                            old, was = dist[some, turn], poi[some, turn]
+                            moved |= d < old
+                            dist[some, turn], poi[some, turn] = np.where(moved, d, old), np.where(moved, p, was)
+                            d, p = np.where(moved, old, d), np.where(moved, was, p)
+                    if (dist[g.border(node), -1] <= rim).all():
+                        break
+        for a in range(0, len(dist), ROWS):
+            hub, turn = np.nonzero(dist[a : a + ROWS] < g.far)
+            yield pd.DataFrame({"hub": a + hub, "poi_vertex": poi[a + hub, turn], "dist": dist[a + hub, turn]})
+
+    points = pois.select(F.col("vertex_id").cast("long").alias("vertex_id")).filter("vertex_id is not null").distinct()
+    dealt = points.repartitionByRange(2 * pois.sparkSession.sparkContext.defaultParallelism, "vertex_id").sortWithinPartitions("vertex_id")
+    met = dealt.mapInPandas(fill, "hub long, poi_vertex long, dist long")
+    first = Window.partitionBy("hub").orderBy("dist", "poi_vertex")
+    return met.withColumn("turn", F.row_number().over(first) - 1).filter(F.col("turn") < k).select("hub", "turn", "poi_vertex", "dist")
+
+
+def closest(sent: Shared, sources: DataFrame, pois: DataFrame, k: int) -> DataFrame:
+    """(source, poi_vertex, distance, rank) of the k nearest vertices of ``pois`` (vertex_id); ties to the least vertex.
+
+    Each source climbs and scans the buckets of its hubs, until its k-th point is nearer than all of the border.
+    """
+    path = fresh_path(sources.sparkSession)
+    buckets(sent, pois, k).write.parquet(path)
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = sent.value
+        dist, poi = np.full((len(g.ids), k), g.far), np.full((len(g.ids), k), -1, np.int64)
+        hub, turn, p, d = read_columns(path, ["hub", "turn", "poi_vertex", "dist"])
+        dist[hub, turn], poi[hub, turn] = d, p
+        del hub, turn, p, d
+        for frame in frames:
+            ids, rows = frame["source"].to_numpy(), []
+            for source, at in zip(ids.tolist(), g.places(ids).tolist()):
+                best, points, last = np.zeros(0, g.far.dtype), np.zeros(0, np.int64), g.far
+                for node, own, rim in g.steps(at, False) if at >= 0 else ():
+                    a = int(g.lo[node])
+                    some = np.flatnonzero(own <= last)
+                    sums = own[some, None] + dist[a + some]
+                    here = (sums <= last) & (sums < g.far)
+                    best, points = np.r_[best, sums[here]], np.r_[points, poi[a + some][here]]
+                    order = np.lexsort((points, best))
+                    order = order[np.sort(np.unique(points[order], return_index=True)[1])[:k]]
+                    best, points = best[order], points[order]
+                    last = best[-1] if len(best) == k else g.far
+                    if (least := rim.min(initial=g.far)) > last or least >= g.far:
+                        break
+                rows += [(source, v, e, r + 1) for r, (v, e) in enumerate(zip(points.tolist(), best.tolist()))]
+            yield pd.DataFrame(rows, columns=["source", "poi_vertex", "distance", "rank"])
+
+    asked = sources.select(F.col("source").cast("long").alias("source")).filter("source is not null").distinct()
+    return _spread(asked, "source").mapInPandas(search, "source long, poi_vertex long, distance long, rank int")

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from roadweave import catalog
-from roadweave.operators import assignment, fronts, search, settle
+from roadweave.operators import assignment, fronts, hierarchy, poi, search, settle
+from roadweave.sources.derived import Network
 
 
 @pytest.fixture
@@ -70,3 +71,35 @@ def test_operators_with_places(spark, graph, monkeypatch):
 @pytest.mark.parametrize("name", ["a1_aon_flows", "a1_checksum", "d5_intervening", "snk3_od_distances", "sp20_batch_queries", "sp22_dijkstra_rank", "sp2_point_to_point", "sp4_path_cost"])
 def test_queries_of_far_trips_take_fronts(spark, monkeypatch, name):
     by_both(monkeypatch, lambda: found(catalog.QUERIES[name](spark, "/root/testdata/sf0.001")))
+
+
+@pytest.mark.parametrize("leaf, far, k, step", [(4, 0, 3, 7), (9, 0, 1, 2), (64, 1 << 40, 4, 11), (6, 0, 5, 97)])
+def test_buckets(spark, graph, monkeypatch, leaf, far, k, step):
+    """Ties, points met by many hubs and tasks, copies, nulls, unknown vertices, sources that reach fewer points than asked for."""
+    monkeypatch.setattr(fronts, "LEAF", leaf)
+    monkeypatch.setattr(fronts, "ROWS", 50)
+    vertices, edges, _ = graph
+    edges = edges.withColumn("travel_time", edges.travel_time + far)
+    known = [r.vertex_id for r in vertices.collect()] + [9999]
+    sources = spark.createDataFrame([(v,) for v in known + [77777, 6]], "source long")
+    pois = spark.createDataFrame([(v,) for v in [*known[::step], 9999, 5000, 88888, 0, 0]] + [(None,)], "vertex_id long")
+    alone = (5000, 5000, 0, 1)  # the search by edges knows no vertex without any
+    sent = fronts.build(vertices, edges)
+    assert found(fronts.closest(sent, sources.unionByName(spark.createDataFrame([(None,)], "source long")), pois, k)) == sorted([*found(poi.closest_pois(edges, sources, pois, k)), alone])
+    held = fronts.buckets(sent, pois, k).collect()
+    turns = {}
+    for r in sorted(held):
+        turns.setdefault(r.hub, []).append((r.turn, r.dist, r.poi_vertex))
+    assert all([t for t, _, _ in x] == list(range(len(x))) and len(x) <= k and x == sorted(x, key=lambda y: y[1:]) for x in turns.values())
+    assert fronts.closest(sent, sources, pois.limit(0), k).count() == 0 == fronts.closest(sent, sources.limit(0), pois, k).count()
+
+
+def test_buckets_of_fronts_and_of_labels(spark):
+    n = Network(spark, "/root/testdata/sf0.001")
+    snap = search.Snapshot.of(n.edges())
+    h = hierarchy.customise(hierarchy.build_topology(snap, hierarchy.nested_order(n.vertices(), n.edges())[0]), snap)
+    labels = hierarchy.label_tables(spark, h)
+    up = labels.filter("side = 'up' and vertex_id % 3 = 0").selectExpr("vertex_id as source", "hub", "dist")
+    down = labels.filter("side = 'down'").join(n.pois().select("vertex_id").distinct(), "vertex_id").selectExpr("vertex_id as poi_vertex", "hub", "dist")
+    sources = n.vertices().filter("vertex_id % 3 = 0").selectExpr("vertex_id as source")
+    assert found(fronts.closest(fronts.build(n.vertices(), n.edges()), sources, n.pois(), 4)) == found(poi.bucket_closest(up, down, 4))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadweave import catalog
-from roadweave.operators import poi, search, settle
+from roadweave.operators import hierarchy, poi, search, settle
 from roadweave.sources.derived import Network
 
 SF = "/root/testdata/sf0.001"
@@ -86,3 +86,9 @@ def test_hierarchies_bypass_the_jvm(spark, no_driver, monkeypatch, name):
 
     monkeypatch.setattr(type(spark), "createDataFrame", refuse)
     assert catalog.QUERIES[name](spark, SF).count() > 0
+
+
+def test_buckets_bypass_the_driver(spark, no_driver, monkeypatch):
+    """Neither the hierarchy of all arcs nor a broadcast of it."""
+    monkeypatch.setattr(hierarchy, "build_topology", None)
+    assert catalog.QUERIES["k3_bucket_knn"](spark, SF).count() > 0
